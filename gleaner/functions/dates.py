@@ -6,13 +6,17 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, functions as F
 
-from gleaner.functions.text import blank_if_null, strip
+from gleaner.functions.text import blank_if_null, let, strip
 
 
-def week_label(d: Column) -> Column:
+def week_label(day: Column) -> Column:
     """``YYYY-Wnn`` of a date: weeks begin on Monday, days before the first Monday are ``W00``."""
-    week = F.floor((F.dayofyear(d) + 6 - F.weekday(d)) / 7).cast("string")
-    return F.concat(F.date_format(d, "yyyy"), F.lit("-W"), F.lpad(week, 2, "0"))
+
+    def label(d: Column) -> Column:
+        week = F.floor((F.dayofyear(d) + 6 - F.weekday(d)) / 7).cast("string")
+        return F.concat(F.date_format(d, "yyyy"), F.lit("-W"), F.lpad(week, 2, "0"))
+
+    return let(day, label)
 
 
 def week_label_of(d: date | datetime) -> str:
@@ -32,21 +36,26 @@ def stored_day(text: Column) -> Column:
 
     Days past the end of a month run on into the next (``2024-02-30`` is 1 March).
     """
-    t = strip(text)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, _STAMP, i).try_cast("int")
-
-    month, day = part(2), part(3)
-    hour, minute = F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0))
-    shift = F.coalesce(part(7) * 60 + part(8), F.lit(0))
-    shift = F.when(F.regexp_extract(t, _STAMP, 6) == "-", shift).otherwise(-shift)
-    carry = F.floor((hour * 60 + minute + shift) / 1440).cast("int")
-    ok = (t != "") & month.between(1, 12) & day.between(1, 31) & (hour <= 24) & (minute <= 59)
-    return F.when(
-        ok,
-        F.date_add(F.make_date(part(1), F.when(ok, month), F.lit(1)), day - 1 + carry),
-    )
+
+    def of_text(t: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.regexp_extract(t, _STAMP, i).try_cast("int")
+
+        offset = F.coalesce(part(7) * 60 + part(8), F.lit(0))
+        to_utc = F.when(F.regexp_extract(t, _STAMP, 6) == "-", offset).otherwise(-offset)
+        clock = F.coalesce(part(4) * 60 + part(5), F.lit(0))
+        fields = F.struct(
+            part(1).alias("year"), part(2).alias("month"), part(3).alias("day"), clock.alias("clock"),
+            F.when(F.length(t) > 10, to_utc).otherwise(0).alias("to_utc"),
+        )
+        return let(fields, of_fields)
+
+    def of_fields(f: Column) -> Column:
+        carry = F.floor((f["clock"] + f["to_utc"]) / 1440).cast("int")
+        ok = f["month"].between(1, 12) & f["day"].between(1, 31) & (f["clock"] <= 1440)
+        return F.when(ok, F.date_add(F.make_date(f["year"], f["month"], F.lit(1)), f["day"] - 1 + carry))
+
+    return let(strip(text), of_text)
 
 
 def week_key(date_posted: Column, scraped_at: Column) -> Column:
@@ -69,27 +78,28 @@ def feed_date(text: Column) -> Column:
 
 def relative_date(text: Column, now: Column) -> Column:
     """ISO day for ``3 days ago``, ``today``, ``06/01/2024``…; unknown text is returned in lower case."""
-    t = strip(F.lower(blank_if_null(text)))
-
-    def count(unit: str) -> Column:
-        return F.regexp_extract(t, rf"(?U)([0-9]+)\s*{unit}s?\s*ago", 1).try_cast("int")
-
     today = F.to_date(now)
 
     def back(days: Column) -> Column:
         return F.when(days < 700000, F.date_sub(today, days.cast("int")))
 
-    iso = F.regexp_extract(t, r"\d{4}-\d{2}-\d{2}", 0)
-    us = F.regexp_extract(t, r"\d{2}/\d{2}/\d{4}", 0)
-    hours = count("hour")
-    found = F.coalesce(
-        back(count("day")),
-        back(count("week").cast("long") * 7),
-        back(count("month").cast("long") * 30),
-        F.when(hours < 16800000, F.to_date(now - F.make_dt_interval(hours=hours))),
-        F.when(F.contains(t, F.lit("today")), today),
-        F.when(F.contains(t, F.lit("yesterday")), F.date_sub(today, 1)),
-        F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")),
-        F.when(us != "", F.try_to_date(us, "MM/dd/yyyy")),
-    )
-    return F.coalesce(F.date_format(found, "yyyy-MM-dd"), t)
+    def of_text(t: Column) -> Column:
+        def ago(unit: str, build) -> Column:
+            digits = F.regexp_extract(t, rf"(?U)([0-9]+)\s*{unit}s?\s*ago", 1)
+            return let(digits.try_cast("int").cast("long"), build)
+
+        iso = F.regexp_extract(t, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)
+        us = F.regexp_extract(t, r"[0-9]{2}/[0-9]{2}/[0-9]{4}", 0)
+        found = F.coalesce(
+            ago("day", back),
+            ago("week", lambda n: back(n * 7)),
+            ago("month", lambda n: back(n * 30)),
+            ago("hour", lambda n: F.when(n < 16800000, F.to_date(now - F.make_dt_interval(hours=n.cast("int"))))),
+            F.when(F.contains(t, F.lit("today")), today),
+            F.when(F.contains(t, F.lit("yesterday")), F.date_sub(today, 1)),
+            F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"),
+            F.try_to_date(F.nullif(us, F.lit("")), "MM/dd/yyyy"),
+        )
+        return F.when(t == "", "").otherwise(F.coalesce(F.date_format(found, "yyyy-MM-dd"), t))
+
+    return let(strip(F.lower(blank_if_null(text))), of_text)

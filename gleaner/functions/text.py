@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Every character Python's str.strip() removes.
@@ -18,6 +20,11 @@ NAMED_ENTITIES = {
 }
 
 
+def let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and build on it, so that expressions do not grow by repetition."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def blank_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -34,17 +41,15 @@ def mining_text(title: Column, company: Column, raw: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Capital after every non-letter, lower case elsewhere (``next.js`` -> ``Next.Js``)."""
-    chars = F.split(c, "")
-    letter = r"^\p{L}"
-    return F.array_join(
-        F.transform(
-            chars,
-            lambda ch, i: F.when(
-                (i == 0) | ~F.rlike(F.get(chars, i - 1), F.lit(letter)), F.upper(ch)
-            ).otherwise(F.lower(ch)),
-        ),
-        "",
-    )
+
+    def cased(chars: Column) -> Column:
+        def letter(ch: Column, i: Column) -> Column:
+            follows = (i > 0) & F.rlike(F.get(chars, i - 1), F.lit(r"^\p{L}"))
+            return F.when(follows, F.lower(ch)).otherwise(F.upper(ch))
+
+        return F.array_join(F.transform(chars, letter), "")
+
+    return let(F.split(c, ""), cased)
 
 
 def label_case(c: Column) -> Column:
@@ -54,22 +59,28 @@ def label_case(c: Column) -> Column:
 
 def unescape_entities(c: Column) -> Column:
     """Resolve numeric entities and the common named ones, ``&amp;`` last."""
-    pieces = F.split(c, "&#")
 
     def resolve(piece: Column, i: Column) -> Column:
         dec = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
         hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+
+        def of_code(code: Column) -> Column:
+            valid = F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)
+            char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+            rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
+            return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+
         code = F.when(dec != "", F.hex(dec.cast("long"))).when(hexa != "", hexa)
-        valid = F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-        return F.when(i == 0, piece).when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+        return F.when(i == 0, piece).otherwise(let(code, of_code))
+
+    def of_text(text: Column) -> Column:
+        numeric = F.array_join(F.transform(F.split(text, "&#"), resolve), "")
+        out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
+        for name, char in NAMED_ENTITIES.items():
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
-    out = F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, resolve), "")).otherwise(c)
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    return let(c, of_text)
 
 
 def markup_text(c: Column) -> Column:
@@ -87,26 +98,28 @@ def drop_scripts(c: Column) -> Column:
 def _rounded(x: Column, digits: int, bits: int) -> Column:
     # Round the exact binary value of x, ties to even. The fraction times 2**bits is
     # an exact integer, so the digit and the remainder need no floating point.
-    unit = 1 << bits
-    scale = 10 ** digits
-    whole = F.floor(x)
-    scaled = ((x - whole) * F.lit(float(unit))).cast("long") * F.lit(scale)
-    digit = F.shiftright(scaled, bits)
-    left = scaled.bitwiseAND(F.lit(unit - 1))
+    unit, scale = 1 << bits, 10 ** digits
     half = F.lit(unit // 2)
-    up = (left > half) | ((left == half) & (digit.bitwiseAND(F.lit(1)) == 1))
-    return (whole * F.lit(scale) + digit + F.when(up, 1).otherwise(0)) / F.lit(float(scale))
+
+    def of_fraction(scaled: Column) -> Column:
+        digit, left = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit(unit - 1))
+        up = (left > half) | ((left == half) & (digit.bitwiseAND(F.lit(1)) == 1))
+        return (F.floor(x) * F.lit(scale) + digit + F.when(up, 1).otherwise(0)) / F.lit(float(scale))
+
+    return let(((x - F.floor(x)) * F.lit(float(unit))).cast("long") * F.lit(scale), of_fraction)
 
 
 def percent(part: Column, whole: Column) -> Column:
     """``part`` in ``whole`` as a percentage with one decimal; 0 when ``whole`` is 0."""
-    x = part / F.when(whole != 0, whole) * F.lit(100)
-    return F.coalesce(_rounded(x.cast("double"), 1, 57), F.lit(0.0))
+    x = (part / F.when(whole != 0, whole) * F.lit(100)).cast("double")
+    return F.coalesce(let(x, lambda v: _rounded(v, 1, 57)), F.lit(0.0))
 
 
 def average(total: Column, n: Column) -> Column:
     """``total / n`` with two decimals; 0 when ``n`` is 0."""
-    x = (total / F.when(n != 0, n)).cast("double")
-    # Below 1/16 a double has bits past 2**-56, and there is room for them.
-    rounded = F.when(x < 0.0625, _rounded(x, 2, 60)).otherwise(_rounded(x, 2, 56))
-    return F.coalesce(rounded, F.lit(0.0))
+
+    def rounded(x: Column) -> Column:
+        # Below 1/16 a double has bits past 2**-56, and there is room for them.
+        return F.when(x < 0.0625, _rounded(x, 2, 60)).otherwise(_rounded(x, 2, 56))
+
+    return F.coalesce(let((total / F.when(n != 0, n)).cast("double"), rounded), F.lit(0.0))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from gleaner.functions.text import blank_if_null, strip
+from gleaner.functions.text import blank_if_null, let, strip
 
 # Query parameters that do not identify a posting.
 TRACKING_PARAMS = [
@@ -15,8 +15,7 @@ TRACKING_PARAMS = [
     "affiliate", "aff_id", "subid", "clickid", "wbraid", "gbraid",
 ]
 
-# Schemes whose last path segment may carry ";params", and schemes
-# that are written with "//" even without an authority (RFC 1808 lists).
+# Schemes whose last path segment may carry ";params" (RFC 1808).
 PARAM_SCHEMES = [
     "", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "sip", "sips",
     "mms", "sftp", "tel",
@@ -30,44 +29,54 @@ def _clean(url: Column) -> Column:
     return F.translate(strip(url), "\t\r\n", "")
 
 
-def _head(u: Column) -> Column:
-    return F.substring_index(F.substring_index(u, "#", 1), "?", 1)
-
-
 def _after(text: Column, prefix_length: Column) -> Column:
     return F.substring(text, prefix_length + 1, F.length(text))
 
 
-def query_of(u: Column) -> Column:
-    """Raw query text of a URL, blank when there is none."""
-    no_fragment = F.substring_index(u, "#", 1)
-    return F.when(
-        F.contains(no_fragment, F.lit("?")), _after(no_fragment, F.length(F.substring_index(no_fragment, "?", 1)) + 1)
-    ).otherwise("")
-
-
-def scheme_of(u: Column) -> Column:
-    return F.lower(F.regexp_extract(_head(u), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-
-
-def _after_scheme(u: Column) -> Column:
-    return F.regexp_replace(_head(u), r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+def url_parts(u: Column) -> Column:
+    """Struct of scheme, authority, path, query and fragment marker of a cleaned URL, as written."""
 
+    def of_head(h: Column) -> Column:
+        scheme = F.regexp_extract(h["head"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+        size = F.length(scheme)
+        rest = F.when(size > 0, _after(h["head"], size + 1)).otherwise(h["head"])
+        return let(
+            F.struct(F.lower(scheme).alias("scheme"), rest.alias("rest"), h["query"].alias("query"), h["tail"].alias("tail")),
+            of_rest,
+        )
 
-def authority_of(u: Column) -> Column:
-    rest = _after_scheme(u)
-    return F.when(
-        F.startswith(rest, F.lit("//")), F.substring_index(_after(rest, F.lit(2)), "/", 1)
-    ).otherwise("")
+    def of_rest(r: Column) -> Column:
+        rest = r["rest"]
+        rooted = F.startswith(rest, F.lit("//"))
+        authority = F.when(rooted, F.substring_index(_after(rest, F.lit(2)), "/", 1)).otherwise("")
+        return let(
+            F.struct(r, authority.alias("authority"), rooted.alias("rooted")),
+            lambda a: F.struct(
+                r["scheme"].alias("scheme"),
+                a["authority"].alias("authority"),
+                F.when(a["rooted"], _after(rest, F.length(a["authority"]) + 2)).otherwise(rest).alias("path"),
+                r["query"].alias("query"),
+                r["tail"].alias("tail"),
+            ),
+        )
 
+    def of_url(v: Column) -> Column:
+        head = F.substring_index(v["open"], "?", 1)
+        return let(
+            F.struct(
+                head.alias("head"),
+                _after(v["open"], F.length(head) + 1).alias("query"),
+                _after(v["url"], F.length(head)).alias("tail"),
+            ),
+            of_head,
+        )
 
-def path_of(u: Column) -> Column:
-    return F.regexp_replace(_after_scheme(u), r"^//[^/]*", "")
+    return let(F.struct(u.alias("url"), F.substring_index(u, "#", 1).alias("open")), of_url)
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or a leading ``www.``."""
-    authority = F.lower(authority_of(_clean(url)))
+    authority = F.lower(url_parts(_clean(url))["authority"])
     return F.regexp_replace(F.regexp_replace(authority, r"^.*@|:[0-9]*$", ""), r"^www\.", "")
 
 
@@ -94,9 +103,13 @@ def query_params(query: Column) -> Column:
 
 def tracking_params(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column:
     """Names of the tracking parameters a URL carries, one entry per occurrence."""
-    query = query_of(_clean(url))
-    kept = F.filter(query_params(query), lambda p: p["name"].isin(*names))
-    return F.when(query == "", F.array().cast("array<string>")).otherwise(F.transform(kept, lambda p: p["name"]))
+
+    def of_query(query: Column) -> Column:
+        kept = F.filter(query_params(query), lambda p: p["name"].isin(*names))
+        none = F.array().cast("array<string>")
+        return F.when(query == "", none).otherwise(F.transform(kept, lambda p: p["name"]))
+
+    return let(url_parts(_clean(url))["query"], of_query)
 
 
 def _canonical_query(query: Column, names: Sequence[str]) -> Column:
@@ -106,12 +119,19 @@ def _canonical_query(query: Column, names: Sequence[str]) -> Column:
     return F.when(query == "", "").otherwise(F.array_join(pairs, "&"))
 
 
-def _split_params(scheme: Column, path: Column) -> tuple[Column, Column]:
-    last = F.substring_index(path, "/", -1)
-    has = scheme.isin(*PARAM_SCHEMES) & F.contains(last, F.lit(";"))
-    params = _after(last, F.length(F.substring_index(last, ";", 1)) + 1)
-    bare = F.substring(path, F.lit(1), F.length(path) - F.length(params) - 1)
-    return F.when(has, bare).otherwise(path), F.when(has, params).otherwise("")
+def _canonical_path(scheme: Column, path: Column) -> Column:
+    """The path without one trailing slash; ``;params`` of the last segment stay behind it."""
+
+    def trim(p: Column) -> Column:
+        return F.when((p != "/") & F.endswith(p, F.lit("/")), F.regexp_replace(p, "/$", "")).otherwise(p)
+
+    def with_params(last: Column) -> Column:
+        params = _after(last, F.length(F.substring_index(last, ";", 1)) + 1)
+        bare = trim(F.substring(path, F.lit(1), F.length(path) - F.length(params) - 1))
+        return F.concat(bare, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""))
+
+    has = scheme.isin(*PARAM_SCHEMES) & F.rlike(path, F.lit(";[^/]*$"))
+    return F.when(has, let(F.substring_index(path, "/", -1), with_params)).otherwise(trim(path))
 
 
 def normalize_url(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column:
@@ -122,64 +142,70 @@ def normalize_url(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column
     trailing slash off the path. A URL with unbalanced brackets in the authority
     cannot be split and is only trimmed and lower-cased.
     """
-    u = _clean(url)
-    scheme = scheme_of(u)
-    authority = F.lower(authority_of(u))
-    netloc = F.regexp_replace(authority, r"^www\.", "")
-    bare, params = _split_params(scheme, path_of(u))
-    path = F.when((bare != "/") & F.endswith(bare, F.lit("/")), F.regexp_replace(bare, "/$", "")).otherwise(bare)
-    path = F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
-    query = _canonical_query(query_of(u), names)
-    rooted = F.when((path != "") & ~F.startswith(path, F.lit("/")), F.concat(F.lit("/"), path)).otherwise(path)
-    place = (
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-        .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
-        .when(
-            scheme.isin("http", "https", "ftp", "file") & ((path == "") | F.startswith(path, F.lit("/"))),
-            F.concat(F.lit("//"), path),
+
+    def assemble(k: Column) -> Column:
+        scheme, netloc, path, query = k["scheme"], k["netloc"], k["path"], k["query"]
+        rooted = (path == "") | F.startswith(path, F.lit("/"))
+        place = (
+            F.when(netloc != "", F.concat(F.lit("//"), netloc, F.when(rooted, "").otherwise("/"), path))
+            .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
+            .when(scheme.isin("http", "https", "ftp", "file") & rooted, F.concat(F.lit("//"), path))
+            .otherwise(path)
         )
-        .otherwise(path)
-    )
-    key = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        place,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    broken = F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]"))
-    return F.when(u == "", "").when(broken, F.lower(strip(url))).otherwise(key)
+        return F.concat(
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
+            place,
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        )
+
+    def of_parts(p: Column) -> Column:
+        authority = F.lower(p["authority"])
+        broken = F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]"))
+        pieces = F.struct(
+            p["scheme"].alias("scheme"),
+            F.regexp_replace(authority, r"^www\.", "").alias("netloc"),
+            _canonical_path(p["scheme"], p["path"]).alias("path"),
+            _canonical_query(p["query"], names).alias("query"),
+        )
+        return F.when(broken, F.lower(strip(url))).otherwise(let(pieces, assemble))
+
+    return let(_clean(url), lambda u: F.when(u == "", "").otherwise(let(url_parts(u), of_parts)))
 
 
 def absolute_link(base: Column, href: Column) -> Column:
     """Resolve a link found on a page against the page's URL."""
-    b, h = _clean(base), F.regexp_replace(_clean(href), r"^//(?=/)", "")
-    origin = F.concat(
-        F.when(scheme_of(b) != "", F.concat(scheme_of(b), F.lit(":"))).otherwise(""),
-        F.when(authority_of(b) != "", F.concat(F.lit("//"), authority_of(b))).otherwise(""),
-    )
-    tail = _after(h, F.length(_head(h)))
-    base_path = path_of(b)
-    base_query = query_of(b)
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    relative = F.regexp_replace(F.concat(folder, _head(h)), r"/{2,}", "/")
-    merged = F.when(F.startswith(h, F.lit("/")), _head(h)).otherwise(relative)
-    resolved = F.when(F.rlike(merged, F.lit(r"(^|/)\.\.?(/|$)")), _dot_free(merged)).otherwise(merged)
-    query_only = F.concat(origin, base_path, tail)
-    fragment_only = F.concat(
-        origin, base_path, F.when(base_query != "", F.concat(F.lit("?"), base_query)).otherwise(""), tail
-    )
-    return (
-        F.when(h == "", base)
-        .when(F.rlike(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme_of(b), F.lit(":"), h))
-        .when(F.startswith(h, F.lit("?")), query_only)
-        .when(F.startswith(h, F.lit("#")), fragment_only)
-        .otherwise(F.concat(origin, resolved, tail))
+
+    def resolve(v: Column) -> Column:
+        h, b, t = v["href"], v["base"], v["link"]
+        origin = F.concat(
+            F.when(b["scheme"] != "", F.concat(b["scheme"], F.lit(":"))).otherwise(""),
+            F.when(b["authority"] != "", F.concat(F.lit("//"), b["authority"])).otherwise(""),
+        )
+        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
+        below = F.concat(F.when(folder == "", "/").otherwise(folder), t["path"])
+        merged = F.when(F.startswith(h, F.lit("/")), t["path"]).otherwise(F.regexp_replace(below, r"/{2,}", "/"))
+        dotted = F.lit(r"(^|/)\.\.?(/|$)")
+        resolved = let(merged, lambda m: F.when(F.rlike(m, dotted), _dot_free(m)).otherwise(m))
+        base_query = F.when(b["query"] != "", F.concat(F.lit("?"), b["query"])).otherwise("")
+        return (
+            F.when(h == "", base)
+            .when(t["scheme"] != "", h)
+            .when(F.startswith(h, F.lit("//")), F.concat(b["scheme"], F.lit(":"), h))
+            .when(F.startswith(h, F.lit("?")), F.concat(origin, b["path"], t["tail"]))
+            .when(F.startswith(h, F.lit("#")), F.concat(origin, b["path"], base_query, t["tail"]))
+            .otherwise(F.concat(origin, resolved, t["tail"]))
+        )
+
+    cleaned = F.regexp_replace(_clean(href), r"^//(?=/)", "")
+    return let(
+        cleaned,
+        lambda h: let(
+            F.struct(h.alias("href"), url_parts(_clean(base)).alias("base"), url_parts(h).alias("link")), resolve
+        ),
     )
 
 
 def _dot_free(path: Column) -> Column:
-    segments = F.split(path, "/")
     empty = F.array().cast("array<string>")
 
     def step(done: Column, seg: Column) -> Column:
@@ -190,16 +216,22 @@ def _dot_free(path: Column) -> Column:
             .otherwise(F.array_append(done, seg))
         )
 
-    folded = F.aggregate(segments, empty, step)
-    ends_open = F.element_at(segments, -1).isin(".", "..")
-    return F.array_join(F.when(ends_open, F.array_append(folded, F.lit(""))).otherwise(folded), "/")
+    def fold(segments: Column) -> Column:
+        folded = F.aggregate(segments, empty, step)
+        ends_open = F.element_at(segments, -1).isin(".", "..")
+        return F.array_join(F.when(ends_open, F.array_append(folded, F.lit(""))).otherwise(folded), "/")
+
+    return let(F.split(path, "/"), fold)
 
 
 def detect_source(url: Column, configured: Column | None = None, known: Sequence[tuple[str, str]] = KNOWN_HOSTS) -> Column:
     """Source label by host fragment; else the configured label, else ``generic``."""
-    host = F.lower(authority_of(_clean(url)))
-    label = F.lit(None).cast("string")
-    for fragment, name in reversed(list(known)):
-        label = F.when(F.contains(host, F.lit(fragment)), F.lit(name)).otherwise(label)
+
+    def label(host: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for fragment, name in reversed(list(known)):
+            out = F.when(F.contains(host, F.lit(fragment)), F.lit(name)).otherwise(out)
+        return out
+
     fallback = [] if configured is None else [F.nullif(blank_if_null(configured), F.lit(""))]
-    return F.coalesce(label, *fallback, F.lit("generic"))
+    return F.coalesce(let(F.lower(url_parts(_clean(url))["authority"]), label), *fallback, F.lit("generic"))

@@ -17,7 +17,9 @@ BLANK_URL = "blank_url"
 
 
 def with_url_key(rows: DataFrame, url: str = "job_url") -> DataFrame:
-    return rows.withColumn("url_key", normalize_url(F.col(url)))
+    """Add the key. The generator keeps later filters on the key from computing it again."""
+    others = [c for c in rows.columns if c != "url_key"]
+    return rows.select(*others, F.explode(F.array(normalize_url(F.col(url)))).alias("url_key"))
 
 
 def existing_keys(batch: DataFrame, store: DataFrame) -> DataFrame:
