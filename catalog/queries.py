@@ -215,8 +215,7 @@ def q_url_normalize(spark, sf_dir):
 
 @query
 def q_url_normalize_params(spark, sf_dir):
-    rows = frame(spark, sf_dir, inputs.PARAM_URLS)
-    return rows.select("o_orderkey", urls.normalize_url(F.col("url")).alias("url_key"))
+    return dedup.with_url_key(frame(spark, sf_dir, inputs.PARAM_URLS), "url").select("o_orderkey", "url_key")
 
 
 @query

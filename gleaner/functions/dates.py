@@ -39,7 +39,7 @@ def stored_day(text: Column) -> Column:
 
     def of_text(t: Column) -> Column:
         def part(i: int) -> Column:
-            return F.regexp_extract(t, _STAMP, i).try_cast("int")
+            return F.nullif(F.regexp_extract(t, _STAMP, i), F.lit("")).cast("int")
 
         offset = F.coalesce(part(7) * 60 + part(8), F.lit(0))
         to_utc = F.when(F.regexp_extract(t, _STAMP, 6) == "-", offset).otherwise(-offset)
@@ -86,7 +86,7 @@ def relative_date(text: Column, now: Column) -> Column:
     def of_text(t: Column) -> Column:
         def ago(unit: str, build) -> Column:
             digits = F.regexp_extract(t, rf"(?U)([0-9]+)\s*{unit}s?\s*ago", 1)
-            return let(digits.try_cast("int").cast("long"), build)
+            return let(F.when(F.length(digits).between(1, 9), digits.cast("long")), build)
 
         iso = F.regexp_extract(t, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)
         us = F.regexp_extract(t, r"[0-9]{2}/[0-9]{2}/[0-9]{4}", 0)

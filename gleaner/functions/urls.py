@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -25,8 +26,10 @@ PARAM_SCHEMES = [
 KNOWN_HOSTS = [("remoteok", "remoteok"), ("weworkremotely", "weworkremotely")]
 
 
-def _clean(url: Column) -> Column:
-    return F.translate(strip(url), "\t\r\n", "")
+def _one_line(url: Column) -> Column:
+    for ch in "\t\r\n":
+        url = F.replace(url, F.lit(ch), F.lit(""))
+    return url
 
 
 def _after(text: Column, prefix_length: Column) -> Column:
@@ -34,14 +37,13 @@ def _after(text: Column, prefix_length: Column) -> Column:
 
 
 def url_parts(u: Column) -> Column:
-    """Struct of scheme, authority, path, query and fragment marker of a cleaned URL, as written."""
+    """Struct of scheme, authority, path, query and tail (query and fragment) of a trimmed URL, as written."""
 
     def of_head(h: Column) -> Column:
-        scheme = F.regexp_extract(h["head"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-        size = F.length(scheme)
+        size = F.length(h["scheme"])
         rest = F.when(size > 0, _after(h["head"], size + 1)).otherwise(h["head"])
         return let(
-            F.struct(F.lower(scheme).alias("scheme"), rest.alias("rest"), h["query"].alias("query"), h["tail"].alias("tail")),
+            F.struct(F.lower(h["scheme"]).alias("scheme"), rest.alias("rest"), h["query"].alias("query"), h["tail"].alias("tail")),
             of_rest,
         )
 
@@ -60,63 +62,94 @@ def url_parts(u: Column) -> Column:
             ),
         )
 
-    def of_url(v: Column) -> Column:
-        head = F.substring_index(v["open"], "?", 1)
+    def of_open(v: Column) -> Column:
         return let(
-            F.struct(
-                head.alias("head"),
-                _after(v["open"], F.length(head) + 1).alias("query"),
-                _after(v["url"], F.length(head)).alias("tail"),
+            F.struct(v["url"].alias("url"), v["open"].alias("open"), F.substring_index(v["open"], "?", 1).alias("head")),
+            lambda w: let(
+                F.struct(
+                    w["head"].alias("head"),
+                    F.regexp_extract(w["head"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1).alias("scheme"),
+                    _after(w["open"], F.length(w["head"]) + 1).alias("query"),
+                    _after(w["url"], F.length(w["head"])).alias("tail"),
+                ),
+                of_head,
             ),
-            of_head,
         )
 
-    return let(F.struct(u.alias("url"), F.substring_index(u, "#", 1).alias("open")), of_url)
+    return let(_one_line(u), lambda x: let(F.struct(x.alias("url"), F.substring_index(x, "#", 1).alias("open")), of_open))
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or a leading ``www.``."""
-    authority = F.lower(url_parts(_clean(url))["authority"])
+    authority = F.lower(url_parts(strip(url))["authority"])
     return F.regexp_replace(F.regexp_replace(authority, r"^.*@|:[0-9]*$", ""), r"^www\.", "")
 
 
+# Text that is the same decoded and encoded.
+_PLAIN = r"^[A-Za-z0-9_.~\-]*$"
+
+
 def _decode(c: Column) -> Column:
-    return F.url_decode(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    decoded = F.url_decode(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(F.rlike(c, F.lit(_PLAIN)), c).otherwise(decoded)
 
 
 def _encode(c: Column) -> Column:
     # Brings the form-encoding of the JVM to RFC 3986's unreserved set.
-    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    encoded = F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.when(F.rlike(c, F.lit(_PLAIN)), c).otherwise(encoded)
 
 
-def query_params(query: Column) -> Column:
-    """Non-blank parameters in order: array of struct(name, pos, raw key, raw value)."""
-    filled = F.filter(F.split(query, "&"), lambda p: F.rlike(p, F.lit(r"(?s)^[^=]*=.")))
+def _filled_params(query: Column) -> Column:
+    return F.filter(F.split(query, "&"), lambda p: F.rlike(p, F.lit(r"(?s)^[^=]*=.")))
 
-    def as_param(p: Column, i: Column) -> Column:
-        key = _decode(F.substring_index(p, "=", 1))
-        value = _decode(_after(p, F.length(F.substring_index(p, "=", 1)) + 1))
-        return F.struct(F.lower(key).alias("name"), i.alias("pos"), key.alias("key"), value.alias("value"))
 
-    return F.transform(filled, as_param)
+def _param_name(p: Column) -> Column:
+    return F.lower(_decode(F.substring_index(p, "=", 1)))
 
 
 def tracking_params(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column:
     """Names of the tracking parameters a URL carries, one entry per occurrence."""
 
     def of_query(query: Column) -> Column:
-        kept = F.filter(query_params(query), lambda p: p["name"].isin(*names))
-        none = F.array().cast("array<string>")
-        return F.when(query == "", none).otherwise(F.transform(kept, lambda p: p["name"]))
+        found = F.filter(F.transform(_filled_params(query), _param_name), lambda n: n.isin(*names))
+        return F.when(query == "", F.array().cast("array<string>")).otherwise(found)
+
+    return let(url_parts(strip(url))["query"], of_query)
+
+
+def _in_order(params: Column, name, pair) -> Column:
+    """Parameters in stable order of their names, joined."""
+    sortable = F.transform(params, lambda p, i: F.struct(name(p).alias("name"), i.alias("pos"), pair(p).alias("pair")))
+    return F.array_join(F.transform(F.sort_array(sortable), lambda p: p["pair"]), "&")
 
-    return let(url_parts(_clean(url))["query"], of_query)
+
+# Parameters that need no decoding: NAME or NAME=VALUE in unreserved characters.
+_PLAIN_QUERY = r"^(?:[A-Za-z0-9_.~\-]*+(?:=[A-Za-z0-9_.~\-]*+)?(?:&|$))*+$"
 
 
 def _canonical_query(query: Column, names: Sequence[str]) -> Column:
-    kept = F.filter(query_params(query), lambda p: ~p["name"].isin(*names))
-    ordered = F.array_sort(kept)
-    pairs = F.transform(ordered, lambda p: F.concat(_encode(p["key"]), F.lit("="), _encode(p["value"])))
-    return F.when(query == "", "").otherwise(F.array_join(pairs, "&"))
+    """Parameters that count, re-encoded, in stable order of their names; blank for none."""
+    dropped = r"(?i)&(?:(?:" + "|".join(map(re.escape, names)) + r")(?:=[^&]*)?|[^=&]*=?)(?=&|$)"
+    left = F.substring(F.regexp_replace(F.concat(F.lit("&"), query), dropped, ""), F.lit(2), F.length(query))
+
+    def ordered(q: Column) -> Column:
+        return F.when(F.contains(q, F.lit("&")), _in_order(F.split(q, "&"), _raw_name, lambda p: p)).otherwise(q)
+
+    plain = let(left, ordered)
+
+    kept = F.filter(_filled_params(query), lambda p: ~_param_name(p).isin(*names))
+    coded = _in_order(kept, _param_name, _recode)
+    return F.when(query == "", "").when(F.rlike(query, F.lit(_PLAIN_QUERY)), plain).otherwise(coded)
+
+
+def _raw_name(p: Column) -> Column:
+    return F.lower(F.substring_index(p, "=", 1))
+
+
+def _recode(p: Column) -> Column:
+    key = F.substring_index(p, "=", 1)
+    return F.concat(_encode(_decode(key)), F.lit("="), _encode(_decode(_after(p, F.length(key) + 1))))
 
 
 def _canonical_path(scheme: Column, path: Column) -> Column:
@@ -134,6 +167,10 @@ def _canonical_path(scheme: Column, path: Column) -> Column:
     return F.when(has, let(F.substring_index(path, "/", -1), with_params)).otherwise(trim(path))
 
 
+# A web address with a host, other than "www." alone, and without path parameters.
+_PLAIN_URL = r"^[Hh][Tt][Tt][Pp][Ss]?://(?![Ww]{3}\.(?:[/?#]|$))[^/?#\[\]\t\r\n]+(?:/[^?#;\t\r\n]*)?(?:[?#][^\t\r\n]*)?$"
+
+
 def normalize_url(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column:
     """Deduplication key of a URL.
 
@@ -142,7 +179,30 @@ def normalize_url(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column
     trailing slash off the path. A URL with unbalanced brackets in the authority
     cannot be split and is only trimmed and lower-cased.
     """
+    return let(strip(url), lambda u: key_of_trimmed(u, names))
+
 
+def key_of_trimmed(
+    u: Column, names: Sequence[str] = TRACKING_PARAMS, opened: Column | None = None, head: Column | None = None
+) -> Column:
+    """The key of a URL that has been trimmed.
+
+    Ordinary addresses take a short way that Spark compiles; the rest are split into
+    their parts first. ``opened`` (before ``#``) and ``head`` (before ``?``) may be given
+    as columns so that they are computed once.
+    """
+    opened = F.substring_index(u, "#", 1) if opened is None else opened
+    head = F.substring_index(opened, "?", 1) if head is None else head
+    origin = F.replace(F.lower(F.regexp_extract(head, "^[^/]*//[^/]*", 0)), F.lit("//www."), F.lit("//"))
+    path = F.regexp_replace(F.regexp_replace(head, "^[^/]*//[^/]*", ""), "(?<=.)/$", "")
+    query = _canonical_query(_after(opened, F.length(head) + 1), names)
+    short = F.rlike(u, F.lit(_PLAIN_URL))
+    # Neither part can end in a question mark of its own.
+    plain = F.rtrim(F.concat(origin, path, F.lit("?"), query), F.lit("?"))
+    return F.when(short, plain).when(u == "", "").otherwise(_key_of_parts(u, names))
+
+
+def _key_of_parts(u: Column, names: Sequence[str]) -> Column:
     def assemble(k: Column) -> Column:
         scheme, netloc, path, query = k["scheme"], k["netloc"], k["path"], k["query"]
         rooted = (path == "") | F.startswith(path, F.lit("/"))
@@ -167,9 +227,9 @@ def normalize_url(url: Column, names: Sequence[str] = TRACKING_PARAMS) -> Column
             _canonical_path(p["scheme"], p["path"]).alias("path"),
             _canonical_query(p["query"], names).alias("query"),
         )
-        return F.when(broken, F.lower(strip(url))).otherwise(let(pieces, assemble))
+        return F.when(broken, F.lower(u)).otherwise(let(pieces, assemble))
 
-    return let(_clean(url), lambda u: F.when(u == "", "").otherwise(let(url_parts(u), of_parts)))
+    return let(url_parts(u), of_parts)
 
 
 def absolute_link(base: Column, href: Column) -> Column:
@@ -196,11 +256,11 @@ def absolute_link(base: Column, href: Column) -> Column:
             .otherwise(F.concat(origin, resolved, t["tail"]))
         )
 
-    cleaned = F.regexp_replace(_clean(href), r"^//(?=/)", "")
+    cleaned = F.regexp_replace(_one_line(strip(href)), r"^//(?=/)", "")
     return let(
         cleaned,
         lambda h: let(
-            F.struct(h.alias("href"), url_parts(_clean(base)).alias("base"), url_parts(h).alias("link")), resolve
+            F.struct(h.alias("href"), url_parts(strip(base)).alias("base"), url_parts(h).alias("link")), resolve
         ),
     )
 
@@ -234,4 +294,4 @@ def detect_source(url: Column, configured: Column | None = None, known: Sequence
         return out
 
     fallback = [] if configured is None else [F.nullif(blank_if_null(configured), F.lit(""))]
-    return F.coalesce(let(F.lower(url_parts(_clean(url))["authority"]), label), *fallback, F.lit("generic"))
+    return F.coalesce(let(F.lower(url_parts(strip(url))["authority"]), label), *fallback, F.lit("generic"))

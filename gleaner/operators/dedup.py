@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.functions.text import percent
-from gleaner.functions.urls import normalize_url
+from gleaner.functions.text import percent, strip
+from gleaner.functions.urls import key_of_trimmed
 from gleaner.operators.skew import annotate_by_key
 
 KEPT = "kept"
@@ -17,15 +17,27 @@ BLANK_URL = "blank_url"
 
 
 def with_url_key(rows: DataFrame, url: str = "job_url") -> DataFrame:
-    """Add the key. The generator keeps later filters on the key from computing it again."""
+    """Add the key, step by step so that no step is computed twice.
+
+    The generator at the end keeps later filters on the key from computing it again.
+    """
     others = [c for c in rows.columns if c != "url_key"]
-    return rows.select(*others, F.explode(F.array(normalize_url(F.col(url)))).alias("url_key"))
+    trimmed = rows.select(*others, strip(F.col(url)).alias("_url"))
+    opened = trimmed.select("*", F.substring_index("_url", "#", 1).alias("_open"))
+    headed = opened.select("*", F.substring_index("_open", "?", 1).alias("_head"))
+    key = key_of_trimmed(F.col("_url"), opened=F.col("_open"), head=F.col("_head"))
+    return headed.select(*others, F.explode(F.array(key)).alias("url_key"))
 
 
 def existing_keys(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Distinct keys of the batch that the store already holds."""
+    """Distinct keys of the batch that the store already holds.
+
+    The store is the streamed side and the keys of the batch are looked up in: while
+    those are few Spark broadcasts them and the store is not shuffled, and beyond that
+    a Bloom filter of them can thin the store out before its shuffle.
+    """
     keys = batch.filter(F.col("url_key") != "").select("url_key").distinct()
-    return keys.join(store.select("url_key"), "url_key", "left_semi")
+    return store.select("url_key").join(keys, "url_key", "left_semi").distinct()
 
 
 def first_in_batch(batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -52,7 +64,7 @@ def label_batch(batch: DataFrame, store: DataFrame | None, order_by: Sequence[st
     if store is None:
         verdict = first.withColumn("_stored", F.lit(False))
     else:
-        stored = store.select("url_key").distinct().withColumn("_stored", F.lit(True))
+        stored = existing_keys(batch, store).withColumn("_stored", F.lit(True))
         verdict = first.join(stored, "url_key", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     labelled = batch.join(verdict.drop("url_key"), list(order_by), "left")
     status = (

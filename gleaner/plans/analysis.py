@@ -41,7 +41,7 @@ def analyze(
     else:
         rows = postings.filter(F.col("is_active").cast("boolean")).select(*columns)
     text = mining_text(F.col("title"), F.col("company"), F.col("raw_html"))
-    counts = cut(mining.skill_counts(spread(rows, row_id), text, taxonomy))
+    counts = cut(mining.skill_counts(spread(rows, row_id), text, taxonomy), "counts")
     frequency = mining.skill_frequency(counts, taxonomy)
     return Analysis(
         period=stats.period(rows, as_of),

@@ -45,17 +45,19 @@ def ingest_batch(
 ) -> IngestResult:
     """Append the rows whose URL key is new; ``order_by`` names the unique position of a row.
 
-    The verdicts (position, key, URL, status) are settled once in the shared folder
-    before anything is appended. The appended rows, the audit rows and the counts all
-    follow from them, and running the same batch again appends nothing. One writer
-    per table.
+    Keys and verdicts (position, key, URL, status) are narrow tables in the shared
+    folder, settled before anything is appended. The appended rows, the audit rows and
+    the counts all follow from them, and running the same batch again appends nothing.
+    The batch itself is read twice: for its keys, and for the rows to append. One
+    writer per table.
     """
     spark = rows.sparkSession
     stamp = F.lit(run_ts).cast("timestamp")
     keyed = dedup.with_url_key(storage_projection(rows, stamp))
-    narrow = keyed.select(*order_by, *[c for c in carry if c not in order_by], "source_site", "job_url", "url_key")
+    carried = [c for c in carry if c not in order_by]
+    narrow = cut(keyed.select(*order_by, *carried, "source_site", "job_url", "url_key"), "keys")
     store = read_store(spark, tables.postings)
-    labels = cut(dedup.label_batch(narrow, store.select("url_key"), order_by))
+    labels = cut(dedup.label_batch(narrow, store, order_by), "labels")
 
     kept = labels.filter(F.col("status") == dedup.KEPT).select(*order_by)
     fresh = (

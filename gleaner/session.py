@@ -41,8 +41,6 @@ def shared_root(spark: SparkSession) -> str:
         root = _LOCAL_ROOTS.get(sc.applicationId)
         if root is None:
             root = _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="gleaner-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
     return root
 
 
@@ -51,10 +49,14 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write the frame to a table in the shared folder and go on from there.
+
+    The table outlives executors, is read by column, and no step before it runs again.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:

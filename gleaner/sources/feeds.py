@@ -76,6 +76,7 @@ def feed_postings(entries: DataFrame, entry: str = "entry") -> DataFrame:
     # A name given as an explicit null breaks the record; an absent one is blank.
     nulled = F.coalesce(F.rlike(entry, F.lit(r'"(position|company|description)"\s*:\s*null\b')), F.lit(False))
     missing = e["position"].isNull() | e["company"].isNull() | e["description"].isNull()
+    no_tags = e["tags"].isNull() & (blank_if_null(e["location"]) == "") & F.rlike(entry, F.lit(r'"tags"\s*:\s*null\b'))
     parsed = entries.select("*", F.from_json(F.col(entry), schema.FEED_ENTRY).alias("_e"))
     return parsed.select(
         *others,
@@ -87,5 +88,5 @@ def feed_postings(entries: DataFrame, entry: str = "entry") -> DataFrame:
         detail_url(e["slug"], e["id"]).alias("job_url"),
         F.lit(FEED_SOURCE).alias("source_site"),
         pack_raw(F.col(entry), e["tags"]).alias("raw_html"),
-        (e.isNull() | (missing & nulled)).alias("unparsed"),
+        (e.isNull() | (missing & nulled) | F.coalesce(no_tags, F.lit(False))).alias("unparsed"),
     )

@@ -157,7 +157,7 @@ def _outer(html: Column, start: str) -> Column:
             F.lit(0).alias("depth"), F.lit("").alias("text"), F.array().cast("array<string>").alias("done")
         )
         return F.aggregate(
-            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
+            pieces,
             start_state,
             step,
             lambda end: F.when(end["depth"] > 0, F.array_append(end["done"], end["text"])).otherwise(end["done"]),
