@@ -141,8 +141,8 @@ def _names(sql: str) -> list[str]:
     return sorted({field for _, field, _, _ in string.Formatter().parse(sql) if field})
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in _names(sql)})
+def frame(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    return spark.sql(sql, **{n: given[n] if n in given else table(spark, sf_dir, n) for n in _names(sql)})
 
 
 def text(sql: str) -> str:

@@ -44,15 +44,12 @@ def query(f: Query) -> Query:
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, inputs.POSTINGS).withColumn(
-        "week_key", dates.week_key(F.col("date_posted"), F.col("scraped_at"))
-    )
+    return dates.with_week_key(frame(spark, sf_dir, inputs.POSTINGS))
 
 
 def _doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, inputs.DOC_POSTINGS).withColumn(
-        "week_key", dates.week_key(F.col("date_posted"), F.col("scraped_at"))
-    )
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return dates.with_week_key(frame(spark, sf_dir, inputs.DOC_POSTINGS, documents=documents))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +142,8 @@ def q_posted_date(spark, sf_dir):
 
 @query
 def q_relative_date(spark, sf_dir):
-    return frame(spark, sf_dir, inputs.RELDATE).select("event_id", dates.relative_date(F.col("txt"), _now()).alias("parsed"))
+    rows = spread(frame(spark, sf_dir, inputs.RELDATE), "event_id", per_core=1)
+    return rows.select("event_id", dates.relative_date(F.col("txt"), _now()).alias("parsed"))
 
 
 @query
@@ -215,7 +213,8 @@ def q_url_normalize(spark, sf_dir):
 
 @query
 def q_url_normalize_params(spark, sf_dir):
-    return dedup.with_url_key(frame(spark, sf_dir, inputs.PARAM_URLS), "url").select("o_orderkey", "url_key")
+    rows = spread(frame(spark, sf_dir, inputs.PARAM_URLS), "o_orderkey", per_core=1)
+    return dedup.with_url_key(rows, "url").select("o_orderkey", "url_key")
 
 
 @query
@@ -230,7 +229,7 @@ def q_week_key(spark, sf_dir):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"), F.col("o_orderdate").alias("seen")
     )
     events = table(spark, sf_dir, "events").select(F.lit("").alias("posted"), F.col("ts").alias("seen"))
-    weeks = dedup.union_sources(ordered, events).select(dates.week_key(F.col("posted"), F.col("seen")).alias("week_key"))
+    weeks = dates.with_week_key(dedup.union_sources(ordered, events), "posted", "seen")
     return weeks.groupBy("week_key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -461,7 +460,7 @@ def q_corpus_summary(spark, sf_dir):
 
 @query
 def q_skill_trend(spark, sf_dir):
-    rows = spread(_doc_postings(spark, sf_dir).select("doc_id", "title", "company", "raw_html", "week_key"), "doc_id")
+    rows = _doc_postings(spark, sf_dir)
     text = mining_text(F.col("title"), F.col("company"), F.col("raw_html"))
     return mining.skill_trend(mining.skill_counts(rows, text, FIXTURE_TAXONOMY, "week_key"))
 
@@ -470,7 +469,7 @@ def q_skill_trend(spark, sf_dir):
 
 
 def _analysis(spark: SparkSession, sf_dir: str, week_key: str | None = None) -> analysis.Analysis:
-    return analysis.analyze(_doc_postings(spark, sf_dir), FIXTURE_TAXONOMY, _now(), week_key, row_id="doc_id")
+    return analysis.analyze(_doc_postings(spark, sf_dir), FIXTURE_TAXONOMY, _now(), week_key)
 
 
 @query

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions.text import blank_if_null, let, strip
 
 
 def week_label(day: Column) -> Column:
     """``YYYY-Wnn`` of a date: weeks begin on Monday, days before the first Monday are ``W00``."""
+    return let(day, _label)
 
-    def label(d: Column) -> Column:
-        week = F.floor((F.dayofyear(d) + 6 - F.weekday(d)) / 7).cast("string")
-        return F.concat(F.date_format(d, "yyyy"), F.lit("-W"), F.lpad(week, 2, "0"))
 
-    return let(day, label)
+def _label(d: Column) -> Column:
+    week = F.floor((F.dayofyear(d) + 6 - F.weekday(d)) / 7).cast("string")
+    return F.concat(F.lpad(F.year(d).cast("string"), 4, "0"), F.lit("-W"), F.lpad(week, 2, "0"))
 
 
 def week_label_of(d: date | datetime) -> str:
@@ -38,14 +38,14 @@ def stored_day(text: Column) -> Column:
     """
 
     def of_text(t: Column) -> Column:
-        def part(i: int) -> Column:
+        def group(i: int) -> Column:
             return F.nullif(F.regexp_extract(t, _STAMP, i), F.lit("")).cast("int")
 
-        offset = F.coalesce(part(7) * 60 + part(8), F.lit(0))
+        offset = F.coalesce(group(7) * 60 + group(8), F.lit(0))
         to_utc = F.when(F.regexp_extract(t, _STAMP, 6) == "-", offset).otherwise(-offset)
-        clock = F.coalesce(part(4) * 60 + part(5), F.lit(0))
+        clock = F.coalesce(group(4) * 60 + group(5), F.lit(0))
         fields = F.struct(
-            part(1).alias("year"), part(2).alias("month"), part(3).alias("day"), clock.alias("clock"),
+            group(1).alias("year"), group(2).alias("month"), group(3).alias("day"), clock.alias("clock"),
             F.when(F.length(t) > 10, to_utc).otherwise(0).alias("to_utc"),
         )
         return let(fields, of_fields)
@@ -55,14 +55,30 @@ def stored_day(text: Column) -> Column:
         ok = f["month"].between(1, 12) & f["day"].between(1, 31) & (f["clock"] <= 1440)
         return F.when(ok, F.date_add(F.make_date(f["year"], f["month"], F.lit(1)), f["day"] - 1 + carry))
 
-    return let(strip(text), of_text)
+    def part(start: int, size: int) -> Column:
+        return F.substring(text, start, size).cast("int")
+
+    # Nearly all texts are plain days, which need no closer look.
+    plain = F.rlike(text, F.lit(r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$"))
+    day = F.date_add(F.make_date(part(1, 4), part(6, 2), F.lit(1)), part(9, 2) - 1)
+    return F.when(plain, day).otherwise(let(strip(text), of_text))
+
+
+def posting_day(date_posted: Column, scraped_at: Column) -> Column:
+    """The posting date, or the day of capture when no date is given."""
+    return F.when(blank_if_null(date_posted) == "", F.to_date(scraped_at)).otherwise(stored_day(date_posted))
 
 
 def week_key(date_posted: Column, scraped_at: Column) -> Column:
     """Week of the posting date, or of the capture time when no date is given."""
-    return week_label(
-        F.when(blank_if_null(date_posted) == "", F.to_date(scraped_at)).otherwise(stored_day(date_posted))
-    )
+    return week_label(posting_day(date_posted, scraped_at))
+
+
+def with_week_key(rows: DataFrame, date_posted: str = "date_posted", scraped_at: str = "scraped_at") -> DataFrame:
+    """Add ``week_key``, computed once whatever is filtered by it later."""
+    others = [c for c in rows.columns if c != "week_key"]
+    dated = rows.select(*others, posting_day(F.col(date_posted), F.col(scraped_at)).alias("_day"))
+    return dated.select(*others, F.explode(F.array(_label(F.col("_day")))).alias("week_key"))
 
 
 def posted_day(text: Column) -> Column:

@@ -26,9 +26,13 @@ def validation_errors(title: Column, job_url: Column, unparsed: Column | None =
 
 
 def with_errors(rows: DataFrame) -> DataFrame:
-    """Add ``errors``; a column ``unparsed`` marks rows whose record itself was broken."""
+    """Add ``errors``; a column ``unparsed`` marks rows whose record itself was broken.
+
+    The generator keeps filters on ``errors`` from parsing the fields a second time.
+    """
     unparsed = F.coalesce(F.col("unparsed"), F.lit(False)) if "unparsed" in rows.columns else None
-    return rows.withColumn("errors", validation_errors(F.col("title"), F.col("job_url"), unparsed))
+    errors = validation_errors(F.col("title"), F.col("job_url"), unparsed)
+    return rows.select("*", F.explode(F.array(errors)).alias("errors"))
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:

@@ -75,24 +75,19 @@ def corpus_summary(counts: DataFrame) -> DataFrame:
 
 
 def skill_trend(weekly: DataFrame, week: str = "week_key") -> DataFrame:
-    """Week-over-week change per skill from ``skill_counts(…, week)``.
+    """Week-over-week change per skill from ``skill_counts(…, week)``, which is read once.
 
     A skill has a row in every week in which it, or the week before it, has mentions.
-    ``delta`` is NULL in the first week. The weeks are ordered once (a calendar's worth
-    of rows); the counts only meet on (week, skill).
+    ``delta`` is NULL in the first week. A week becomes one row that holds its counts, no
+    more than the taxonomy has skills, and the window over them is as long as the calendar.
     """
-    counted = weekly.filter(F.col("skill").isNotNull() & F.col(week).isNotNull())
-    order = Window.orderBy(week)
-    weeks = weekly.filter(F.col(week).isNotNull()).select(week).distinct()
-    weeks = weeks.select(week, F.lead(week).over(order).alias("_next"), F.lag(week).over(order).isNull().alias("_first"))
-    placed = counted.join(weeks, week)
-    this = placed.select(week, "skill", F.col("n"), F.lit(0).cast("long").alias("before"), "_first")
-    carried = placed.filter(F.col("_next").isNotNull()).select(
-        F.col("_next").alias(week), "skill", F.lit(0).cast("long").alias("n"), F.col("n").alias("before"),
-        F.lit(False).alias("_first"),
+    counted = F.when(F.col("skill").isNotNull(), F.struct("skill", "n"))
+    weeks = weekly.filter(F.col(week).isNotNull()).groupBy(week).agg(
+        F.map_from_entries(F.collect_list(counted)).alias("_now")
     )
-    both = this.unionByName(carried).groupBy(week, "skill").agg(
-        F.sum("n").alias("n"), F.sum("before").alias("before"), F.max("_first").alias("_first")
-    )
-    return both.select(week, "skill", "n", F.when(~F.col("_first"), F.col("n") - F.col("before")).alias("delta"))
-
+    sides = weeks.withColumn("_before", F.lag("_now").over(Window.orderBy(week)))
+    listed = F.map_keys("_now")
+    skills = F.when(F.col("_before").isNull(), listed).otherwise(F.array_union(listed, F.map_keys("_before")))
+    rows = sides.withColumn("skill", F.explode(skills)).withColumn("n", F.coalesce(F.col("_now")[F.col("skill")], F.lit(0)))
+    before = F.coalesce(F.col("_before")[F.col("skill")], F.lit(0))
+    return rows.select(week, "skill", "n", F.when(F.col("_before").isNotNull(), F.col("n") - before).alias("delta"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleaner.functions.phrases import Taxonomy
 from gleaner.functions.text import mining_text
 from gleaner.operators import mining, stats
-from gleaner.session import cut, spread
+from gleaner.session import cut
 from gleaner.sources.postings import weekly_scan
 
 TOP_SKILLS, TOP_PER_CATEGORY, TOP_COMPANIES = 10, 5, 20
@@ -26,22 +26,20 @@ class Analysis:
     companies: DataFrame
 
 
-def analyze(
-    postings: DataFrame, taxonomy: Taxonomy, as_of: Column, week_key: str | None = None, row_id: str = "url_key"
-) -> Analysis:
+def analyze(postings: DataFrame, taxonomy: Taxonomy, as_of: Column, week_key: str | None = None) -> Analysis:
     """Analyse the active postings of a week (of all weeks without one).
 
     The text is read and mined once; its counts, one row per skill, are kept in the
     shared folder for the frames that build on them. The distributions count inactive
     postings too.
     """
-    columns = [row_id, "title", "company", "raw_html", "date_posted"]
+    columns = ["title", "company", "raw_html", "date_posted"]
     if week_key:
         rows = weekly_scan(postings, week_key, columns)
     else:
         rows = postings.filter(F.col("is_active").cast("boolean")).select(*columns)
     text = mining_text(F.col("title"), F.col("company"), F.col("raw_html"))
-    counts = cut(mining.skill_counts(spread(rows, row_id), text, taxonomy), "counts")
+    counts = cut(mining.skill_counts(rows, text, taxonomy), "counts")
     frequency = mining.skill_frequency(counts, taxonomy)
     return Analysis(
         period=stats.period(rows, as_of),

@@ -60,12 +60,8 @@ def ingest_batch(
     labels = cut(dedup.label_batch(narrow, store, order_by), "labels")
 
     kept = labels.filter(F.col("status") == dedup.KEPT).select(*order_by)
-    fresh = (
-        keyed.join(kept, list(order_by), "left_semi")
-        .withColumn("is_active", F.lit(True))
-        .withColumn("week_key", dates.week_key(F.col("date_posted"), F.col("scraped_at")))
-        .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.POSTING])
-    )
+    fresh = keyed.join(kept, list(order_by), "left_semi").withColumn("is_active", F.lit(True))
+    fresh = dates.with_week_key(fresh).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.POSTING])
     write_postings(fresh, tables.postings)
     dedup.dedup_audit(labels, stamp).write.mode("append").parquet(tables.audit)
 

@@ -60,10 +60,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """Give CPU-heavy narrow work enough tasks.
+    """Give CPU-heavy work on a plain scan enough tasks.
 
     A few small files become a few tasks. At scale the scan already has far more
     splits than cores and the frame is returned unchanged, so no text is shuffled.
+    Meant for scans with narrow steps: asking a frame with a join for its partitions
+    would run the join.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
     if df.rdd.getNumPartitions() >= wanted:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner import schema
 from gleaner.functions.dates import feed_date
-from gleaner.functions.text import blank_if_null, strip
+from gleaner.functions.text import blank_if_null, let, strip
 
 # A tag that contains one of these names a place.
 LOCATION_KEYWORDS = [
@@ -34,12 +34,16 @@ def read_feed(spark: SparkSession, path: str, one_body_per_file: bool = True) ->
 def feed_entries(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One row per entry with its position; position 0 is metadata unless it stands alone."""
     others = [c for c in bodies.columns if c != body]
-    entries = F.from_json(F.col(body), "array<string>")
+
+    def sized(entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.struct(e.alias("entry"), F.size(entries).alias("size")))
+
+    # Parsed inside the generator, so that the body is parsed once.
+    entries = let(F.from_json(F.col(body), "array<string>"), sized)
     return (
-        bodies.select(*others, entries.alias("_entries"))
-        .select(*others, F.size("_entries").alias("_size"), F.posexplode("_entries").alias("pos", "entry"))
-        .filter((F.col("pos") > 0) | (F.col("_size") == 1))
-        .drop("_size")
+        bodies.select(*others, F.posexplode(entries).alias("pos", "_item"))
+        .filter((F.col("pos") > 0) | (F.col("_item.size") == 1))
+        .select(*others, "pos", F.col("_item.entry").alias("entry"))
     )
 
 
@@ -72,12 +76,17 @@ def pack_raw(entry: Column, tags: Column) -> Column:
 def feed_postings(entries: DataFrame, entry: str = "entry") -> DataFrame:
     """Feed entries as posting rows; ``unparsed`` marks entries without a usable record."""
     others = [c for c in entries.columns if c != entry]
-    e = F.col("_e")
+    # inline: the entry is parsed once, whatever is asked of its fields later.
+    fields = F.inline(F.array(F.from_json(F.col(entry), schema.FEED_ENTRY)))
+    names = {f.name: f"_{f.name}" for f in schema.FEED_ENTRY}
+    parsed = entries.select(*others, entry, fields.alias(*names.values()))
+    e = {name: F.col(column) for name, column in names.items()}
+
     # A name given as an explicit null breaks the record; an absent one is blank.
-    nulled = F.coalesce(F.rlike(entry, F.lit(r'"(position|company|description)"\s*:\s*null\b')), F.lit(False))
+    nulled = F.rlike(entry, F.lit(r'"(position|company|description)"\s*:\s*null\b'))
     missing = e["position"].isNull() | e["company"].isNull() | e["description"].isNull()
     no_tags = e["tags"].isNull() & (blank_if_null(e["location"]) == "") & F.rlike(entry, F.lit(r'"tags"\s*:\s*null\b'))
-    parsed = entries.select("*", F.from_json(F.col(entry), schema.FEED_ENTRY).alias("_e"))
+    unparsed = ~F.startswith(entry, F.lit("{")) | (missing & nulled) | no_tags
     return parsed.select(
         *others,
         strip(e["position"]).alias("title"),
@@ -88,5 +97,5 @@ def feed_postings(entries: DataFrame, entry: str = "entry") -> DataFrame:
         detail_url(e["slug"], e["id"]).alias("job_url"),
         F.lit(FEED_SOURCE).alias("source_site"),
         pack_raw(F.col(entry), e["tags"]).alias("raw_html"),
-        (e.isNull() | (missing & nulled) | F.coalesce(no_tags, F.lit(False))).alias("unparsed"),
+        F.coalesce(unparsed, F.lit(True)).alias("unparsed"),
     )
