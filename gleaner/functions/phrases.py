@@ -106,8 +106,12 @@ class Taxonomy:
         groups: dict[str, list[str]] = {}
         for phrase in self.by_priority:
             groups.setdefault(self._before(phrase), []).append(phrase)
+        # Looking at the first character is cheaper than looking at the boundary before it.
         return "|".join(
-            before + _prefix_pattern({p: self._after(p) for p in phrases}) for before, phrases in groups.items()
+            f"(?=[{''.join(sorted({_quote(p[0]) for p in phrases}))}])"
+            + before
+            + _prefix_pattern({p: self._after(p) for p in phrases})
+            for before, phrases in groups.items()
         )
 
     @cached_property

@@ -37,7 +37,15 @@ def existing_keys(batch: DataFrame, store: DataFrame) -> DataFrame:
     a Bloom filter of them can thin the store out before its shuffle.
     """
     keys = batch.filter(F.col("url_key") != "").select("url_key").distinct()
-    return store.select("url_key").join(keys, "url_key", "left_semi").distinct()
+    return _stored_among(keys, store, "url_key")
+
+
+def _stored_among(keys: DataFrame, store: DataFrame, never_null: str) -> DataFrame:
+    # Asking for a column that is never NULL keeps it in the plan of `keys`, so that Spark
+    # sees the same exchange wherever `keys` is used and runs it once.
+    k, s = keys.alias("_keys"), store.select("url_key").alias("_store")
+    match = (F.col("_store.url_key") == F.col("_keys.url_key")) & F.col(f"_keys.{never_null}").isNotNull()
+    return s.join(k, match, "left_semi").distinct()
 
 
 def first_in_batch(batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -64,7 +72,7 @@ def label_batch(batch: DataFrame, store: DataFrame | None, order_by: Sequence[st
     if store is None:
         verdict = first.withColumn("_stored", F.lit(False))
     else:
-        stored = existing_keys(batch, store).withColumn("_stored", F.lit(True))
+        stored = _stored_among(first, store, order_by[0]).withColumn("_stored", F.lit(True))
         verdict = first.join(stored, "url_key", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     labelled = batch.join(verdict.drop("url_key"), list(order_by), "left")
     status = (
