@@ -395,6 +395,13 @@ from (select unnest([cast(1 as bigint), 2]) as run_no) r,
     "q_stored_postings": f"""
 select url_key, arg_min(job_url, batch_pos) as job_url, '2026-W25' as week_key, 'a posting' as title
 from ({KEYED}) where url_key <> '' group by url_key""",
+    "q_run_log": f"""
+select cast(case when blog then 1 else 2 end as bigint) as run_id, case when blog then 'blogs' else 'others' end as source_site,
+       'completed' as status, count(distinct page_no) filter (where ok) as pages_scraped, count(*) filter (where ok) as jobs_found,
+       count(distinct url_key) filter (where ok) as jobs_inserted,
+       count(*) filter (where ok) - count(distinct url_key) filter (where ok) as jobs_deduplicated,
+       count(*) filter (where not ok) as errors_encountered
+from (select *, source_site like 'blog.%' as blog, job_url <> '' as ok from ({KEYED})) group by blog""",
     "q_run_counters": f"""
 select source_site, count(distinct page_no) as pages_scraped, count(*) as jobs_found, count(*) filter (where status = 'kept') as jobs_inserted,
        count(*) filter (where status like 'duplicate%') as jobs_deduplicated, cast(0 as bigint) as errors_encountered

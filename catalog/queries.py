@@ -381,6 +381,16 @@ def q_stored_postings(spark, sf_dir):
     return postings.read_store(spark, tables.postings).select("url_key", "job_url", "week_key", "title")
 
 
+@query
+def q_run_log(spark, sf_dir):
+    tables = ingest.Tables.below(work_path(spark, "runs"))
+    rows = _batch_rows(spark, sf_dir)
+    blog = F.col("source_site").startswith("blog.")
+    sources = {"blogs": lambda: rows.filter(blog), "others": lambda: rows.filter(~blog)}
+    state = ingest.run_ingest(spark, sources, tables, lambda: RUN_TS, 1, ["batch_pos"], page="page_no")
+    return state.select("run_id", "source_site", "status", *runs.COUNTERS)
+
+
 @query
 def q_run_counters(spark, sf_dir):
     labelled = dedup.label_batch(_batch(spark, sf_dir), _store(spark, sf_dir), ["batch_pos"])
