@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def build_session(app: str = "gleaner", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings this library counts on (UTC, AQE, runtime filters)."""
@@ -29,21 +26,22 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf) -> Sp
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local master without that setting (tests) gets a folder of its own.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = _LOCAL_ROOTS.get(sc.applicationId)
-        if root is None:
-            root = _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="gleaner-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return root
 
 
+def ensure_work_folder(spark: SparkSession, folder: str = "/tmp/checkpoints") -> None:
+    """Give a local session without a shared folder one of its own; a cluster must name its folder itself."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and sc.master.startswith("local["):
+        sc.setCheckpointDir(folder)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

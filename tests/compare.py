@@ -65,7 +65,7 @@ def main(sf_dir, names):
 
     spark = build_session(
         master="local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.driver.memory": "8g", "spark.ui.enabled": "false",
-                              "spark.ui.showConsoleProgress": "false"}
+                              "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": "/tmp/checkpoints"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sql = connect(sf_dir), entry.oracle_sql()
