@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import exact_dedup, mixing, url_rules
+from gleaner.llm import decontaminate, exact_dedup, mixing, simhash, url_rules
 from gleaner.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +19,52 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op2_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 @query
 def op4_source_mix(spark, sf_dir):
     mixed = mixing.mixture(table(spark, sf_dir, "documents"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.n_hit()
+    return found.select(
+        "doc.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op7_decontaminate"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select item_id, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+dw as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw))),
+h as (select doc_id, i, n, item_id from dw join bw using (n, g)),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
+t as (
+  select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as s
+  from (select distinct doc_id, cast(item_id as varchar) as x from h) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     found = exact_dedup.refine(table(spark, sf_dir, "documents"), digest=True)

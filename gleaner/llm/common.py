@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,3 +54,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             total += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def blocks(data: bytes, gap: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in blocks that end at a ``gap``, so that a long one is never held as a list of words."""
+    start = 0
+    while start < len(data):
+        found = gap.search(data, start + size)
+        end = found.start() if found else len(data)
+        yield data[start:end]
+        start = end
