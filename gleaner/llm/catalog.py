@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, mixing, simhash, url_rules
+from gleaner.llm import decontaminate, exact_dedup, language, mixing, simhash, tokens, toxicity, url_rules
 from gleaner.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +26,25 @@ def op2_simhash(spark, sf_dir):
     return found.select("doc.doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op3_token_counts(spark, sf_dir):
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 @query
 def op4_source_mix(spark, sf_dir):
     mixed = mixing.mixture(table(spark, sf_dir, "documents"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -81,6 +95,14 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from d window w as (partition by text_sha256 order by n desc, doc_id)
 """
 
+@query
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    rejected = (F.col("score") >= toxicity.REJECT).cast("int")
+    return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "score", rejected.alias("predicted"))
+
+
 #: The host rules of the contract.
 HOST_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
