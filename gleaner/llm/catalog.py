@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import decontaminate, exact_dedup, language, mixing, simhash, tokens, toxicity, url_rules
+from gleaner.llm import archives, decontaminate, exact_dedup, language, mixing, simhash, tokens, toxicity, url_rules
 from gleaner.llm.common import held_out, table
+from gleaner.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +46,12 @@ def op5_language(spark, sf_dir):
     return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_archives(spark, sf_dir):
+    back = archives.archive(table(spark, sf_dir, "pages"), work_path(spark, "warc"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op7_decontaminate(spark, sf_dir):
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
