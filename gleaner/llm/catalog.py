@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import archives, decontaminate, exact_dedup, language, mixing, simhash, tokens, toxicity, url_rules
+from gleaner.llm import archives, decontaminate, exact_dedup, extraction, language, mixing, simhash, tokens, toxicity, url_rules
 from gleaner.llm.common import held_out, table
 from gleaner.session import work_path
 
@@ -21,6 +21,13 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = extraction.main_text(pages, extraction.train(pages))
+    return found.select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(columns: list[str] | tuple[str, ...]) -> Column:
+    """The columns in one struct, so that their names meet no other."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
+
+
+def unpacked(df: DataFrame, struct: str, *more: str) -> DataFrame:
+    """The fields of a struct and then ``more`` columns, which take the place of fields of the same name."""
+    taken = {m.lower() for m in more}
+    fields = [f for f in df.schema[struct].dataType.names if f.lower() not in taken]
+    return df.select(*[F.col(struct).getField(f).alias(f) for f in fields], *more)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the quarter of ids that no model may learn from; a null id is not in it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gleaner.llm.common import blocks, pieces
+from gleaner.llm.common import blocks, packed, pieces
 from gleaner.session import cut
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -225,7 +225,7 @@ def matches(
     """
     sc = docs.sparkSession.sparkContext
     inside = "text" in carry
-    state = docs.select(F.struct(*carry).alias("doc"), *([] if inside else ["text"]))
+    state = docs.select(packed(carry).alias("doc"), *([] if inside else ["text"]))
     found = T.StructType([
         state.schema["doc"], *([] if inside else [T.StructField("text", T.StringType())]), T.StructField("n_words", T.LongType()),
         T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", MATCH),

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.llm.common import BLANKS, with_row_id
+from gleaner.llm.common import BLANKS, packed, with_row_id
 from gleaner.operators.skew import annotate_by_key
 from gleaner.session import cut
 
@@ -18,7 +18,7 @@ def normal_text(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, carry: Sequence[str], prefix: int) -> DataFrame:
-    normal = docs.select(F.struct(*carry).alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("whole")).withColumn(
+    normal = docs.select(packed(carry).alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("whole")).withColumn(
         "normal", normal_text(F.col("whole"))
     )
     return normal.select(

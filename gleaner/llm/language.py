@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from gleaner.llm.common import learnable, pieces
+from gleaner.llm.common import learnable, packed, pieces
 from gleaner.session import cut
 
 #: Lengths of the n-grams, in letters; a blank stands for all that is not a letter.
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, filters: Filters, carry: Sequence[str] = ("doc_id"
     score 0, as is every text if nothing was learned; equal languages are settled by name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select(F.struct(*carry).alias("doc"), "text")
+    rows = docs.select(packed(carry).alias("doc"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):

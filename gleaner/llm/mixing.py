@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.llm.common import WORD, null_safe, with_row_id
+from gleaner.llm.common import WORD, null_safe, packed, unpacked, with_row_id
 from gleaner.session import cut
 
 _BINS = 4096
@@ -87,7 +87,7 @@ def mixture(
     """
     hashes = [F.xxhash64(F.lit(seed + i), F.col("doc_id"), F.col("text")) for i in (0, 1)]
     units = with_row_id(
-        docs.select(F.struct(*carry).alias("doc"), "source", word_count().alias("size"),
+        docs.select(packed(carry).alias("doc"), "source", word_count().alias("size"),
                     hashes[0].alias("h"), hashes[1].alias("tie")),
         "mix-units",
     )
@@ -144,3 +144,9 @@ def mixture(
         "taken", F.col("size") * F.col("copies")
     )
 
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
+    """The documents of the mix with all their columns, size, source_size, target, and taken, the words of all copies."""
+    mixed = mixture(docs, weights, carry=docs.columns).filter("copies > 0")
+    return unpacked(mixed, "doc", "size", "source_size", "target", "copies", "taken")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.common import blocks, pieces, with_row_id
+from gleaner.llm.common import blocks, packed, pieces, with_row_id
 from gleaner.llm.graph import components
 from gleaner.session import cut
 
@@ -50,7 +50,7 @@ def fingerprint(text: str | None, n: int = 4) -> int:
 def fingerprints(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns in the struct ``doc``, doc_id, and the fingerprint; null texts count as empty."""
     inside = "text" in carry
-    rows = docs.select(F.struct(*carry).alias("doc"), "doc_id", *([] if inside else ["text"]))
+    rows = docs.select(packed(carry).alias("doc"), "doc_id", *([] if inside else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

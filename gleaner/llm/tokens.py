@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.common import pieces
+from gleaner.llm.common import packed, pieces
 
 #: Fixed value: the white space of the tokenizer's pattern.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -171,7 +171,7 @@ def token_counts(docs: DataFrame, vocabulary: str, carry: Sequence[str] = ("doc_
     a text count as one token, as the library does by default. Null texts count as empty.
     """
     merges = docs.sparkSession.sparkContext.broadcast(Merges.read(vocabulary))
-    rows = docs.select(F.struct(*carry).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(packed(carry).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.common import learnable, pieces
+from gleaner.llm.common import learnable, packed, pieces
 from gleaner.session import cut
 
 #: Labelled rows the classifier is fitted on, at most.
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id",)) ->
     """
     inside = "text" in carry
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*carry).alias("doc"), *([] if inside else ["text"]))
+    rows = docs.select(packed(carry).alias("doc"), *([] if inside else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

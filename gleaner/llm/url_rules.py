@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.llm.common import with_row_id
+from gleaner.llm.common import packed, with_row_id
 from gleaner.session import cut
 
 #: More rules than this are joined by shuffle instead of being sent to every task.
@@ -110,7 +110,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", carry
     Without any fitting rule, as for a null URL or one without ``://``, the verdict is ``default``.
     """
     host, path = host_and_path(F.col("url"))
-    narrow = with_row_id(pages.select(F.struct(*carry).alias("page"), host.alias("host"), path.alias("path")), "urls")
+    narrow = with_row_id(pages.select(packed(carry).alias("page"), host.alias("host"), path.alias("path")), "urls")
     address = F.concat(F.lit("//"), "host", "path")
     own = F.array_distinct(F.regexp_extract_all(address, F.lit(_TOKEN), F.lit(0)))
     tokens = narrow.select("row", address.alias("address"), F.explode(F.array_append(own, F.lit(""))).alias("token"))
