@@ -31,6 +31,25 @@ OVERLAP_TAXONOMY = Taxonomy.of({
     "single": ["in", "que"],
 })
 
+def large_taxonomy() -> Taxonomy:
+    """Hundreds of phrases out of the syllables the tables' texts are made of."""
+    syllables = "an ar at en er es ha he in is it nd nt on or ou re st th ti".split()
+    words = [a + b for a in syllables for b in syllables]
+    return Taxonomy.of({
+        "words": words[::2],
+        "pairs": [f"{w} {v}" for w, v in zip(["the", "of", "in", "and", "to"] * 12, [*words[:30], "the", "of", "in", "and", "to"] * 2, strict=False)],
+        "dotted": [f"{w}. {v}" for w, v in zip(words[:40], ["the", "of", "and", "in"] * 10, strict=True)],
+        "marked": ["the%%%", "of***", "of,", "the |", "and!!", "is ***", "to###"],
+        "chains": ["of the", "in the", "the of", "and the", "the and", "and of the", "is of"],
+    }, edge="token")
+
+
+#: Keys that are looked up in the store; not all are there.
+KEYS = [
+    "http://therha.example.com/en/676", "https://therha.example.com/en/676", "https://m.tionsh.example.net/en/98",
+    "https://therhe.example.org/en/8423", "http://nobody.example.org/en/1",
+]
+
 POSTINGS = """
 select o_orderkey as posting_id, c_name as company,
        case when o_orderkey % 11 = 0 then '' else n_name end as location,
@@ -123,6 +142,37 @@ select cast(floor(event_id / 10) as bigint) as run_id, min(ts) as started_at, ma
 from {events} group by cast(floor(event_id / 10) as bigint)
 """
 
+# Customers as postings on one page per nation, in the markup of a board.
+CARDS = """
+select c_nationkey as page_id, c_custkey as k, c_name as name, c_mktsegment as segment, c_custkey % 3 as kind,
+       cast(c_custkey % 9 as string) as days
+from {customer}
+"""
+# The same text is valid in both engines: two kinds of containers, which a page holds in turn.
+GENERIC_CARD = """
+case when kind = 0 then concat('<div data-job="', cast(k as string), '"><h3>', name, '</h3><span class="employer">', segment,
+       '</span><span class="region">R', days, '</span><a href="/j/', cast(k as string), '">go</a><time>', days, ' days ago</time></div>')
+     when kind = 1 then concat('<div class="job new"><p class="title">', name, '</p><p class="company">', segment,
+       '</p><p class="salary">$', days, 'k</p><a class="x" href="j/', cast(k as string), '">go</a><i class="posted">today</i></div>')
+     else concat('<div class="jobless"><p class="title">', name, '</p></div>') end
+"""
+TABLE_CARD = """
+concat('<table><tr class="job', case when kind = 0 then ' placeholder' else '' end, '"><td class="position"><a href="/p/', cast(k as string),
+       '"><h2>', name, '</h2></a></td><td class="company">', segment, '</td><td class="location">L', days, '</td><td class="time">',
+       days, ' days ago</td></tr></table>')
+"""
+PLAIN_CARD = """
+concat('<ul><li', case when kind = 0 then ' class="view-all"' else '' end, '><a href="/c/', cast(k as string), '">c</a><a href="/listings/',
+       cast(k as string), '"><span class="title">', name, '</span></a><span class="company">', segment, '</span></li></ul>')
+"""
+STAMP_CARD = """
+case when kind = 0 then concat('<section class="jobs"><article><ul><li class="feature"><a href="/remote-jobs/', cast(k as string),
+       '"><span class="title">', name, '</span></a><time datetime="2026-06-0', cast(1 + k % 9 as string), 'T10:00:00Z">x</time></li></ul></article></section>')
+     when kind = 1 then concat('<ol class="jobs-list"><li><a href="/o/', cast(k as string), '"><span class="title">', name,
+       '</span></a><span class="date">', days, ' days ago</span></li></ol>')
+     else concat('<div class="job"><h4>', name, '</h4><a href="/d/', cast(k as string), '">d</a><time>', days, ' days ago</time></div>') end
+"""
+
 # URLs with parameters to sort, drop and re-encode.
 PARAM_URLS = """
 select o_orderkey,

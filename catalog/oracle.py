@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from catalog import inputs
-from catalog.inputs import AS_OF, FIXTURE_TAXONOMY, OVERLAP_TAXONOMY, WEEK, text
-from gleaner.functions.phrases import Taxonomy
+from catalog.inputs import AS_OF, KEYS, WEEK, text
 
 P = text(inputs.POSTINGS)
 D = text(inputs.DOC_POSTINGS)
@@ -13,6 +12,7 @@ STORE = text(inputs.STORE)
 FEED = text(inputs.FEED)
 TARGETS = text(inputs.TARGETS)
 YIELD = text(inputs.YIELD)
+CARDS = text(inputs.CARDS)
 RUNS = text(inputs.RUNS)
 
 WEEK_OF = "strftime(case when date_posted = '' then cast(scraped_at as date) else cast(date_posted as date) end, '%Y-W%W')"
@@ -77,13 +77,27 @@ from (select *, row_number() over (partition by url_key order by batch_pos) as r
 """
 
 
+# Fixed values: (phrase, category, place of the category), longest phrases first, then as they are listed.
+FIXTURE_PHRASES = [
+    ("and the", "phrases", 3), ("of the", "phrases", 3), ("in the", "phrases", 3), ("rest", "rare", 4), ("zzzz", "rare", 4),
+    ("the", "articles", 0), ("der", "articles", 0), ("and", "connectives", 1), ("und", "connectives", 1), ("que", "connectives", 1),
+    ("la", "articles", 0), ("le", "articles", 0), ("of", "prepositions", 2), ("in", "prepositions", 2), ("de", "prepositions", 2),
+]
+OVERLAP_PHRASES = [
+    ("and of the", "chains", 2), ("that and", "pairs", 1), ("de la le", "chains", 2), ("and the", "pairs", 1), ("of the", "pairs", 1),
+    ("in the", "pairs", 1), ("the of", "pairs", 1), ("the in", "pairs", 1), ("de la", "pairs", 1), ("la de", "pairs", 1),
+    ("the", "articles", 0), ("der", "articles", 0), ("que", "single", 3), ("la", "articles", 0), ("in", "single", 3), ("a", "articles", 0),
+]
+N_CATEGORIES = 5
+
+
 # Every phrase in turn, longest first: its places between word boundaries that do not
 # start inside a span some earlier phrase has taken.
-def mentions(base: str, key: str, body: str, taxonomy: Taxonomy) -> str:
+def mentions(base: str, key: str, body: str, phrases: list[tuple[str, str, int]]) -> str:
     word = r"[\p{L}\p{N}_]"
     ctes = [f"txt as (select {key} as id, lower({body}) as l from ({base}))"]
     taken = []
-    for k, phrase in enumerate(taxonomy.by_priority):
+    for k, (phrase, _, _) in enumerate(phrases):
         parts = f"string_split(l, '{phrase}')"
         ctes.append(f"""
 raw{k} as (
@@ -107,18 +121,17 @@ span{k} as (
     {free}
 )""")
         taken.append(k)
-    skills = taxonomy.skills
     found = " union all ".join(
-        f"select distinct id, '{p}' as skill, '{skills[p]}' as category, {taxonomy.categories.index(skills[p])} as category_ord from span{k}"
-        for k, p in enumerate(taxonomy.by_priority)
+        f"select distinct id, '{p}' as skill, '{category}' as category, {place} as category_ord from span{k}"
+        for k, (p, category, place) in enumerate(phrases)
     )
     return "with " + ",".join(ctes) + f" select id as {key}, skill, category, category_ord from ({found})"
 
 
-DOC_MENTIONS = mentions("select doc_id, text from documents", "doc_id", "text", FIXTURE_TAXONOMY)
+DOC_MENTIONS = mentions("select doc_id, text from documents", "doc_id", "text", FIXTURE_PHRASES)
 ACTIVE_DOCS = f"select * from ({DOC_POSTINGS}) where is_active = 1"
-POST_MENTIONS = mentions(DOC_POSTINGS, "doc_id", "title || ' ' || company || ' ' || raw_html", FIXTURE_TAXONOMY)
-ACTIVE_MENTIONS = mentions(ACTIVE_DOCS, "doc_id", "title || ' ' || company || ' ' || raw_html", FIXTURE_TAXONOMY)
+POST_MENTIONS = mentions(DOC_POSTINGS, "doc_id", "title || ' ' || company || ' ' || raw_html", FIXTURE_PHRASES)
+ACTIVE_MENTIONS = mentions(ACTIVE_DOCS, "doc_id", "title || ' ' || company || ' ' || raw_html", FIXTURE_PHRASES)
 
 FREQ = f"""
 select skill, any_value(category) as category, any_value(category_ord) as category_ord, count(*) as n,
@@ -188,6 +201,7 @@ select company, (length(trim(title)) < 2) as bad_title, (job_url = '') as no_url
 SCRIPTLESS = "regexp_replace(regexp_replace(html, '<script\\b.*?</script>', '', 'gs'), '<style\\b.*?</style>', '', 'gs')"
 ORIGIN = "split_part(url, '//', 1) || '//' || split_part(split_part(split_part(split_part(url, '//', 2), '/', 1), '?', 1), '#', 1)"
 HOST = "regexp_replace(lower(split_part(split_part(split_part(split_part(url, '//', 2), '/', 1), '?', 1), '#', 1)), '^www\\.', '')"
+HOST_ALL = "lower(split_part(split_part(split_part(split_part(url, '//', 2), '/', 1), '?', 1), '#', 1))"
 ENTITIES = (
     "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 )
@@ -196,7 +210,7 @@ AS = f"cast('{AS_OF}' as timestamp)"
 
 
 def markdown(freq: str, jobs: str, found: str, rows: str) -> str:
-    """Report lines, section by section."""
+    """Report lines, section by section; headings are fixed values."""
     def num(x):
         return f"format('{{:,}}', cast({x} as bigint))"
 
@@ -221,7 +235,7 @@ def markdown(freq: str, jobs: str, found: str, rows: str) -> str:
             "# Weekly Skills Report", "", f"**Generated:** {AS_OF}", f"='**Total Jobs Analyzed:** ' || {num('jobs')}", "",
             "## Executive Summary", "",
             f"='**' || {num('jobs')} || ' job postings** mention **' || unique_skills || ' different skills** in "
-            f"{len(FIXTURE_TAXONOMY.categories)} categories, on average **' || cast(avg_skills as varchar) || ' skills** each.'",
+            f"{N_CATEGORIES} categories, on average **' || cast(avg_skills as varchar) || ' skills** each.'",
         ], f"from {s}"),
         f"select 2, 0, '**Period:** ' || strftime(max(cast(date_posted as date)), '%Y-W%W') from ({jobs})",
         const(3, 0, ["## Top 10 Most In-Demand Skills", "", "| Rank | Skill | Mentions | % of Jobs | Category |",
@@ -297,11 +311,34 @@ from (select *, lag(page_no) over w as before_no, lag(n_jobs) over w as before f
 where n_jobs = 0 and before = 0 and before_no = page_no - 1 group by source_site
 """
 
+# Pages to stored rows: list items of the pages that are no blogs; a link counts once per target on its first
+# page, rows need a title of two letters, and the first row of a key is stored. No page of the tables is empty.
+BOARD_PAGES = f"""
+select page_id, url, html, regexp_extract({HOST_ALL}, '[^.]*$') as target, page_id % 20 + 1 as page_no from pages
+"""
+BOARD = f"""
+select *, row_number() over (partition by key order by target, page_id, pos) = 1 as is_first, page_id || '-' || pos as id
+from (select *, {url_key('job_url')} as key from (
+  select *, min(page_no) over (partition by target, job_url) as first_page from (
+    select page_id, target, page_no, i as pos, li, trim(regexp_extract(li, '<a[^>]*>(.*?)</a>', 1)) as title,
+           {ORIGIN} || regexp_extract(li, 'href="([^"]*)"', 1) as job_url
+    from (select page_id, url, target, page_no, unnest(lis) as li, generate_subscripts(lis, 1) as i
+          from (select *, regexp_extract_all({SCRIPTLESS}, '(?s)<li>.*?</li>') as lis from ({BOARD_PAGES}) where {HOST} not like 'blog.%'))))
+  where page_no = first_page and length(title) >= 2)
+"""
+
 ORACLE: dict[str, str] = {
     "q_feed_scan": f"select part_key, cast(pos as bigint) as pos, position from ({FEED_ROWS})",
     "q_feed_landed": f"select company, count(*) as n, count(distinct job_url) as urls from ({FEED_POSTINGS}) group by company",
     "q_feed_postings": FEED_POSTINGS,
-    "q_feed_raw": f"select part_key, cast(pos as bigint) as pos, tag1 || ', ' || tag2 as tags, description from ({FEED_ROWS})",
+    "q_feed_raw": f"""
+select part_key, cast(pos as bigint) as pos, tag1 || ', ' || tag2 as tags, part_key % 5 = 0 as late,
+       case when part_key % 5 = 0 then repeat('filler ', 900) || description || ' late' else description end as description
+from ({FEED_ROWS})""",
+    "q_feed_broken": f"""
+select case part_key % 4 when 0 then 'whole' when 1 then 'cut' when 2 then 'markup' else 'object' end as kind,
+       cast(sum(case when part_key % 4 = 0 and kind <> 'ECONOMY' then 2 else 1 end) as bigint) as n, count(*) filter (where part_key % 4 <> 0) as unparsed
+from ({FEED}) group by 1""",
     "q_location_infer": f"select part_key, {FEED_LOCATION} as value from ({FEED})",
     "q_salary_extract": f"select part_key, {SALARY} as value from ({FEED})",
     "q_posted_date": f"select part_key, substr(date, 1, 10) as value from ({FEED})",
@@ -371,7 +408,13 @@ group by company order by n desc, name limit 20""",
 select company as name, count(*) as n from ({POSTINGS}) where company <> '' group by company order by n desc, name limit 20""",
     "q_period": PERIOD.format(P),
     "q_existing_keys": f"select distinct url_key from ({KEYED}) where url_key <> '' and url_key in (select url_key from ({STORED}))",
-    "q_url_stored": f"select min(url_key) as url_key, cast(1 as bigint) as stored from ({STORED})",
+    "q_url_stored": f"""
+select k as url_key, cast(k in (select {url_key('url')} from pages) as bigint) as stored
+from (select unnest([{', '.join(repr(k) for k in KEYS)}]) as k)""",
+    "q_dedup_positions": f"""
+select url_key, count(*) as n, count(distinct batch_pos) as rows, cast(case when url_key = '' then 0 else 1 end as bigint) as kept,
+       case when url_key <> '' then coalesce(min(place), -1) end as place
+from (select *, case when batch_pos % 4 <> 0 then batch_pos % 5 end as place from ({KEYED})) group by url_key""",
     "q_dedup_batch": f"select url_key, min(batch_pos) as batch_pos from ({KEYED}) where url_key <> '' group by url_key",
     "q_dedup_against_store": f"select batch_pos from ({LABELLED}) where status = 'kept'",
     "q_dedup_status": f"select batch_pos, url_key, status from ({LABELLED})",
@@ -393,14 +436,15 @@ from (select unnest([cast(1 as bigint), 2]) as run_no) r,
      (select count(*) filter (where status = 'kept') as kept, count(*) filter (where status like 'duplicate%') as dup,
              count(*) filter (where status = 'blank_url') as blank from ({LABELLED})) s""",
     "q_stored_postings": f"""
-select url_key, arg_min(job_url, batch_pos) as job_url, '2026-W25' as week_key, 'a posting' as title
-from ({KEYED}) where url_key <> '' group by url_key""",
+select k.url_key, k.job_url, '2026-W25' as week_key, trim(regexp_extract(p.html, '<h1>(.*?)</h1>', 1)) as title, {HOST} as company,
+       length(p.html) as size
+from (select url_key, arg_min(job_url, batch_pos) as job_url, min(batch_pos) // 3 as page_id from ({KEYED}) where url_key <> '' group by url_key) k
+join pages p using (page_id)""",
     "q_run_log": f"""
 select cast(case when blog then 1 else 2 end as bigint) as run_id, case when blog then 'blogs' else 'others' end as source_site,
-       'completed' as status, count(distinct page_no) filter (where ok) as pages_scraped, count(*) filter (where ok) as jobs_found,
+       'completed' as status, count(distinct page_no) as pages_scraped, count(*) filter (where ok) as jobs_found,
        count(distinct url_key) filter (where ok) as jobs_inserted,
-       count(*) filter (where ok) - count(distinct url_key) filter (where ok) as jobs_deduplicated,
-       count(*) filter (where not ok) as errors_encountered
+       count(*) filter (where ok) - count(distinct url_key) filter (where ok) as jobs_deduplicated, cast(0 as bigint) as errors_encountered
 from (select *, source_site like 'blog.%' as blog, job_url <> '' as ok from ({KEYED})) group by blog""",
     "q_run_counters": f"""
 select source_site, count(distinct page_no) as pages_scraped, count(*) as jobs_found, count(*) filter (where status = 'kept') as jobs_inserted,
@@ -426,20 +470,26 @@ select status, count(*) filter (where started_at >= timestamp '2024-01-22') as k
        count(*) filter (where started_at < timestamp '2024-01-22') as removed from ({RUNS}) group by status""",
     "q_skill_mentions": f"select doc_id, skill, category from ({DOC_MENTIONS})",
     "q_skill_mentions_overlap": f"""
-select doc_id, skill, category from ({mentions('select doc_id, text from documents', 'doc_id', 'text', OVERLAP_TAXONOMY)})""",
+select doc_id, skill, category from ({mentions('select doc_id, text from documents', 'doc_id', 'text', OVERLAP_PHRASES)})""",
     "q_skill_freq": f"select skill, n from ({FREQ})",
     "q_top_skills": top(FREQ, 10),
     "q_top_skills_by_category": f"select category, rank, skill, n, pct from ({by_category(FREQ, 2)})",
     "q_category_stats": f"select category, total_mentions, unique_skills from ({cat_stats(FREQ)})",
     "q_corpus_summary": summary("select * from documents", DOC_MENTIONS),
     "q_skill_trend": f"""
-with weeks as (select week_key, lag(week_key) over (order by week_key) as before from (select distinct week_key from ({DOC_POSTINGS}))),
-counted as (select week_key, skill, count(*) as n from ({POST_MENTIONS}) m join ({DOC_POSTINGS}) d using (doc_id) group by week_key, skill),
-grid as (select w.week_key, w.before, s.skill from weeks w, (select distinct skill from counted) s)
-select g.week_key, g.skill, coalesce(c.n, 0) as n, case when g.before is null then null else coalesce(c.n, 0) - coalesce(b.n, 0) end as delta
-from grid g left join counted c on c.week_key = g.week_key and c.skill = g.skill
-            left join counted b on b.week_key = g.before and b.skill = g.skill
-where c.n is not null or b.n is not null""",
+with d as (select doc_id, case when doc_id % 29 <> 0 then week_key end as week_key from ({ACTIVE_DOCS})),
+days as (select cast(unnest(generate_series(date '1990-01-01', date '2030-01-01', interval 1 day)) as date) as day),
+calendar as (select strftime(day, '%Y-W%W') as w, min(day) as start from days group by 1),
+weeks as (select w, lag(w) over (order by start) as before from calendar),
+span as (select min(week_key) as first, max(week_key) as last from d),
+counted as (select week_key, skill, count(*) as n from ({ACTIVE_MENTIONS}) m join d using (doc_id) group by week_key, skill),
+grid as (select w, before, skill from weeks, (select distinct skill from counted where week_key is not null), span where w between first and last)
+select g.w as week_key, g.skill, coalesce(c.n, 0) as n, case when g.w <> first then coalesce(c.n, 0) - coalesce(b.n, 0) end as delta
+from grid g left join counted c on c.week_key = g.w and c.skill = g.skill
+            left join counted b on b.week_key = g.before and b.skill = g.skill, span
+where c.n is not null or b.n is not null
+union all
+select null, skill, n, null from counted where week_key is null""",
     "q_report_markdown": markdown(ACTIVE_FREQ, ACTIVE_DOCS, ACTIVE_MENTIONS, DOC_POSTINGS),
     "q_report_json": json_rows(ACTIVE_FREQ, ACTIVE_DOCS, ACTIVE_MENTIONS, DOC_POSTINGS, PERIOD.format(ACTIVE_DOCS)),
     "q_empty_analysis": f"""
@@ -450,6 +500,40 @@ select 'period', '{{"week_key":"2026-W25","start_date":"2026-06-21","end_date":"
     "q_stream_ingest": f"select distinct {url_key('url')} as url_key, '2026-W25' as week_key from pages",
     "q_stream_weekly": """
 select strftime(w, '%Y-%m-%d') as week_start, strftime(w, '%Y-W%W') as week_key, event_type, count(*) as n
-from (select date_trunc('week', ts) as w, event_type from events)
-where w + interval 7 day <= (select max(ts) from events) - interval 1 day group by w, event_type""",
+from (select date_trunc('week', ts) as w, event_type from events) group by w, event_type""",
+    "q_source_label": f"""
+select case when contains(h, 'blog.') then 'blog' when contains(h, 'spam') then 'spam' when contains(h, 'm.') then 'mobile'
+            when page_id % 2 = 0 then 'given' else 'generic' end as source_site, count(*) as n
+from (select page_id, {HOST_ALL} as h from pages) group by 1""",
+    "q_page_fields": f"""
+select page_id, row_number() over (partition by page_id order by k) - 1 as pos, name as title, segment as company,
+       case when kind = 0 then 'R' || days else '' end as location, case when kind = 1 then '$' || days || 'k' else '' end as salary_range,
+       strftime({AS} - to_days(case when kind = 0 then cast(days as int) else 0 end), '%Y-%m-%d') as date_posted,
+       case when kind = 0 then 'https://cards.example.org/j/' else 'https://cards.example.org/j/' end || k as job_url, 'generic' as source_site
+from ({CARDS}) where kind <> 2""",
+    "q_page_placeholder": f"""
+select page_id, row_number() over (partition by page_id order by k) - 1 as pos, name as title, segment as company, 'L' || days as location,
+       '' as salary_range, strftime({AS} - to_days(cast(days as int)), '%Y-%m-%d') as date_posted, 'https://remoteok.com/p/' || k as job_url,
+       'remoteok' as source_site
+from ({CARDS}) where kind <> 0""",
+    "q_page_fallback": f"""
+select page_id, row_number() over (partition by page_id order by k) - 1 as pos, name as title, segment as company, '' as location,
+       '' as salary_range, '' as date_posted, 'https://weworkremotely.com/listings/' || k as job_url, 'weworkremotely' as source_site
+from ({CARDS}) where kind <> 0""",
+    "q_page_stamp": f"""
+select page_id, row_number() over (partition by page_id order by k) - 1 as pos, name as title, '' as company, '' as location, '' as salary_range,
+       case when kind = 0 then '2026-06-0' || (1 + k % 9) else strftime({AS} - to_days(cast(days as int)), '%Y-%m-%d') end as date_posted,
+       'https://weworkremotely.com/' || (case kind when 0 then 'remote-jobs/' when 1 then 'o/' else 'd/' end) || k as job_url,
+       'weworkremotely' as source_site
+from ({CARDS})""",
+    "q_pipeline": f"""
+select cast(list_position(['com', 'net', 'org'], target) as bigint) as run_id, target as source_site, 'completed' as status, pages as pages_scraped,
+       coalesce(found, 0) as jobs_found, coalesce(kept, 0) as jobs_inserted, coalesce(found - kept, 0) as jobs_deduplicated,
+       cast(0 as bigint) as errors_encountered
+from (select target, count(distinct page_no) as pages from ({BOARD_PAGES}) group by target)
+left join (select target, count(*) as found, count(*) filter (where is_first) as kept from ({BOARD}) group by target) using (target)""",
+    "q_pipeline_skills": top(f"""
+select skill, any_value(category) as category, any_value(category_ord) as category_ord, count(*) as n,
+       (select count(*) from ({BOARD}) where is_first) as jobs
+from ({mentions(f"select * from ({BOARD}) where is_first", 'id', "title || ' ' || '' || ' ' || li", FIXTURE_PHRASES)}) group by skill""", 10),
 }

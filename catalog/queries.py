@@ -13,14 +13,15 @@ from gleaner import schema
 from gleaner.functions import dates, quality, urls
 from gleaner.functions.text import mining_text, strip
 from gleaner.operators import dedup, mining, pagination, runs, stats
-from gleaner.plans import analysis, ingest, report
-from gleaner.session import spread, work_path
+from gleaner.plans import analysis, board, ingest, report
+from gleaner.session import work_path
 from gleaner.sources import feeds, pages, postings, targets
 from gleaner.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+_STORED: dict[tuple[str, str], str] = {}
 RUN_TS = datetime(2026, 6, 28, 12, 0)
 
 # Layouts of the page table: blogs carry one article, the other hosts a list of links.
@@ -48,12 +49,11 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
-    return dates.with_week_key(frame(spark, sf_dir, inputs.DOC_POSTINGS, documents=documents))
+    return dates.with_week_key(frame(spark, sf_dir, inputs.DOC_POSTINGS))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.with_url_key(frame(spark, sf_dir, inputs.STORE))
 
 
-def _feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, inputs.FEED).withColumn("tags", F.array("tag1", "tag2"))
+def _feed_bodies(spark: SparkSession, sf_dir: str, **changed) -> DataFrame:
+    rows = frame(spark, sf_dir, inputs.FEED).withColumns({"tags": F.array("tag1", "tag2"), **changed})
     fields = ["position", "company", "location", "tags", "description", "date"]
     by_slug = F.to_json(F.struct(*fields, "slug"))
     by_id = F.to_json(F.struct(*fields, F.col("part_key").cast("string").alias("id")))
@@ -117,8 +117,10 @@ def q_feed_postings(spark, sf_dir):
 @query
 def q_feed_raw(spark, sf_dir):
     raw = F.col("raw_html")
-    return _feed_rows(spark, sf_dir).select(
-        "part_key", F.col("pos").cast("long").alias("pos"),
+    long = F.when(F.col("part_key") % 5 == 0, F.concat(F.lit("filler " * 900), "description", F.lit(" late"))).otherwise(F.col("description"))
+    bodies = _feed_bodies(spark, sf_dir, description=long)
+    return feeds.feed_postings(feeds.feed_entries(bodies)).select(
+        "part_key", F.col("pos").cast("long").alias("pos"), F.endswith(F.substring_index(F.substring_index(raw, '","date"', 1), '"', -1), F.lit("late")).alias("late"),
         F.regexp_extract(raw, "<!-- TAGS: (.*) -->$", 1).alias("tags"),
         F.get_json_object(F.substring_index(raw, "\n<!--", 1), "$.description").alias("description"),
     )
@@ -142,7 +144,7 @@ def q_posted_date(spark, sf_dir):
 
 @query
 def q_relative_date(spark, sf_dir):
-    rows = spread(frame(spark, sf_dir, inputs.RELDATE), "event_id", per_core=1)
+    rows = frame(spark, sf_dir, inputs.RELDATE)
     return rows.select("event_id", dates.relative_date(F.col("txt"), _now()).alias("parsed"))
 
 
@@ -153,22 +155,81 @@ def q_validity(spark, sf_dir):
 
 @query
 def q_quarantine(spark, sf_dir):
+    ok = F.size("errors") == 0
     checked = quality.with_errors(_feed_rows(spark, sf_dir))
-    valid = quality.valid_rows(checked).groupBy("company").agg(F.count(F.lit(1)).alias("valid"))
-    bad = quality.rejected_rows(checked).groupBy("company").agg(F.count(F.lit(1)).alias("rejected"))
-    return valid.join(bad, "company", "full").select(
-        "company", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("rejected", F.lit(0)).alias("rejected")
+    return checked.groupBy("company").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"))
+
+
+@query
+def q_feed_broken(spark, sf_dir):
+    """Bodies that are whole, cut off, markup, or a single object: rows and broken bodies of each kind."""
+    kind = F.element_at(F.array(F.lit("whole"), F.lit("cut"), F.lit("markup"), F.lit("object")), (F.col("part_key") % 4 + 1).cast("int"))
+    body = F.col("body")
+    broken = (
+        F.when(F.col("kind") == "whole", body).when(F.col("kind") == "cut", F.expr("left(body, length(body) - 3)"))
+        .when(F.col("kind") == "markup", F.concat(F.lit("<html>"), body, F.lit("</html>"))).otherwise(F.expr("substr(body, 2, length(body) - 2)"))
     )
+    alone = _feed_bodies(spark, sf_dir).withColumn("kind", kind)
+    bodies = alone.select("part_key", "kind", F.when(F.col("kind") == "object", F.lit('{"position": "x", "company": "y"}')).otherwise(broken).alias("body"))
+    rows = feeds.feed_postings(feeds.feed_entries(bodies))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("unparsed").alias("unparsed"))
 
 
 @query
 def q_page_listings(spark, sf_dir):
-    raw = spread(table(spark, sf_dir, "pages"), "page_id", per_core=1)
+    raw = table(spark, sf_dir, "pages")
     layout = F.when(F.startswith(urls.host_of(F.col("url")), F.lit("blog.")), "blog").otherwise("list")
     rows = pages.page_listings(raw, layout, _now(), LAYOUTS)
     return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "title", "job_url", "source_site")
 
 
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, inputs.CARDS)
+
+
+def _card_rows(spark: SparkSession, sf_dir: str, host: str, markup: str) -> DataFrame:
+    """Cards of a nation laid out on one page of a board, through the built-in layout of that board."""
+    cards = _cards(spark, sf_dir).withColumn("card", F.expr(markup))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "\n")
+    raw = cards.groupBy("page_id").agg(body.alias("html"))
+    raw = raw.select("page_id", F.lit(f"https://{host}/list").alias("url"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
+    rows = pages.page_listings(raw, urls.detect_source(F.col("url")), _now())
+    return rows.select(
+        "page_id", F.col("pos").cast("long").alias("pos"), "title", "company", "location", "salary_range", "date_posted", "job_url", "source_site"
+    )
+
+
+@query
+def q_page_fields(spark, sf_dir):
+    """Every field of the generic layout, from two kinds of containers in turn."""
+    return _card_rows(spark, sf_dir, "cards.example.org", inputs.GENERIC_CARD)
+
+
+@query
+def q_page_placeholder(spark, sf_dir):
+    return _card_rows(spark, sf_dir, "remoteok.com", inputs.TABLE_CARD)
+
+
+@query
+def q_page_fallback(spark, sf_dir):
+    return _card_rows(spark, sf_dir, "weworkremotely.com", inputs.PLAIN_CARD)
+
+
+@query
+def q_page_stamp(spark, sf_dir):
+    return _card_rows(spark, sf_dir, "weworkremotely.com", inputs.STAMP_CARD)
+
+
+@query
+def q_source_label(spark, sf_dir):
+    url = F.col("url")
+    rows = table(spark, sf_dir, "pages").select(
+        F.when(F.col("page_id") % 2 == 0, urls.detect_source(url, configured=F.lit("given"), known=HOST_LABELS))
+        .otherwise(urls.detect_source(url, known=HOST_LABELS)).alias("source_site")
+    )
+    return rows.groupBy("source_site").agg(F.count("*").alias("n"))
+
+
 @query
 def q_page_links(spark, sf_dir):
     links = pages.page_links(table(spark, sf_dir, "pages"))
@@ -213,7 +274,7 @@ def q_url_normalize(spark, sf_dir):
 
 @query
 def q_url_normalize_params(spark, sf_dir):
-    rows = spread(frame(spark, sf_dir, inputs.PARAM_URLS), "o_orderkey", per_core=1)
+    rows = frame(spark, sf_dir, inputs.PARAM_URLS)
     return dedup.with_url_key(rows, "url").select("o_orderkey", "url_key")
 
 
@@ -236,21 +297,31 @@ def q_week_key(spark, sf_dir):
 # -- posting table --------------------------------------------------------------
 
 
+def _stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings as an ingest stores them, by week; stored once for all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = work_path(spark, "postings")
+        ingest.write_postings(_postings(spark, sf_dir), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 @query
 def q_posting_scan(spark, sf_dir):
-    rows = postings.posting_scan(_postings(spark, sf_dir), source_site="1-URGENT", tie="posting_id")
+    rows = postings.posting_scan(_stored_postings(spark, sf_dir), source_site="1-URGENT", tie="posting_id")
     return rows.select("posting_id", "company", "location", "week_key")
 
 
 @query
 def q_posting_scan_latest(spark, sf_dir):
-    rows = postings.posting_scan(_postings(spark, sf_dir), limit=50, tie="posting_id")
+    rows = postings.posting_scan(_stored_postings(spark, sf_dir), limit=50, tie="posting_id")
     return rows.select("posting_id", "company", "location", "week_key")
 
 
 @query
 def q_weekly_scan(spark, sf_dir):
-    return postings.weekly_scan(_postings(spark, sf_dir), WEEK, ["posting_id", "company", "location", "week_key"])
+    return postings.weekly_scan(_stored_postings(spark, sf_dir), WEEK, ["posting_id", "company", "location", "week_key"])
 
 
 @query
@@ -293,9 +364,22 @@ def q_existing_keys(spark, sf_dir):
 
 @query
 def q_url_stored(spark, sf_dir):
-    store = _store(spark, sf_dir)
-    key = store.agg(F.min("url_key")).first()[0]
-    return postings.url_stored(store, key).select(F.lit(key).alias("url_key"), F.col("stored").cast("long").alias("stored"))
+    tables = ingest.Tables.below(work_path(spark, "stored"))
+    ingest.ingest_batch(_page_rows(table(spark, sf_dir, "pages")), tables, RUN_TS, ["page_id"])
+    store = postings.read_store(spark, tables.postings)
+    found = [postings.url_stored(store, key).select(F.lit(key).alias("url_key"), F.col("stored").cast("long").alias("stored")) for key in inputs.KEYS]
+    return dedup.union_sources(*found)
+
+
+@query
+def q_dedup_positions(spark, sf_dir):
+    """Positions that are null or shared by several rows: every row once, one of each key kept."""
+    batch = _batch(spark, sf_dir).withColumn("place", F.when(F.col("batch_pos") % 4 != 0, F.col("batch_pos") % 5))
+    labelled = dedup.label_batch(batch, None, ["place"])
+    return labelled.groupBy("url_key").agg(
+        F.count("*").alias("n"), F.countDistinct("batch_pos").alias("rows"), F.count_if(F.col("status") == dedup.KEPT).alias("kept"),
+        F.min(F.when(F.col("status") == dedup.KEPT, F.coalesce("place", F.lit(-1)))).alias("place"),
+    )
 
 
 @query
@@ -355,10 +439,10 @@ def _page_rows(raw: DataFrame) -> DataFrame:
 
 
 def _batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = {c: F.lit("") for c in ("company", "location", "salary_range", "raw_html")}
-    return frame(spark, sf_dir, inputs.BATCH).withColumns(
-        {**empty, "title": F.lit("a posting"), "date_posted": F.lit("2026-06-26")}
-    )
+    """The batch with the title and markup of its pages."""
+    rows = frame(spark, sf_dir, inputs.BATCH).withColumn("page_id", F.expr("batch_pos div 3"))
+    payload = _page_rows(table(spark, sf_dir, "pages")).drop("job_url", "source_site")
+    return rows.join(payload, "page_id").drop("page_id")
 
 
 @query
@@ -378,7 +462,9 @@ def q_idempotent_append(spark, sf_dir):
 def q_stored_postings(spark, sf_dir):
     tables = ingest.Tables.below(work_path(spark, "stored"))
     ingest.ingest_batch(_batch_rows(spark, sf_dir), tables, RUN_TS, ["batch_pos"])
-    return postings.read_store(spark, tables.postings).select("url_key", "job_url", "week_key", "title")
+    return postings.read_store(spark, tables.postings).select(
+        "url_key", "job_url", "week_key", "title", "company", F.length("raw_html").cast("long").alias("size")
+    )
 
 
 @query
@@ -423,11 +509,9 @@ def q_recent_runs(spark, sf_dir):
 def q_run_retention(spark, sf_dir):
     log = frame(spark, sf_dir, inputs.RUNS)
     as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    kept = runs.retained(log, as_of, 10).groupBy("status").agg(F.count(F.lit(1)).alias("kept"))
-    gone = runs.expired(log, as_of, 10).groupBy("status").agg(F.count(F.lit(1)).alias("removed"))
-    return kept.join(gone, "status", "full").select(
-        "status", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("removed", F.lit(0)).alias("removed")
-    )
+    kept = runs.retained(log, as_of, 10).withColumn("stays", F.lit(True))
+    both = kept.union(runs.expired(log, as_of, 10).withColumn("stays", F.lit(False)))
+    return both.groupBy("status").agg(F.count_if("stays").alias("kept"), F.count_if(~F.col("stays")).alias("removed"))
 
 
 # -- mining ---------------------------------------------------------------------
@@ -443,6 +527,12 @@ def q_skill_mentions_overlap(spark, sf_dir):
     return mining.skill_mentions(_documents(spark, sf_dir), F.col("text"), OVERLAP_TAXONOMY, "doc_id")
 
 
+@query
+def q_skill_mentions_large(spark, sf_dir):
+    """A taxonomy of hundreds of phrases with symbols, dots and overlaps, between token edges."""
+    return mining.skill_mentions(_documents(spark, sf_dir), F.col("text"), inputs.large_taxonomy(), "doc_id")
+
+
 @query
 def q_skill_freq(spark, sf_dir):
     return _doc_frequency(spark, sf_dir).select("skill", "n")
@@ -470,7 +560,8 @@ def q_corpus_summary(spark, sf_dir):
 
 @query
 def q_skill_trend(spark, sf_dir):
-    rows = _doc_postings(spark, sf_dir)
+    rows = _doc_postings(spark, sf_dir).filter("is_active = 1")
+    rows = rows.withColumn("week_key", F.when(F.col("doc_id") % 29 != 0, F.col("week_key")))
     text = mining_text(F.col("title"), F.col("company"), F.col("raw_html"))
     return mining.skill_trend(mining.skill_counts(rows, text, FIXTURE_TAXONOMY, "week_key"))
 
@@ -498,6 +589,34 @@ def q_empty_analysis(spark, sf_dir):
     return report.json_lines(nothing, AS_OF)
 
 
+# -- pages to analysis ------------------------------------------------------------
+
+
+def _board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ingest.Tables]:
+    """The pages of three boards, by the end of their host, parsed and stored."""
+    raw = table(spark, sf_dir, "pages")
+    host = urls.host_of(F.col("url"))
+    raw = raw.select("page_id", "url", "html", F.substring_index(host, ".", -1).alias("target"), (F.col("page_id") % 20 + 1).alias("page_no"))
+    layout = F.when(F.startswith(host, F.lit("blog.")), "blog").otherwise("list")
+    tables = ingest.Tables.below(work_path(spark, "board"))
+    state = board.run_board(spark, raw, ["com", "net", "org"], layout, _now(), tables, lambda: RUN_TS, layouts=LAYOUTS)
+    return state, tables
+
+
+@query
+def q_pipeline(spark, sf_dir):
+    """Landed pages to stored postings: the log of the runs."""
+    state, _ = _board(spark, sf_dir)
+    return state.select("run_id", "source_site", "status", *runs.COUNTERS)
+
+
+@query
+def q_pipeline_skills(spark, sf_dir):
+    """Landed pages to stored postings to the analysis of their week."""
+    _, tables = _board(spark, sf_dir)
+    return board.weekly_analysis(spark, tables, FIXTURE_TAXONOMY, _now(), "2026-W25").top_skills
+
+
 # -- streaming --------------------------------------------------------------------
 
 
@@ -505,9 +624,9 @@ def q_empty_analysis(spark, sf_dir):
 def q_stream_ingest(spark, sf_dir):
     root = work_path(spark, "stream")
     landing = f"{root}/landing"
-    table(spark, sf_dir, "pages").select("page_id", "url", "html").repartition(3, "page_id").write.parquet(landing)
+    table(spark, sf_dir, "pages").select("page_id", "url", "html").write.option("maxRecordsPerFile", 1000).parquet(landing)
     tables = ingest.Tables.below(root)
-    landed = incremental.stream_files(spark, landing, schema.PAGE, files_per_batch=1)
+    landed = incremental.stream_files(spark, landing, schema.PAGE, bytes_per_batch=64 << 20)
     incremental.ingest_stream(
         landed, _page_rows, tables, f"{root}/checkpoint", lambda: RUN_TS, ["page_id"]
     ).awaitTermination()
@@ -522,6 +641,6 @@ def q_stream_weekly(spark, sf_dir):
     events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(landing)
     stream = incremental.stream_files(spark, landing, spark.read.parquet(landing).schema)
     counted = incremental.weekly_event_counts(stream, "ts", "event_type")
-    incremental.write_stream(counted, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    incremental.write_weeks(counted, f"{root}/out", f"{root}/checkpoint", "event_type").awaitTermination()
     done = spark.read.schema("week_start date, week_key string, event_type string, n long").parquet(f"{root}/out")
     return done.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "week_key", "event_type", "n")

@@ -19,6 +19,19 @@ def _label(d: Column) -> Column:
     return F.concat(F.lpad(F.year(d).cast("string"), 4, "0"), F.lit("-W"), F.lpad(week, 2, "0"))
 
 
+def next_week(label: Column) -> Column:
+    """The label of the week that follows in the calendar; ``W00`` follows the last week of a year."""
+
+    def of_label(x: Column) -> Column:
+        year, week = F.substring(x, 1, 4).cast("int"), F.substring(x, 7, 2).cast("int")
+        new_year = F.make_date(year, F.lit(1), F.lit(1))
+        monday = F.date_add(new_year, F.pmod(7 - F.weekday(new_year), F.lit(7)) + 7 * week)
+        # A week that runs into the new year goes on there as W00.
+        return week_label(F.when(F.year(monday) == year, monday).otherwise(F.make_date(year + 1, F.lit(1), F.lit(1))))
+
+    return let(label, of_label)
+
+
 def week_label_of(d: date | datetime) -> str:
     """The same label for a parameter of the caller."""
     return d.strftime("%Y-W%W")

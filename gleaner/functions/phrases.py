@@ -18,11 +18,12 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleaner.functions.text import blank_if_null
+from gleaner.functions.text import blank_if_null, let
 
 _WORD = r"[\p{L}\p{N}_]"
-# The phrases become one pattern held in the plan, so their number is a setting, not data.
-MAX_PHRASES = 20_000
+# The phrases become one pattern held in the plan, so their number is a setting, not data;
+# a larger taxonomy can be allowed with ``most``.
+MOST_PHRASES = 20_000
 
 
 def _is_word(ch: str) -> bool:
@@ -44,10 +45,11 @@ class Taxonomy:
 
     entries: tuple[tuple[str, str], ...]
     edge: str = "boundary"
+    most: int = MOST_PHRASES
 
     def __post_init__(self):
-        if len(self.entries) > MAX_PHRASES:
-            raise ValueError(f"taxonomy has {len(self.entries)} phrases, at most {MAX_PHRASES} fit one pattern")
+        if len(self.entries) > self.most:
+            raise ValueError(f"taxonomy has {len(self.entries)} phrases, at most {self.most} were allowed")
         if self.edge not in ("boundary", "token"):
             raise ValueError(f"unknown edge rule {self.edge!r}")
 
@@ -59,11 +61,11 @@ class Taxonomy:
         return cls(tuple(pairs), edge)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, edge: str = "boundary"):
+    def read(cls, spark: SparkSession, path: str, edge: str = "boundary", most: int = MOST_PHRASES):
         """From a CSV with header ``ord,skill,category``."""
         frame = spark.read.schema("ord int, skill string, category string").csv(path, header=True)
-        rows = frame.orderBy("ord").limit(MAX_PHRASES + 1).collect()
-        return cls(tuple((r["skill"], r["category"]) for r in rows), edge)
+        rows = frame.orderBy("ord").limit(most + 1).collect()
+        return cls(tuple((r["skill"], r["category"]) for r in rows), edge, most)
 
     @cached_property
     def skills(self) -> dict[str, str]:
@@ -100,6 +102,11 @@ class Taxonomy:
     def phrase_pattern(self, phrase: str) -> str:
         return self._before(phrase) + _quote(phrase) + self._after(phrase)
 
+    @cached_property
+    def head_pattern(self) -> str:
+        """The longest phrase at the start of a text, whose boundary before it is known to hold."""
+        return "^(?:" + _prefix_pattern({p: self._after(p) for p in self.by_priority}) + ")"
+
     @cached_property
     def scan_pattern(self) -> str:
         """One pattern for all phrases; at each place the longest one wins."""
@@ -168,11 +175,15 @@ def extract_skills(text: Column, taxonomy: Taxonomy) -> Column:
     if not taxonomy.overlaps:
         return scanned
     overlap = F.lit(_prefix_pattern({t: "" for t in taxonomy.overlaps}))
+
+    def of_segments(marked: Column) -> Column:
+        plain = F.array_join(F.transform(F.filter(marked, lambda m: ~m["tangled"]), lambda m: m["text"]), "\x01")
+        tangled = F.filter(marked, lambda m: m["tangled"])
+        return F.array_union(_scan(plain, taxonomy), F.flatten(F.transform(tangled, lambda m: _resolve(m["text"], taxonomy))))
+
     segments = F.split(low, taxonomy.cut_pattern)
-    tangled = F.filter(segments, lambda s: F.rlike(s, overlap))
-    plain = F.array_join(F.filter(segments, lambda s: ~F.rlike(s, overlap)), "\x01")
-    resolved = F.flatten(F.transform(tangled, lambda s: _resolve(s, taxonomy)))
-    return F.when(F.rlike(low, overlap), F.array_union(_scan(plain, taxonomy), resolved)).otherwise(scanned)
+    marked = F.transform(segments, lambda s: F.struct(s.alias("text"), F.rlike(s, overlap).alias("tangled")))
+    return F.when(F.rlike(low, overlap), let(marked, of_segments)).otherwise(scanned)
 
 
 def _scan(low: Column, taxonomy: Taxonomy) -> Column:
@@ -180,37 +191,46 @@ def _scan(low: Column, taxonomy: Taxonomy) -> Column:
 
 
 def _resolve(segment: Column, taxonomy: Taxonomy) -> Column:
-    """Skills of a short segment, phrase by phrase in order of priority."""
-    phrases = F.array(
-        *[
-            F.struct(F.lit(p).alias("text"), F.lit(taxonomy.phrase_pattern(p)).alias("pattern"))
-            for p in taxonomy.by_priority
-        ]
-    )
-    present = F.filter(phrases, lambda p: F.contains(segment, p["text"]))
-    no_spans = F.array().cast("array<struct<begin:int,end:int>>")
-    no_skills = F.array().cast("array<string>")
-
-    def place(acc: Column, phrase: Column) -> Column:
-        size = F.length(phrase["text"])
-        pieces = F.split(segment, phrase["pattern"])
-
-        def step(state: Column, piece: Column) -> Column:
-            begin = state["pos"] + F.length(piece)
-            free = ~F.exists(state["spans"], lambda s: (begin >= s["begin"]) & (begin < s["end"]))
-            span = F.struct(begin.alias("begin"), (begin + size).alias("end"))
+    """Skills of a segment in which phrases overlap, in one pass from left to right.
+
+    Whether a phrase counts depends only on phrases that begin before it and reach over its
+    first letter: it does not if one of them that counts is longer, or as long and earlier in
+    the taxonomy, or the same. Of phrases that begin together only the longest can count.
+    So the pass keeps no more than the counted phrases that reach past the current place.
+    """
+    reach = max(map(len, taxonomy.skills))
+    order = F.lit(taxonomy.by_priority)
+    # Zero-width split: every piece but perhaps the first begins with a phrase.
+    pieces = F.split(segment, "(?=" + taxonomy.scan_pattern + ")")
+
+    def step(state: Column, at: Column) -> Column:
+        def placed(text: Column) -> Column:
+            size, begin = F.length(text), state["pos"]
+            ahead = F.filter(state["spans"], lambda s: s["end"] > begin)
+            earlier = lambda s: (s["text"] == text) | (F.array_position(order, s["text"]) < F.array_position(order, text))
+            blocked = F.exists(ahead, lambda s: (F.length(s["text"]) > size) | ((F.length(s["text"]) == size) & earlier(s)))
+            counts = (size > 0) & ~blocked
+            span = F.struct(text.alias("text"), (begin + size).alias("end"))
+            new = counts & ~F.array_contains(state["skills"], text)
             return F.struct(
-                (begin + size).alias("pos"),
-                F.when(free, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-                (state["hit"] | free).alias("hit"),
+                (begin + F.length(at["piece"])).alias("pos"),
+                F.when(counts, F.array_append(ahead, span)).otherwise(ahead).alias("spans"),
+                F.when(new, F.array_append(state["skills"], text)).otherwise(state["skills"]).alias("skills"),
             )
 
-        start = F.struct(F.lit(0).alias("pos"), acc["spans"].alias("spans"), F.lit(False).alias("hit"))
-        done = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)
-        return F.struct(
-            done["spans"].alias("spans"),
-            F.when(done["hit"], F.array_append(acc["skills"], phrase["text"])).otherwise(acc["skills"]).alias("skills"),
-        )
+        return let(at["phrase"], placed)
+
+    def phrases(all_pieces: Column) -> Column:
+        def found(piece: Column, i: Column) -> Column:
+            text = F.array_join(F.slice(all_pieces, i + 1, F.lit(reach + 1)), "")
+            head = F.regexp_extract(text, taxonomy.head_pattern, 0)
+            first = F.regexp_extract(text, "^(?:" + taxonomy.scan_pattern + ")", 0)
+            return F.struct(piece.alias("piece"), F.when(i == 0, first).otherwise(head).alias("phrase"))
 
-    start = F.struct(no_spans.alias("spans"), no_skills.alias("skills"))
-    return F.aggregate(present, start, place)["skills"]
+        return F.transform(all_pieces, found)
+
+    start = F.struct(
+        F.lit(0).alias("pos"), F.array().cast("array<struct<text:string,end:int>>").alias("spans"),
+        F.array().cast("array<string>").alias("skills"),
+    )
+    return F.aggregate(let(pieces, phrases), start, step, lambda end: end["skills"])

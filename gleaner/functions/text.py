@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -12,12 +13,8 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The named entities that listing pages use.
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©",
-    "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…",
-    "euro": "€", "pound": "£", "bull": "•",
-}
+# The named entities of HTML 4, from Python's own table, and the one that XML adds.
+NAMED_ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 
 
 def let(value: Column, build: Callable[[Column], Column]) -> Column:
@@ -58,27 +55,26 @@ def label_case(c: Column) -> Column:
 
 
 def unescape_entities(c: Column) -> Column:
-    """Resolve numeric entities and the common named ones, ``&amp;`` last."""
+    """Resolve numeric and named entities, each once; what is no entity stays as it is."""
+    names = F.map_from_arrays(F.lit(list(NAMED_ENTITIES)), F.lit(list(NAMED_ENTITIES.values())))
 
     def resolve(piece: Column, i: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        dec = F.regexp_extract(piece, r"^#0*([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1)
+        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(dec != "", F.hex(dec.cast("long"))).when(hexa != "", hexa)
+        valid = F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).when(name != "", F.try_element_at(names, name))
 
-        def of_code(code: Column) -> Column:
-            valid = F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)
-            char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-            rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-            return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+        def placed(found: Column) -> Column:
+            rest = F.regexp_replace(piece, r"^[^;]*;", "")
+            return F.when(found.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(found, rest))
 
-        code = F.when(dec != "", F.hex(dec.cast("long"))).when(hexa != "", hexa)
-        return F.when(i == 0, piece).otherwise(let(code, of_code))
+        return F.when(i == 0, piece).otherwise(let(char, placed))
 
     def of_text(text: Column) -> Column:
-        numeric = F.array_join(F.transform(F.split(text, "&#"), resolve), "")
-        out = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-        for name, char in NAMED_ENTITIES.items():
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-        return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+        resolved = F.array_join(F.transform(F.split(text, "&"), resolve), "")
+        return F.when(F.contains(text, F.lit("&")), resolved).otherwise(text)
 
     return let(c, of_text)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions.text import percent, strip
 from gleaner.functions.urls import key_of_trimmed
 from gleaner.operators.skew import annotate_by_key
+from gleaner.session import cut
 
 KEPT = "kept"
 DUPLICATE_BATCH = "duplicate_batch"
@@ -48,40 +49,52 @@ def _stored_among(keys: DataFrame, store: DataFrame, never_null: str) -> DataFra
     return s.join(k, match, "left_semi").distinct()
 
 
+def with_row(batch: DataFrame) -> DataFrame:
+    """The batch with a unique ``_row``; written, so that the ids stay whatever runs again."""
+    if "_row" in batch.columns:
+        return batch
+    return cut(batch.withColumn("_row", F.monotonically_increasing_id()), "batch")
+
+
+def _place(order_by: Sequence[str]) -> Column:
+    """What makes a copy the first: its position, unknown ones last, and of equal positions the first row."""
+    parts = [x for i, c in enumerate(order_by) for x in (F.col(c).isNull().alias(f"u{i}"), F.col(c).alias(f"p{i}"))]
+    return F.struct(*parts, F.col("_row").alias("row"))
+
+
 def first_in_batch(batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Position of the first row per key: ``(url_key, *order_by)``.
+    """The first row per key: ``(url_key, _row)``.
 
     The minimum is taken map-side first, so a key shared by much of the batch reaches
     its reducer as one row per task.
     """
-    keyed = batch.filter(F.col("url_key") != "").groupBy("url_key")
-    if len(order_by) == 1:
-        return keyed.agg(F.min(order_by[0]).alias(order_by[0]))
-    return keyed.agg(F.min(F.struct(*order_by)).alias("_first")).select("url_key", "_first.*")
+    first = batch.filter(F.col("url_key") != "").groupBy("url_key").agg(F.min(_place(order_by)).alias("_first"))
+    return first.select("url_key", F.col("_first.row").alias("_row"))
 
 
 def label_batch(batch: DataFrame, store: DataFrame | None, order_by: Sequence[str]) -> DataFrame:
     """Add ``status`` to every row: kept, duplicate_batch, duplicate_store or blank_url.
 
-    ``order_by`` identifies a row of the batch and says which copy is first. A later
-    copy is ``duplicate_batch``; a first copy whose key is stored is
-    ``duplicate_store``. The keys are settled on one row each, and the verdict goes
-    back to the rows by their unique position, so no join meets a hot key.
+    ``order_by`` says which copy is first; it may be null or repeated, since rows are told
+    apart by a row id (``_row`` if the batch has one). A later copy is ``duplicate_batch``; a
+    first copy whose key is stored is ``duplicate_store``. The keys are settled on one row
+    each, and the verdict goes back to the rows by their id, so no join meets a hot key.
     """
-    first = first_in_batch(batch, order_by)
+    rows = with_row(batch)
+    first = first_in_batch(rows, order_by)
     if store is None:
         verdict = first.withColumn("_stored", F.lit(False))
     else:
-        stored = _stored_among(first, store, order_by[0]).withColumn("_stored", F.lit(True))
+        stored = _stored_among(first, store, "_row").withColumn("_stored", F.lit(True))
         verdict = first.join(stored, "url_key", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
-    labelled = batch.join(verdict.drop("url_key"), list(order_by), "left")
+    labelled = rows.join(verdict.drop("url_key"), "_row", "left")
     status = (
-        F.when(F.col("url_key") == "", BLANK_URL)
+        F.when(F.coalesce("url_key", F.lit("")) == "", BLANK_URL)
         .when(F.col("_stored").isNull(), DUPLICATE_BATCH)
         .when(F.col("_stored"), DUPLICATE_STORE)
         .otherwise(KEPT)
     )
-    return labelled.withColumn("status", status).drop("_stored").select(*batch.columns, "status")
+    return labelled.withColumn("status", status).select(*batch.columns, "status")
 
 
 def new_rows(batch: DataFrame, store: DataFrame | None, order_by: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gleaner.functions.dates import next_week
 from gleaner.functions.phrases import Taxonomy, extract_skills
 from gleaner.functions.text import average, percent
 
@@ -12,7 +13,8 @@ def skill_mentions(postings: DataFrame, text: Column, taxonomy: Taxonomy, *ids:
     """One row per posting and skill it mentions, with the skill's category."""
     found = postings.select(*ids, F.explode(extract_skills(text, taxonomy)).alias("skill"))
     dim = taxonomy.frame(postings.sparkSession).drop("category_ord")
-    return found.join(dim, "skill").select(*ids, "skill", "category")
+    # The taxonomy has checked its size; the mentions are never shuffled or sent anywhere.
+    return found.join(F.broadcast(dim), "skill").select(*ids, "skill", "category")
 
 
 def skill_counts(postings: DataFrame, text: Column, taxonomy: Taxonomy, *by: str) -> DataFrame:
@@ -36,7 +38,7 @@ def skill_frequency(counts: DataFrame, taxonomy: Taxonomy, *by: str) -> DataFram
     """
     jobs = F.max(F.when(F.col("skill").isNull(), F.col("n"))).over(Window.partitionBy(*by))
     dim = taxonomy.frame(counts.sparkSession)
-    return counts.withColumn("jobs", jobs).filter(F.col("skill").isNotNull()).join(dim, "skill")
+    return counts.withColumn("jobs", jobs).filter(F.col("skill").isNotNull()).join(F.broadcast(dim), "skill")
 
 
 def top_skills(frequency: DataFrame, k: int = 10) -> DataFrame:
@@ -75,19 +77,22 @@ def corpus_summary(counts: DataFrame) -> DataFrame:
 
 
 def skill_trend(weekly: DataFrame, week: str = "week_key") -> DataFrame:
-    """Week-over-week change per skill from ``skill_counts(…, week)``, which is read once.
+    """Change per skill against the calendar's week before, from ``skill_counts(…, week)``.
 
-    A skill has a row in every week in which it, or the week before it, has mentions.
-    ``delta`` is NULL in the first week. A week becomes one row that holds its counts, no
-    more than the taxonomy has skills, and the window over them is as long as the calendar.
+    A skill has a row in every week in which it, or the week before, has mentions, up to the
+    last week with postings. ``delta`` counts a week without mentions as 0; it is NULL in the
+    first week of all and for postings without a week, which have rows of their own. The
+    frames hold a row per week and skill, whatever the number of postings.
     """
-    counted = F.when(F.col("skill").isNotNull(), F.struct("skill", "n"))
-    weeks = weekly.filter(F.col(week).isNotNull()).groupBy(week).agg(
-        F.map_from_entries(F.collect_list(counted)).alias("_now")
-    )
-    sides = weeks.withColumn("_before", F.lag("_now").over(Window.orderBy(week)))
-    listed = F.map_keys("_now")
-    skills = F.when(F.col("_before").isNull(), listed).otherwise(F.array_union(listed, F.map_keys("_before")))
-    rows = sides.withColumn("skill", F.explode(skills)).withColumn("n", F.coalesce(F.col("_now")[F.col("skill")], F.lit(0)))
-    before = F.coalesce(F.col("_before")[F.col("skill")], F.lit(0))
-    return rows.select(week, "skill", "n", F.when(F.col("_before").isNotNull(), F.col("n") - before).alias("delta"))
+    spans = weekly.agg(F.min(week).alias("first"), F.max(week).alias("last"))
+    counted = weekly.filter(F.col("skill").isNotNull()).select(F.col(week).alias("week"), "skill", "n")
+    dated = counted.filter(F.col("week").isNotNull())
+    no_count = F.lit(0).cast("long")
+    now = dated.select("week", "skill", "n", no_count.alias("before"))
+    after = dated.select(next_week(F.col("week")).alias("week"), "skill", no_count.alias("n"), F.col("n").alias("before"))
+    sides = now.union(after).groupBy("week", "skill").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+    first, last = spans.select("first").scalar(), spans.select("last").scalar()
+    delta = F.when(F.col("week") != first, F.col("n") - F.col("before"))
+    rows = sides.filter(F.col("week") <= last).select("week", "skill", "n", delta.alias("delta"))
+    undated = counted.filter(F.col("week").isNull()).select("week", "skill", "n", F.lit(None).cast("long").alias("delta"))
+    return rows.union(undated).withColumnRenamed("week", week)

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from gleaner import schema
 from gleaner.functions import dates, quality
 from gleaner.operators import dedup, runs
-from gleaner.session import cut
+from gleaner.session import Scratch, drop_path, path_exists, shared_root
 from gleaner.sources.pages import storage_projection
-from gleaner.sources.postings import read_store
+from gleaner.sources.postings import read_store, read_table
 
 log = logging.getLogger(__name__)
 
 
+#: Parts of the key table; a batch reads only those that its keys fall in.
+KEY_BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Tables:
     """Paths of the tables an ingest writes to, all on shared storage."""
@@ -26,10 +32,11 @@ class Tables:
     postings: str
     audit: str
     runs: str
+    keys: str
 
     @classmethod
     def below(cls, root: str) -> Tables:
-        return cls(f"{root}/postings", f"{root}/dedup_audit", f"{root}/runs")
+        return cls(f"{root}/postings", f"{root}/dedup_audit", f"{root}/runs", f"{root}/keys")
 
 
 @dataclass(frozen=True)
@@ -37,36 +44,95 @@ class IngestResult:
     inserted: int
     skipped: int
     blank: int
-    labels: DataFrame
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("url_key"), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+
+
+def stored_keys(spark: SparkSession, tables: Tables, keys: DataFrame) -> DataFrame:
+    """Keys of the store in the buckets that ``keys`` fall in, from the narrow key table."""
+    touched = [r.bucket for r in keys.filter(F.col("url_key") != "").select(_bucket()).distinct().collect()]
+    return read_table(spark, tables.keys, schema.KEY).filter(F.col("bucket").isin(touched)).select("url_key")
+
+
+def _staged(spark: SparkSession, batch_id: str | None) -> str:
+    return f"{shared_root(spark).rstrip('/')}/staged/{batch_id or uuid.uuid4().hex}"
+
+
+def _label(scratch: Scratch, rows: DataFrame, tables: Tables, order_by: Sequence[str], path: str) -> tuple[DataFrame, DataFrame]:
+    """The batch, parsed once, and a status for each of its rows; both are kept at ``path`` until the batch is done.
+
+    A batch that is run again finds what its first run has settled, so that rows which that run
+    has stored already are not taken for duplicates.
+    """
+    spark = rows.sparkSession
+    batch_kind, label_kind = f"{path}/batch", f"{path}/labels"
+    if not path_exists(spark, f"{label_kind}/_SUCCESS"):
+        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+        numbered.write.mode("overwrite").parquet(batch_kind)
+        batch = spark.read.parquet(batch_kind)
+        others = [c for c in ("errors", "source_site", *order_by) if c in batch.columns and c != "job_url"]
+        valid = F.size("errors") == 0 if "errors" in batch.columns else F.lit(True)
+        narrow = batch.filter(valid).select("_row", *dict.fromkeys(others), "job_url", "url_key")
+        keys = scratch.cut(narrow, "keys")
+        labels = dedup.label_batch(keys, stored_keys(spark, tables, keys), order_by)
+        labels.write.mode("overwrite").parquet(label_kind)
+    return spark.read.parquet(batch_kind), spark.read.parquet(label_kind)
+
+
+def _store(scratch: Scratch, batch: DataFrame, labels: DataFrame, tables: Tables, stamp: Column, batch_id: str, again: bool) -> None:
+    spark = batch.sparkSession
+    kept = labels.filter(F.col("status") == dedup.KEPT)
+    wanted = batch.join(kept.select("_row"), "_row", "left_semi")
+    if again:  # rows that the first attempt has stored are there already
+        there = read_store(spark, tables.postings).select("url_key").join(kept.select("url_key"), "url_key", "left_semi")
+        wanted = wanted.join(scratch.cut(there, "there"), "url_key", "left_anti")
+    fresh = dates.with_week_key(wanted.withColumn("is_active", F.lit(True)))
+    write_postings(fresh.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.POSTING]), tables.postings)
+    keys = kept.select("url_key", _bucket(), F.lit(batch_id).alias("batch_id"))
+    _replace(keys.repartition("bucket"), tables.keys, "bucket", "batch_id")
+    audit = dedup.dedup_audit(labels, stamp).withColumn("batch_id", F.lit(batch_id))
+    _replace(audit, tables.audit, "batch_id")
+
+
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    """Write partitions anew, so that writing a batch twice is the same as once."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def prepared(rows: DataFrame, stamp: Column) -> DataFrame:
+    """Rows as they are stored, with their key."""
+    return dedup.with_url_key(storage_projection(rows, stamp))
 
 
 def ingest_batch(
-    rows: DataFrame, tables: Tables, run_ts: datetime, order_by: Sequence[str], carry: Sequence[str] = ()
+    rows: DataFrame, tables: Tables, run_ts: datetime, order_by: Sequence[str], batch_id: str | None = None
 ) -> IngestResult:
-    """Append the rows whose URL key is new; ``order_by`` names the unique position of a row.
+    """Append the rows whose URL key is new; ``order_by`` says which of several copies is first.
 
-    Keys and verdicts (position, key, URL, status) are narrow tables in the shared
-    folder, settled before anything is appended. The appended rows, the audit rows and
-    the counts all follow from them, and running the same batch again appends nothing.
-    The batch itself is read twice: for its keys, and for the rows to append. One
-    writer per table.
+    The batch is parsed and written once, with row ids; all verdicts are settled on its keys
+    before anything is appended, against those buckets of the key table that the batch touches.
+    Running the same batch again appends nothing. With a ``batch_id``, a batch that failed part
+    of the way can be run again and ends as one clean run: what was settled is staged under the
+    id until :func:`finish_batch`. One writer per set of tables.
     """
     spark = rows.sparkSession
     stamp = F.lit(run_ts).cast("timestamp")
-    keyed = dedup.with_url_key(storage_projection(rows, stamp))
-    carried = [c for c in carry if c not in order_by]
-    narrow = cut(keyed.select(*order_by, *carried, "source_site", "job_url", "url_key"), "keys")
-    store = read_store(spark, tables.postings)
-    labels = cut(dedup.label_batch(narrow, store, order_by), "labels")
+    path, name = _staged(spark, batch_id), batch_id or uuid.uuid4().hex
+    again = path_exists(spark, f"{path}/labels/_SUCCESS")
+    with Scratch(spark) as scratch:
+        batch, labels = _label(scratch, prepared(rows, stamp), tables, order_by, path)
+        _store(scratch, batch, labels, tables, stamp, name, again)
+        counts = dedup.dedup_summary(labels).first()
+        if batch_id is None:
+            scratch.paths.append(path)
+    return IngestResult(counts["kept_count"], counts["removed_count"], counts["blank_count"])
 
-    kept = labels.filter(F.col("status") == dedup.KEPT).select(*order_by)
-    fresh = keyed.join(kept, list(order_by), "left_semi").withColumn("is_active", F.lit(True))
-    fresh = dates.with_week_key(fresh).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.POSTING])
-    write_postings(fresh, tables.postings)
-    dedup.dedup_audit(labels, stamp).write.mode("append").parquet(tables.audit)
 
-    counts = dedup.dedup_summary(labels).first()
-    return IngestResult(counts["kept_count"], counts["removed_count"], counts["blank_count"], labels)
+def finish_batch(spark: SparkSession, batch_id: str) -> None:
+    """Drop what is staged for a batch that will not be run again."""
+    drop_path(spark, _staged(spark, batch_id))
 
 
 def write_postings(fresh: DataFrame, path: str) -> None:
@@ -83,17 +149,9 @@ def write_postings(fresh: DataFrame, path: str) -> None:
     )
 
 
-def log_run(events: DataFrame, tables: Tables) -> None:
-    runs.as_events(events).write.mode("append").parquet(tables.runs)
-
-
-def _event(spark: SparkSession, run_id: int, source: str, started: datetime, ts: datetime, status: str, **extra) -> DataFrame:
-    row = {
-        "run_id": run_id, "event_ts": ts, "source_site": source, "started_at": started, "status": status,
-        "completed_at": None if status == runs.RUNNING else ts, "error_message": None,
-        **dict.fromkeys(runs.COUNTERS, 0), **extra,
-    }
-    return spark.createDataFrame([tuple(row[f.name] for f in schema.RUN_EVENT)], schema.RUN_EVENT)
+def log_runs(events: DataFrame, tables: Tables) -> None:
+    """Append run events, one file for a call."""
+    runs.as_events(events).coalesce(1).write.mode("append").parquet(tables.runs)
 
 
 def run_ingest(
@@ -104,27 +162,77 @@ def run_ingest(
     first_run_id: int,
     order_by: Sequence[str],
     page: str | None = None,
+    yields: DataFrame | None = None,
 ) -> DataFrame:
-    """Ingest each target in turn and log its run; a target that fails does not stop the rest.
+    """Ingest all targets as one batch and log a run for each; one that cannot be opened does not stop the rest.
 
-    ``sources`` gives each target's parsed rows (with ``errors`` where checked).
-    Returns the latest state of the runs of this call.
+    ``sources`` gives each target's parsed rows (with ``errors`` where checked); of equal rows
+    that of the earlier target is first. ``yields (source_site, page_no, n_jobs)`` counts the
+    pages scraped, empty ones too; without it the distinct ``page`` of all rows are counted,
+    rejected ones included. Only records that did not parse count as errors. If the batch fails,
+    so do its runs. Returns the latest state of the runs of this call.
     """
-    for i, (name, rows_of) in enumerate(sources.items()):
-        run_id, started = first_run_id + i, clock()
-        log_run(_event(spark, run_id, name, started, started, runs.RUNNING), tables)
+    started, names = clock(), list(sources)
+    ids = {name: first_run_id + i for i, name in enumerate(names)}
+
+    def event(name: str, status: str, **more) -> dict:
+        return {"run_id": ids[name], "event_ts": clock(), "source_site": name, "started_at": started, "status": status, **more}
+
+    def frame(events: list[dict]) -> DataFrame:
+        kind = ["run_id", "event_ts", "source_site", "started_at", "status", "completed_at", "error_message"]
+        fields = StructType([f for f in schema.RUN_EVENT if f.name in kind])
+        return spark.createDataFrame([tuple(e.get(f.name) for f in fields) for e in events], fields)
+
+    log_runs(frame([event(n, runs.RUNNING) for n in names]), tables)
+    opened, failed = [], {}
+    for i, name in enumerate(names):
         try:
-            rows = rows_of()
+            rows = sources[name]()
             checked = rows if "errors" in rows.columns else quality.with_errors(rows)
-            rejected = quality.rejected_rows(checked).count()
-            result = ingest_batch(quality.valid_rows(checked), tables, started, order_by, [page] if page else [])
-            counts = runs.run_counters(result.labels, page=page).first()
-            found = {c: counts[c] for c in runs.COUNTERS}
-            found["errors_encountered"] += rejected
-            log_run(_event(spark, run_id, name, started, clock(), runs.COMPLETED, **found), tables)
-        except Exception as e:
-            log.exception("ingest of %s failed", name)
-            log_run(_event(spark, run_id, name, started, clock(), runs.FAILED, error_message=str(e)), tables)
+            opened.append(checked.drop("unparsed").withColumns({"_target": F.lit(i), "_run_id": F.lit(ids[name])}))
+        except Exception as e:  # noqa: BLE001
+            log.exception("target %s cannot be opened", name)
+            failed[name] = str(e)
+    if opened:
+        stamp, path = F.lit(started).cast("timestamp"), _staged(spark, None)
+        try:
+            with Scratch(spark) as scratch:
+                scratch.paths.append(path)
+                batch, labels = _label(scratch, prepared(dedup.union_sources(*opened), stamp), tables, ["_target", *order_by], path)
+                _store(scratch, batch, labels, tables, stamp, uuid.uuid4().hex, False)
+                _log_counts(batch, labels, names, tables, started, clock(), page, yields, ids, set(failed))
+        except Exception as e:  # noqa: BLE001
+            log.exception("ingest failed")
+            failed |= {n: str(e) for n in names if n not in failed}
+    if failed:
+        done = clock()
+        log_runs(frame([event(n, runs.FAILED, completed_at=done, error_message=e) for n, e in failed.items()]), tables)
     events = spark.read.schema(schema.RUN_EVENT).parquet(tables.runs)
-    mine = F.col("run_id").between(first_run_id, first_run_id + len(sources) - 1)
-    return runs.latest_runs(events.filter(mine))
+    return runs.latest_runs(events.filter(F.col("run_id").between(first_run_id, first_run_id + len(names) - 1)))
+
+
+def _log_counts(batch, labels, names, tables, started, done, page, yields, ids, failed) -> None:
+    """The closing events of all runs of a batch, counted in one frame."""
+    spark = batch.sparkSession
+    run = F.element_at(F.array(*[F.lit(i) for i in ids.values()]), F.col("_target") + 1).alias("run_id")
+    pages = F.countDistinct(page) if page else F.lit(0).cast("long")
+    seen = batch.groupBy("_target").agg(
+        pages.alias("pages_scraped"), F.count_if(F.array_contains("errors", quality.UNPARSED)).alias("errors_encountered")
+    )
+    verdicts = labels.groupBy("_target").agg(
+        F.count("*").alias("jobs_found"), F.count_if(F.col("status") == dedup.KEPT).alias("jobs_inserted"),
+        F.count_if(F.col("status").startswith("duplicate")).alias("jobs_deduplicated"),
+    )
+    rows = [(i, n) for i, n in enumerate(names) if n not in failed]
+    targets = spark.createDataFrame(rows, "_target int, source_site string")
+    counted = targets.join(seen, "_target", "left").join(verdicts, "_target", "left")
+    if yields is not None:
+        fetched = yields.groupBy("source_site").agg(F.countDistinct("page_no").alias("fetched"))
+        counted = counted.join(fetched, "source_site", "left").withColumn("pages_scraped", F.col("fetched")).drop("fetched")
+    log_runs(
+        counted.fillna(0, runs.COUNTERS).select(
+            run, "source_site", *runs.COUNTERS, F.lit(done).alias("event_ts"), F.lit(done).alias("completed_at"),
+            F.lit(started).alias("started_at"), F.lit(runs.COMPLETED).alias("status"),
+        ),
+        tables,
+    )

@@ -18,6 +18,8 @@ POSTING = _struct(
     source_site=_S, raw_html=_S, scraped_at=T.TimestampType(), is_active=T.BooleanType(), week_key=_S,
 )
 
+KEY = _struct(url_key=_S, bucket=T.IntegerType(), batch_id=_S)
+
 DEDUP_AUDIT = _struct(job_url=_S, reason=_S, checked_at=T.TimestampType())
 
 RUN_EVENT = _struct(

@@ -1,4 +1,4 @@
-"""Session settings, the shared work folder, and input spreading."""
+"""Session settings and the shared work folder."""
 
 from __future__ import annotations
 
@@ -57,15 +57,32 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """Give CPU-heavy work on a plain scan enough tasks.
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table this library has written, wherever the path's file system is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    A few small files become a few tasks. At scale the scan already has far more
-    splits than cores and the frame is returned unchanged, so no text is shuffled.
-    Meant for scans with narrow steps: asking a frame with a join for its partitions
-    would run the join.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+class Scratch:
+    """Tables of one run in the shared folder, dropped when the run ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        path = work_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

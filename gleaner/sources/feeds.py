@@ -20,30 +20,39 @@ SALARY_PATTERN = (
     r"|[\d,]+\s*(USD|EUR|GBP|per year|per month|/yr|/month)"
 )
 
+# The default board's detail address and source label.
 DETAIL_URL = "https://remoteok.com/remote-jobs/"
 FEED_SOURCE = "remoteok"
-RAW_LIMIT = 5000
 
 
 def read_feed(spark: SparkSession, path: str, one_body_per_file: bool = True) -> DataFrame:
-    """Landed API bodies: one per file, or one per line."""
+    """Landed API bodies: one per file, or one per line; ``line`` tells the bodies of a file apart."""
     body = spark.read.text(path, wholetext=one_body_per_file)
-    return body.select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
+    line = F.monotonically_increasing_id().alias("line")
+    return body.select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"), line)
 
 
 def feed_entries(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """One row per entry with its position; position 0 is metadata unless it stands alone."""
+    """One row per entry with its position; position 0 is metadata unless it stands alone.
+
+    A body that is no JSON array, truncated ones included, is one entry with ``broken``.
+    """
     others = [c for c in bodies.columns if c != body]
 
+    def item(entry: Column, size: Column, broken: bool) -> Column:
+        return F.struct(entry.alias("entry"), size.alias("size"), F.lit(broken).alias("broken"))
+
     def sized(entries: Column) -> Column:
-        return F.transform(entries, lambda e: F.struct(e.alias("entry"), F.size(entries).alias("size")))
+        whole = F.array(item(blank_if_null(F.col(body)), F.lit(1), True))
+        is_list = entries.isNotNull() & F.rlike(F.col(body), F.lit(r"^\s*\["))
+        return F.when(is_list, F.transform(entries, lambda e: item(e, F.size(entries), False))).otherwise(whole)
 
     # Parsed inside the generator, so that the body is parsed once.
     entries = let(F.from_json(F.col(body), "array<string>"), sized)
     return (
         bodies.select(*others, F.posexplode(entries).alias("pos", "_item"))
         .filter((F.col("pos") > 0) | (F.col("_item.size") == 1))
-        .select(*others, "pos", F.col("_item.entry").alias("entry"))
+        .select(*others, "pos", F.col("_item.entry").alias("entry"), F.col("_item.broken").alias("broken"))
     )
 
 
@@ -60,33 +69,36 @@ def extract_salary(text: Column) -> Column:
     return F.regexp_extract(blank_if_null(text), SALARY_PATTERN, 0)
 
 
-def detail_url(slug: Column, entry_id: Column) -> Column:
-    return F.when(blank_if_null(slug) != "", F.concat(F.lit(DETAIL_URL), slug)).when(
-        blank_if_null(entry_id) != "", F.concat(F.lit(DETAIL_URL), entry_id)
+def detail_url(slug: Column, entry_id: Column, base: str = DETAIL_URL) -> Column:
+    return F.when(blank_if_null(slug) != "", F.concat(F.lit(base), slug)).when(
+        blank_if_null(entry_id) != "", F.concat(F.lit(base), entry_id)
     ).otherwise("")
 
 
 def pack_raw(entry: Column, tags: Column) -> Column:
-    """Entry text cut to a fixed length, then the tags, which so survive the cut."""
-    cut = F.regexp_replace(F.substring(entry, 1, RAW_LIMIT), r"\\[nrt]", " ")
+    """The whole entry text, then the tags."""
+    whole = F.regexp_replace(entry, r"\\[nrt]", " ")
     listed = F.concat(F.lit("\n<!-- TAGS: "), F.array_join(tags, ", "), F.lit(" -->"))
-    return F.concat(cut, F.when(F.size(tags) > 0, listed).otherwise(""))
+    return F.concat(whole, F.when(F.size(tags) > 0, listed).otherwise(""))
 
 
-def feed_postings(entries: DataFrame, entry: str = "entry") -> DataFrame:
-    """Feed entries as posting rows; ``unparsed`` marks entries without a usable record."""
-    others = [c for c in entries.columns if c != entry]
+def feed_postings(
+    entries: DataFrame, entry: str = "entry", base: str = DETAIL_URL, source_site: str = FEED_SOURCE
+) -> DataFrame:
+    """Feed entries as posting rows; ``unparsed`` marks broken bodies and entries without a usable record."""
+    others = [c for c in entries.columns if c not in (entry, "broken")]
+    broken = F.col("broken") if "broken" in entries.columns else F.lit(False)
     # inline: the entry is parsed once, whatever is asked of its fields later.
     fields = F.inline(F.array(F.from_json(F.col(entry), schema.FEED_ENTRY)))
     names = {f.name: f"_{f.name}" for f in schema.FEED_ENTRY}
-    parsed = entries.select(*others, entry, fields.alias(*names.values()))
+    parsed = entries.select(*others, entry, broken.alias("_broken"), fields.alias(*names.values()))
     e = {name: F.col(column) for name, column in names.items()}
 
     # A name given as an explicit null breaks the record; an absent one is blank.
     nulled = F.rlike(entry, F.lit(r'"(position|company|description)"\s*:\s*null\b'))
     missing = e["position"].isNull() | e["company"].isNull() | e["description"].isNull()
     no_tags = e["tags"].isNull() & (blank_if_null(e["location"]) == "") & F.rlike(entry, F.lit(r'"tags"\s*:\s*null\b'))
-    unparsed = ~F.startswith(entry, F.lit("{")) | (missing & nulled) | no_tags
+    unparsed = F.col("_broken") | ~F.startswith(entry, F.lit("{")) | (missing & nulled) | no_tags
     return parsed.select(
         *others,
         strip(e["position"]).alias("title"),
@@ -94,8 +106,8 @@ def feed_postings(entries: DataFrame, entry: str = "entry") -> DataFrame:
         infer_location(e["location"], e["tags"]).alias("location"),
         extract_salary(e["description"]).alias("salary_range"),
         feed_date(e["date"]).alias("date_posted"),
-        detail_url(e["slug"], e["id"]).alias("job_url"),
-        F.lit(FEED_SOURCE).alias("source_site"),
+        detail_url(e["slug"], e["id"], base).alias("job_url"),
+        F.lit(source_site).alias("source_site"),
         pack_raw(F.col(entry), e["tags"]).alias("raw_html"),
         F.coalesce(unparsed, F.lit(True)).alias("unparsed"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner import schema
 from gleaner.functions.dates import relative_date
-from gleaner.functions.text import blank_if_null, drop_scripts, markup_text, strip, unescape_entities
+from gleaner.functions.text import blank_if_null, drop_scripts, let, markup_text, strip, unescape_entities
 from gleaner.functions.urls import absolute_link
 
 
@@ -50,15 +50,16 @@ HREF = r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 class ListingRules:
     """Patterns of one layout. Blank pattern: the field is not there.
 
-    ``container`` matches the start tag of a container (group 1: the tag name), and the
-    container runs to its end tag or to the next container. ``fallback`` is used only
-    on pages without any ``container``; containers that begin with ``skip`` are
-    dropped. A field is the text of the element its pattern matches, or of the element
+    ``container`` matches the start tag of a container, and the container runs to its end
+    tag or to the next one. Several patterns are matched together, in document order; a
+    tuple among them is a path, each pattern inside what the one before it matches.
+    ``fallback`` is used only on pages where ``container`` finds nothing. Containers that
+    begin with ``skip`` are dropped, those of the fallback with ``fallback_skip``. A field is the text of the element its pattern matches, or of the element
     that the last of several patterns matches inside the one before. ``stamp`` and the
     links capture an attribute value in their last group.
     """
 
-    container: str
+    container: str | tuple[str | tuple[str, ...], ...]
     title: str | tuple[str, ...]
     link: str = "(?is)" + HREF
     preferred_link: str = ""
@@ -69,6 +70,7 @@ class ListingRules:
     stamp: str = ""
     fallback: str = ""
     skip: str = ""
+    fallback_skip: str = ""
     source_site: str = "generic"
 
 
@@ -85,9 +87,13 @@ TABLE_LAYOUT = ListingRules(
 )
 
 LIST_LAYOUT = ListingRules(
-    container=start_tag(css_class="job"),
+    container=(
+        (start_tag("section", "jobs"), start_tag("article"), start_tag("li")),
+        (start_tag(css_class="jobs-list"), start_tag("li")),
+        start_tag(css_class="job"),
+    ),
     fallback=start_tag("li"),
-    skip=start_tag("li", "view-all"),
+    fallback_skip=start_tag("li", "view-all"),
     title=any_of(element("span", "title"), element(css_class="job-title"), element("h4")),
     company=element(css_class="company|company-name"),
     location=element(css_class="region|location"),
@@ -99,8 +105,7 @@ LIST_LAYOUT = ListingRules(
 )
 
 GENERIC_LAYOUT = ListingRules(
-    container=any_of(start_tag(css_class="job|job-listing")),
-    fallback=start_tag(attr="data-job"),
+    container=(start_tag(css_class="job|job-listing"), start_tag(attr="data-job")),
     title=any_of(element(css_class="title"), element("h[234]")),
     company=element(css_class="company|employer"),
     location=element(css_class="location|region"),
@@ -132,8 +137,9 @@ def _by_layout(layouts: Mapping[str, ListingRules], layout: Column, build) -> Co
 
 
 def _outer(html: Column, start: str) -> Column:
-    """Markup of every container, in order per tag name."""
-    tags = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(start), F.lit(1)), F.lower))
+    """Place and markup ``(begin, text)`` of every container."""
+    found = F.regexp_extract_all(html, F.lit(start), F.lit(0))
+    tags = F.array_distinct(F.transform(found, lambda t: F.lower(F.regexp_extract(t, r"^<(\w+)", 1))))
     at_start = "(?is)^(?:" + start.removeprefix("(?is)") + ")"
 
     def of_tag(tag: Column) -> Column:
@@ -147,45 +153,84 @@ def _outer(html: Column, start: str) -> Column:
             ended = (depth > 0) & (begins | (after == 0))
             end_tag = F.regexp_extract(piece, r"^</[^>]*>", 0)
             whole = F.when(begins, text).otherwise(F.concat(text, end_tag))
+            one = F.struct(state["begin"].alias("begin"), whole.alias("text"))
             return F.struct(
                 F.when(begins, 1).when(depth == 0, 0).otherwise(after).alias("depth"),
+                F.when(begins, state["pos"]).otherwise(state["begin"]).alias("begin"),
                 F.when(begins, piece).when((depth == 0) | ended, "").otherwise(F.concat(text, piece)).alias("text"),
-                F.when(ended, F.array_append(done, whole)).otherwise(done).alias("done"),
+                F.when(ended, F.array_append(done, one)).otherwise(done).alias("done"),
+                (state["pos"] + F.length(piece)).alias("pos"),
             )
 
         start_state = F.struct(
-            F.lit(0).alias("depth"), F.lit("").alias("text"), F.array().cast("array<string>").alias("done")
+            F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit("").alias("text"),
+            F.array().cast("array<struct<begin:int,text:string>>").alias("done"), F.lit(0).alias("pos"),
         )
+        last = lambda end: F.struct(end["begin"].alias("begin"), end["text"].alias("text"))
         return F.aggregate(
             pieces,
             start_state,
             step,
-            lambda end: F.when(end["depth"] > 0, F.array_append(end["done"], end["text"])).otherwise(end["done"]),
+            lambda end: F.when(end["depth"] > 0, F.array_append(end["done"], last(end))).otherwise(end["done"]),
         )
 
     return F.flatten(F.transform(tags, of_tag))
 
 
-def _containers(html: Column, rules: ListingRules) -> Column:
-    found = _outer(html, rules.container)
-    if rules.fallback:
-        found = F.when(F.rlike(html, F.lit(rules.container)), found).otherwise(_outer(html, rules.fallback))
-    if rules.skip:
-        skip = "(?is)^(?:" + rules.skip.removeprefix("(?is)") + ")"
-        found = F.filter(found, lambda c: ~F.rlike(c, F.lit(skip)))
+def _path(html: Column, path: tuple[str, ...]) -> Column:
+    """Containers that the last pattern of a path finds inside those of the one before."""
+    found = _outer(html, path[0])
+    for start in path[1:]:
+        found = F.flatten(F.transform(found, _inside(start)))
     return found
 
 
+def _inside(start: str):
+    def within(outer: Column) -> Column:
+        return F.transform(
+            _outer(outer["text"], start), lambda x: F.struct((outer["begin"] + x["begin"]).alias("begin"), x["text"].alias("text"))
+        )
+
+    return within
+
+
+def _all_of(html: Column, patterns: str | tuple[str | tuple[str, ...], ...]) -> Column:
+    """Markup of the containers of all patterns in document order, each place once."""
+    each = [_path(html, (p,) if isinstance(p, str) else p) for p in ((patterns,) if isinstance(patterns, str) else patterns)]
+    found = F.array_sort(each[0] if len(each) == 1 else F.concat(*each))
+
+    def once(ordered: Column) -> Column:
+        first = F.filter(ordered, lambda x, i: (i == 0) | (x["begin"] != F.get(ordered, i - 1)["begin"]))
+        return F.transform(first, lambda x: x["text"])
+
+    return let(found, once)
+
+
+def _without(containers: Column, skip: str) -> Column:
+    if not skip:
+        return containers
+    return F.filter(containers, lambda c: ~F.rlike(c, F.lit("(?is)^(?:" + skip.removeprefix("(?is)") + ")")))
+
+
+def _containers(html: Column, rules: ListingRules) -> Column:
+    found = _all_of(html, rules.container)
+    if not rules.fallback:
+        return _without(found, rules.skip)
+    other = _without(_all_of(html, rules.fallback), rules.fallback_skip)
+    return let(found, lambda all_found: F.when(F.size(all_found) > 0, _without(all_found, rules.skip)).otherwise(other))
+
+
 def _field(part: Column, pattern: str | tuple[str, ...]) -> Column:
+    """Markup of a field."""
     if not pattern:
         return F.lit("")
     for step in (pattern,) if isinstance(pattern, str) else pattern:
         part = F.regexp_extract(part, step, 0)
-    return markup_text(part)
+    return part
 
 
 def _attribute(part: Column, pattern: str) -> Column:
-    return unescape_entities(F.regexp_extract(part, pattern, _value_group(pattern))) if pattern else F.lit("")
+    return F.regexp_extract(part, pattern, _value_group(pattern)) if pattern else F.lit("")
 
 
 def _value_group(pattern: str) -> int:
@@ -211,37 +256,28 @@ def page_listings(
     )
     part, kind = F.col("_part"), F.col("_layout")
 
-    def href(r: ListingRules) -> Column:
-        first = _attribute(part, r.link)
-        if not r.preferred_link:
-            return first
-        preferred = _attribute(part, r.preferred_link)
-        return F.when(preferred != "", preferred).otherwise(first)
-
-    def day(r: ListingRules) -> Column:
-        relative = relative_date(_field(part, r.date), as_of)
-        if not r.stamp:
-            return relative
-        stamp = _attribute(part, r.stamp)
-        return F.when(stamp != "", F.substring(stamp, 1, 10)).otherwise(relative)
-
     def pick(build) -> Column:
         return _by_layout(layouts, kind, build)
 
+    # Cut out by layout first, so that what is done to texts stands in the plan once.
+    markup = pick(lambda r: F.array(*[_field(part, p) for p in (r.title, r.company, r.location, r.salary, r.date)]))
+    values = pick(lambda r: F.array(*[_attribute(part, p) for p in (r.stamp, r.preferred_link, r.link)]))
     rows = split.select(
+        *others, "pos", "_part", F.transform(markup, markup_text).alias("_t"), F.transform(values, unescape_entities).alias("_v"),
+        pick(lambda r: F.lit(r.source_site)).alias("source_site"),
+    )
+    texts, (stamp, preferred, link) = F.col("_t"), [F.col("_v")[i] for i in range(3)]
+    found = rows.select(
         *others,
         "pos",
-        pick(lambda r: _field(part, r.title)).alias("title"),
-        pick(lambda r: _field(part, r.company)).alias("company"),
-        pick(lambda r: _field(part, r.location)).alias("location"),
-        pick(lambda r: _field(part, r.salary)).alias("salary_range"),
-        pick(day).alias("date_posted"),
-        pick(href).alias("_href"),
-        pick(lambda r: F.lit(r.source_site)).alias("source_site"),
+        *[texts[i].alias(name) for i, name in enumerate(("title", "company", "location", "salary_range"))],
+        F.when(stamp != "", F.substring(stamp, 1, 10)).otherwise(relative_date(texts[4], as_of)).alias("date_posted"),
+        "source_site",
         part.alias("raw_html"),
+        F.when(preferred != "", preferred).otherwise(link).alias("_href"),
     )
-    link = F.when(F.col("_href") != "", absolute_link(F.col(url), F.col("_href"))).otherwise("")
-    return rows.withColumn("job_url", link).drop("_href")
+    job_url = F.when(F.col("_href") != "", absolute_link(F.col(url), F.col("_href"))).otherwise("")
+    return found.withColumn("job_url", job_url).drop("_href")
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -10,14 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gleaner.functions.dates import week_label
-from gleaner.plans.ingest import Tables, ingest_batch
+from gleaner.plans.ingest import Tables, finish_batch, ingest_batch
+from gleaner.session import Scratch
+from gleaner.sources.postings import read_table
 
 
-def stream_files(spark: SparkSession, path: str, columns: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A landing folder of parquet files as a stream."""
+def stream_files(spark: SparkSession, path: str, columns: StructType, bytes_per_batch: int | None = None) -> DataFrame:
+    """A landing folder of parquet files as a stream; micro-batches are sized by bytes."""
     reader = spark.readStream.schema(columns)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 
@@ -31,12 +34,15 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Parse and ingest every micro-batch with the code of the batch path, then stop when all is read.
 
-    Deduplication is against the stored table, so there is no state that grows, and a
-    micro-batch that is run again after a failure appends nothing twice.
+    Deduplication is against the stored table, so there is no state that grows. What a
+    micro-batch has settled is staged under its number until the next one begins, so one that
+    is run again after a failure ends as if it had run once.
     """
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
-    def step(batch: DataFrame, _: int) -> None:
-        ingest_batch(parse(batch), tables, clock(), order_by)
+    def step(batch: DataFrame, number: int) -> None:
+        ingest_batch(parse(batch), tables, clock(), order_by, f"{stream}-{number}")
+        finish_batch(batch.sparkSession, f"{stream}-{number - 1}")
 
     return (
         landed.writeStream.foreachBatch(step)
@@ -58,10 +64,25 @@ def weekly_event_counts(events: DataFrame, ts: str, *by: str, delay: str = "1 da
     return counted.select(start.alias("week_start"), week_label(start).alias("week_key"), *by, "n")
 
 
-def write_stream(frame: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished rows to a parquet table, then stop when all is read."""
+def write_weeks(counts: DataFrame, path: str, checkpoint: str, *by: str) -> StreamingQuery:
+    """Keep a table of the latest counts, open weeks included, then stop when all is read.
+
+    Each micro-batch brings the new totals of the weeks it changed. Only their partitions are
+    rewritten, with totals and not with increments, so a micro-batch that runs again changes nothing.
+    """
+    keys, kind = ["week_start", "week_key", *by], counts.schema
+
+    def step(updates: DataFrame, _: int) -> None:
+        spark = updates.sparkSession
+        with Scratch(spark) as scratch:
+            new = scratch.cut(updates, "weeks-new")
+            on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+            old = read_table(spark, path, kind).join(new.select("week_key").distinct(), "week_key", "left_semi")
+            rest = old.alias("o").join(new.alias("n"), on, "left_anti").select(*kind.names)
+            merged = scratch.cut(rest.union(new.select(*kind.names)), "weeks-all")
+            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_key").parquet(path))
+
     return (
-        frame.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        counts.writeStream.outputMode("update").foreachBatch(step)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

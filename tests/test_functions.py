@@ -4,13 +4,16 @@ import datetime
 import random
 import re
 import sqlite3
+import time
 import urllib.parse as up
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.inputs import OVERLAP_TAXONOMY, large_taxonomy
 from gleaner.functions import dates, text, urls
 from gleaner.functions.phrases import Taxonomy, extract_skills
+from gleaner.functions.text import unescape_entities
 from gleaner.operators.dedup import with_url_key
 
 EDGE_URLS = [
@@ -203,3 +206,41 @@ def test_taxonomy_from_csv(spark, tmp_path):
     taxonomy = Taxonomy.read(spark, str(tmp_path / "t.csv"))
     assert taxonomy.entries == (("go", "a"), ("rust", "b"), ("go", "b"))
     assert taxonomy.skills == {"go": "a", "rust": "b"}
+
+
+def test_large_taxonomy_equals_python_model(spark):
+    taxonomy = large_taxonomy()
+    assert len(taxonomy.skills) >= 250 and taxonomy.overlaps
+    rnd = random.Random(7)
+    parts = ["of", "the", "in", "and", "is", "that", "an", "%%%", "***", ",", "|", "!!", ".", "#", *list(taxonomy.skills)[:60]]
+    texts = [rnd.choice(["", " "]).join(rnd.choice(parts) + rnd.choice(["", " ", " "]) for _ in range(rnd.randrange(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def model(body):
+        found, spans, low = set(), [], body.lower()
+        for phrase in taxonomy.by_priority:
+            for m in re.finditer(r"(?<!\w)" + re.escape(phrase) + r"(?!\w)", low):
+                if not any(b <= m.start() < e for b, e in spans):
+                    spans.append((m.start(), m.end()))
+                    found.add(phrase)
+        return sorted(found)
+
+    for r in df.select("t", extract_skills(F.col("t"), taxonomy).alias("s")).collect():
+        assert sorted(r.s) == model(r.t), repr(r.t)
+
+
+def test_tangled_text_costs_the_same_per_word(spark):
+    words = "of the in the of the and of the that and the in de la de la le a"
+    seconds = {}
+    for n in (100, 100, 2000):
+        df = spark.createDataFrame([(" ".join([words] * n),)] * 4, "t string").repartition(4)
+        begin = time.perf_counter()
+        df.select(F.size(extract_skills(F.col("t"), OVERLAP_TAXONOMY)).alias("n")).collect()
+        seconds[n] = time.perf_counter() - begin
+    assert seconds[2000] < 30 * max(seconds[100], 0.3)
+
+
+def test_entities(spark):
+    rows = [("&eacute;&amp;lt;&#0000233;&#x00E9;&nope;&amp;&copy;x", "é&lt;éé&nope;&©x"), ("a & b &; &#; &#x; &#99999999;", "a & b &; &#; &#x; &#99999999;")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r.v for r in df.select(unescape_entities(F.col("a")).alias("v")).collect()] == [b for _, b in rows]

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from gleaner.functions.dates import next_week
 from gleaner.functions.phrases import Taxonomy
 from gleaner.operators import dedup, mining, pagination, runs, stats
 from gleaner.operators.skew import annotate_by_key
@@ -154,16 +155,41 @@ def test_mining_nothing(spark):
 
 
 def test_trend(spark):
-    df = spark.createDataFrame(DOCS, "id long, t string, week_key string")
-    weekly = mining.skill_counts(df, F.col("t"), TAX, "week_key")
+    docs = [
+        (1, "Go and SQL", "2026-W01"), (2, "git, git, GIT", "2026-W01"), (3, "nothing", "2026-W01"), (4, "go rust", "2026-W02"),
+        (5, "rust", "2026-W04"), (6, "", "2026-W04"), (7, "go", None), (8, "git", None),
+    ]
+    weekly = mining.skill_counts(spark.createDataFrame(docs, "id long, t string, week_key string"), F.col("t"), TAX, "week_key")
     got = {(r.week_key, r.skill): (r.n, r.delta) for r in mining.skill_trend(weekly).collect()}
+    w = "2026-W0"
     assert got == {
-        ("w1", "go"): (1, None), ("w1", "sql"): (1, None), ("w1", "git"): (1, None),
-        ("w2", "go"): (1, 0), ("w2", "rust"): (1, 1), ("w2", "sql"): (0, -1), ("w2", "git"): (0, -1),
-        ("w4", "go"): (0, -1), ("w4", "rust"): (1, 0),
+        (w + "1", "go"): (1, None), (w + "1", "sql"): (1, None), (w + "1", "git"): (1, None),
+        (w + "2", "go"): (1, 0), (w + "2", "rust"): (1, 1), (w + "2", "sql"): (0, -1), (w + "2", "git"): (0, -1),
+        (w + "3", "go"): (0, -1), (w + "3", "rust"): (0, -1), (w + "4", "rust"): (1, 1),
+        (None, "go"): (1, None), (None, "git"): (1, None),
     }
 
 
+def test_next_week_follows_the_calendar(spark):
+    day = datetime.date(1995, 12, 1)
+    labels = []
+    for i in range(3000):
+        label = (day + datetime.timedelta(i)).strftime("%Y-W%W")
+        if not labels or labels[-1] != label:
+            labels.append(label)
+    df = spark.createDataFrame(list(zip(labels, labels[1:], strict=False)), "a string, b string")
+    assert df.filter(next_week(F.col("a")) != F.col("b")).count() == 0
+
+
+def test_positions_may_be_null_or_shared(spark):
+    rows = [(None, "http://a.com/1"), (None, "http://a.com/2"), (1, "http://a.com/2"), (1, "http://a.com/2/"), (1, "http://a.com/3"), (2, None)]
+    batch = dedup.with_url_key(spark.createDataFrame(rows, "pos long, job_url string"))
+    out = dedup.label_batch(batch, None, ["pos"]).collect()
+    assert len(out) == 6
+    kept = sorted((r.url_key, r.pos) for r in out if r.status == dedup.KEPT)
+    assert [k for k, _ in kept] == ["http://a.com/1", "http://a.com/2", "http://a.com/3"] and dict(kept)["http://a.com/2"] == 1
+
+
 def test_stats_and_period(spark):
     df = spark.createDataFrame(
         [("a", "x", "w", "2026-06-01", 1), ("a", "", "w", "2026-6-28", 0), ("", "x", "v", "soon", 1), ("b", "y", "w", "", 1)],

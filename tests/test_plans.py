@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner import schema
 from gleaner.functions.phrases import Taxonomy
-from gleaner.operators import runs
+from gleaner.operators import mining, runs
 from gleaner.plans import analysis, ingest, report
 from gleaner.session import shared_root, work_path
 from gleaner.sources import postings
@@ -74,9 +76,72 @@ def test_failed_target_does_not_stop_the_rest(spark):
     got = {r.source_site: r for r in out.collect()}
     assert (got["bad"].run_id, got["bad"].status, got["bad"].error_message) == (10, "failed", "no feed")
     good = got["good"]
-    assert (good.status, good.jobs_found, good.jobs_inserted, good.errors_encountered) == ("completed", 2, 2, 1)
+    assert (good.status, good.jobs_found, good.jobs_inserted, good.errors_encountered) == ("completed", 2, 2, 0)
     totals = runs.run_totals(out).first()
-    assert (totals.targets_processed, totals.errors_encountered) == (1, 2)
+    assert (totals.targets_processed, totals.errors_encountered) == (1, 1)
+
+
+def test_runs_count_failures_and_pages(spark):
+    t = tables(spark)
+    base = rows(spark, "http://a.com/1", "ftp://a.com/2", "http://a.com/3").withColumn("unparsed", F.col("pos") == 2)
+    yields = spark.createDataFrame([("one", p, n) for p, n in [(1, 2), (2, 0), (3, 0)]], "source_site string, page_no long, n_jobs long")
+    sources = {"one": lambda: base, "two": lambda: base}
+    out = {r.source_site: r for r in ingest.run_ingest(spark, sources, t, lambda: TS, 5, ["pos"], yields=yields).collect()}
+    one, two = out["one"], out["two"]
+    assert (one.run_id, one.pages_scraped, one.jobs_found, one.jobs_inserted, one.jobs_deduplicated, one.errors_encountered) == (5, 3, 1, 1, 0, 1)
+    assert (two.run_id, two.pages_scraped, two.jobs_found, two.jobs_inserted, two.jobs_deduplicated, two.errors_encountered) == (6, 0, 1, 0, 1, 1)
+
+
+def test_a_batch_that_failed_between_writes_ends_as_one_clean_run(spark, monkeypatch):
+    batch = rows(spark, "http://a.com/1", "http://a.com/2", "http://www.a.com/1", "")
+    clean, broken = tables(spark), tables(spark)
+    for t in (clean, broken):
+        ingest.ingest_batch(rows(spark, "http://a.com/2", "http://a.com/9"), t, TS, ["pos"])
+    ingest.ingest_batch(batch, clean, TS, ["pos"], "b-1")
+    ingest.finish_batch(spark, "b-1")
+    replace = ingest._replace
+    for stop_at in (1, 2):
+        calls = []
+
+        def stop(rows, path, *by):
+            calls.append(path)
+            if len(calls) == stop_at:
+                raise OSError("executor lost")
+            replace(rows, path, *by)
+
+        monkeypatch.setattr(ingest, "_replace", stop)
+        with pytest.raises(OSError):
+            ingest.ingest_batch(batch, broken, TS, ["pos"], "b-2")
+    monkeypatch.setattr(ingest, "_replace", replace)
+    result = ingest.ingest_batch(batch, broken, TS, ["pos"], "b-2")
+    ingest.finish_batch(spark, "b-2")
+    assert (result.inserted, result.skipped, result.blank) == (1, 2, 1)
+
+    def state(t):
+        stored = sorted(r.url_key for r in postings.read_store(spark, t.postings).collect())
+        audit = sorted((r.job_url, r.reason) for r in spark.read.schema(schema.DEDUP_AUDIT).parquet(t.audit).collect())
+        keys = sorted(r.url_key for r in spark.read.parquet(t.keys).collect())
+        return stored, audit, keys
+
+    assert state(clean) == state(broken)
+    staged = os.path.join(shared_root(spark).removeprefix("file:"), "staged")
+    assert not [f for f in os.listdir(staged) if f.startswith("b-")]
+
+
+def test_an_ingest_leaves_no_work_tables(spark):
+    root = shared_root(spark).removeprefix("file:")
+    before = set(os.listdir(root)) | set(os.listdir(os.path.join(root, "staged")) if os.path.isdir(os.path.join(root, "staged")) else [])
+    t = tables(spark)
+    ingest.ingest_batch(rows(spark, "http://a.com/1", "http://a.com/2"), t, TS, ["pos"])
+    ingest.run_ingest(spark, {"a": lambda: rows(spark, "http://a.com/3")}, t, lambda: TS, 1, ["pos"])
+    after = set(os.listdir(root)) | set(os.listdir(os.path.join(root, "staged")))
+    assert {f for f in after - before if not f.startswith("t-")} <= {"staged"}
+
+
+def test_mentions_join_only_a_broadcast_taxonomy(spark):
+    df = spark.createDataFrame([(1, "go sql")], "id long, t string")
+    plan = mining.skill_mentions(df, F.col("t"), TAX, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastExchange") == 1 and "BuildRight" in plan
 
 
 def posting_frame(spark):
@@ -143,7 +208,7 @@ def test_stream_equals_batch(spark):
         )
 
     def run():
-        stream = incremental.stream_files(spark, landing, schema.PAGE, files_per_batch=1)
+        stream = incremental.stream_files(spark, landing, schema.PAGE, bytes_per_batch=1)
         incremental.ingest_stream(stream, parse, t, checkpoint, lambda: TS, ["pos"]).awaitTermination()
 
     checkpoint = work_path(spark, "cp")

@@ -39,9 +39,18 @@ def test_feed_fields(spark):
     assert not row.unparsed
 
 
-def test_feed_keeps_tags_when_cut(spark):
-    row = feed(spark, {"position": "Dev", "company": "A", "tags": ["go"], "description": "x" * 9000, "slug": "s"}).first()
-    assert len(row.raw_html) == feeds.RAW_LIMIT + len("\n<!-- TAGS: go -->")
+def test_feed_keeps_the_whole_entry(spark):
+    row = feed(spark, {"position": "Dev", "company": "A", "tags": ["go"], "description": "x" * 9000 + " kubernetes", "slug": "s"}).first()
+    assert "kubernetes" in row.raw_html and row.raw_html.endswith("\n<!-- TAGS: go -->")
+
+
+def test_broken_bodies_are_entries_of_their_own(spark):
+    good = json.dumps([{}, {"position": "Dev", "company": "A", "slug": "s"}])
+    bodies = [good, good[:-1], "<html>busy</html>", '{"position": "Dev", "company": "A", "slug": "s"}', "", None, "[]"]
+    rows = feeds.feed_postings(feeds.feed_entries(spark.createDataFrame(list(enumerate(bodies)), "k int, body string"))).collect()
+    assert sorted((r.k, r.unparsed) for r in rows) == [(0, False), (1, True), (2, True), (3, True), (4, True), (5, True)]
+    checked = quality.with_errors(feeds.feed_postings(feeds.feed_entries(spark.createDataFrame([(b,) for b in bodies], "body string"))))
+    assert quality.rejected_rows(checked).count() == 5
 
 
 @pytest.mark.parametrize(
@@ -106,6 +115,15 @@ def test_generic_layout_handles_nesting_and_scripts(spark):
     assert (two.title, two.date_posted, two.job_url) == ("T2", "2026-06-28", "https://x.org/a/j2")
 
 
+def test_unions_keep_document_order(spark):
+    cards = '<div data-job="1"><h3>D1</h3></div><p class="job"><b class="title">J1</b></p><div data-job="2"><h3>D2</h3></div>'
+    assert [r.title for r in listings(spark, ("https://z.org/", cards))] == ["D1", "J1", "D2"]
+    both = '<ul class="jobs-list"><li class="job"><h4>L1</h4></li><li class="view-all"><h4>All</h4></li></ul><div class="job"><h4>J1</h4></div>'
+    assert [r.title for r in listings(spark, ("https://weworkremotely.com/", both))] == ["L1", "All", "J1"]
+    path = '<section class="jobs"><article><ul><li><h4>P1</h4></li></ul></article></section><ul><li><h4>no</h4></li></ul>'
+    assert [r.title for r in listings(spark, ("https://weworkremotely.com/", path))] == ["P1"]
+
+
 def test_unclosed_containers(spark):
     one, two = listings(spark, ("https://y.org/", CARDS))
     assert (one.title, one.job_url, two.title, two.job_url) == ("J1", "https://y.org/1", "J2", "https://y.org/2")
