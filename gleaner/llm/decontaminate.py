@@ -202,7 +202,7 @@ def _benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> It
                 yield Block.of([*texts, (row.item_id, first, words[:room])], window)
                 texts, held = [], 0
                 words, first = words[room - window + 1 :], first + room - window + 1
-        if words:
+        if len(words) >= (window if first else 1):  # a rest of the overlap alone holds no window
             texts, held = [*texts, (row.item_id, first, words)], held + len(words)
     yield Block.of(texts, window)
 

@@ -38,20 +38,20 @@ def letters_of(text: str) -> np.ndarray:
     return _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-def gram_hashes(points: np.ndarray) -> np.ndarray:
-    """Hashes of all n-grams with blanks at their ends only."""
+def gram_hashes(points: np.ndarray, first: int = _CHUNK) -> np.ndarray:
+    """Hashes of the n-grams that begin in the ``first`` places, and have blanks at their ends only."""
     letter = points != 32
     wide = points.astype(np.uint64) + np.uint64(1)
     out = []
     for n in SIZES:
-        count = len(points) - n + 1
+        count = min(len(points) - n + 1, first)
         if count < 1:
             continue
         value = np.full(count, n, np.uint64)
         for j in range(n):
             value = (value ^ wide[j : j + count]) * _MIX[j]
         value ^= value >> np.uint64(29)
-        inner = letter[:count] | letter[n - 1 :]
+        inner = letter[:count] | letter[n - 1 : n - 1 + count]
         for j in range(1, n - 1):
             inner = inner & letter[j : j + count]
         out.append(value[inner])
