@@ -21,6 +21,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 BLOCK_WORDS = 1_000_000
 #: Bytes of training text that one suffix array covers.
 SHARD_BYTES = 8 << 20
+#: Places in texts times places in items that are looked at together.
+PAIRS = 1 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 MATCH = T.StructType([
@@ -167,16 +169,30 @@ def _scan(texts: list[str | None], block: Block, before: list[list[dict]]) -> tu
 def _longest(block: Block, window: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, ...]]:
     """Per text and item the longest verbatim match: text, item, words, its place in the text and in the item.
 
-    Windows that follow each other in the item and in the text are one longer match.
+    Windows that follow each other in the item and in the text are one longer match. Texts are
+    taken together up to ``PAIRS`` pairs of a place in a text and a place in an item, since many
+    items may share a window.
     """
+    order = np.argsort(at, kind="stable")
+    window, at = window[order], at[order]
     counts = block.starts[window + 1] - block.starts[window]
+    doc = np.searchsorted(offsets, at, "right") - 1
+    borders = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+    pairs = np.concatenate(([0], np.cumsum(counts)))[borders]
+    start = 0
+    while start < len(borders) - 1:
+        stop = max(start + 1, int(np.searchsorted(pairs, pairs[start] + PAIRS, "right")) - 1)
+        part = slice(borders[start], borders[stop])
+        yield from _longest_of(block, window[part], at[part], counts[part], offsets)
+        start = stop
+
+
+def _longest_of(block: Block, window: np.ndarray, at: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, ...]]:
     place = _ragged(block.starts[window], counts)
     item, there = block.places[place, 1], block.places[place, 2]
     here, size = np.repeat(at, counts), np.repeat(block.lengths[window], counts)
     order = np.lexsort((there, here - there, item))
     item, there, here, size = item[order], there[order], here[order], size[order]
-    if not len(item):
-        return
     follows = (np.diff(item) == 0) & (np.diff(here) == 1) & (np.diff(there) == 1)
     heads = np.flatnonzero(np.concatenate(([True], ~follows)))
     ends = np.append(heads[1:], len(item)) - 1

@@ -16,6 +16,8 @@ from gleaner.llm.common import packed, pieces
 
 #: Labelled pages the model is trained on, at most, and layouts that each is also shown in.
 SAMPLE, LAYOUTS = 160, 3
+#: Pages longer than this are not drawn for training.
+LONGEST = 200_000
 
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -381,8 +383,8 @@ def training_trees(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 7)
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` pages that mark their article, drawn by a hash of the id."""
-    marked = pages.filter(F.col("html").rlike(_ARTICLE.pattern)).select("page_id", "html")
+    """A model from at most ``sample`` pages of up to ``LONGEST`` letters that mark their article, drawn by a hash of the id."""
+    marked = pages.filter((F.length("html") <= LONGEST) & F.col("html").rlike(_ARTICLE.pattern)).select("page_id", "html")
     rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
     return fit(training_trees([r.html for r in rows]))
 
