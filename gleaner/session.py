@@ -43,8 +43,17 @@ def ensure_work_folder(spark: SparkSession, folder: str = "/tmp/checkpoints") ->
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below this application's part of the shared folder."""
+    return f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Drop all tables this application has cut, once the results that read them have been written elsewhere."""
+    drop_path(spark, _own_root(spark))
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

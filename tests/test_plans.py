@@ -11,7 +11,7 @@ from gleaner import schema
 from gleaner.functions.phrases import Taxonomy
 from gleaner.operators import mining, runs
 from gleaner.plans import analysis, ingest, report
-from gleaner.session import shared_root, work_path
+from gleaner.session import drop_path, path_exists, shared_root, work_path
 from gleaner.sources import postings
 from gleaner.streaming import incremental
 
@@ -130,12 +130,24 @@ def test_a_batch_that_failed_between_writes_ends_as_one_clean_run(spark, monkeyp
 
 def test_an_ingest_leaves_no_work_tables(spark):
     root = shared_root(spark).removeprefix("file:")
-    before = set(os.listdir(root)) | set(os.listdir(os.path.join(root, "staged")) if os.path.isdir(os.path.join(root, "staged")) else [])
-    t = tables(spark)
+
+    def work():
+        return {os.path.join(d, f) for top in (spark.sparkContext.applicationId, "staged") for d in [os.path.join(root, top)]
+                if os.path.isdir(d) for f in os.listdir(d)}
+
+    t, before = tables(spark), work()
     ingest.ingest_batch(rows(spark, "http://a.com/1", "http://a.com/2"), t, TS, ["pos"])
     ingest.run_ingest(spark, {"a": lambda: rows(spark, "http://a.com/3")}, t, lambda: TS, 1, ["pos"])
-    after = set(os.listdir(root)) | set(os.listdir(os.path.join(root, "staged")))
-    assert {f for f in after - before if not f.startswith("t-")} <= {"staged"}
+    assert {os.path.basename(f) for f in work() - before} == {os.path.basename(os.path.dirname(t.postings))}
+
+
+def test_work_can_be_dropped(spark):
+    other = spark.newSession()
+    path = work_path(spark, "x")
+    other.range(3).write.parquet(path)
+    assert path_exists(spark, path)
+    drop_path(spark, path)
+    assert not path_exists(spark, path)
 
 
 def test_mentions_join_only_a_broadcast_taxonomy(spark):
