@@ -594,7 +594,7 @@ def q_empty_analysis(spark, sf_dir):
 
 def _board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ingest.Tables]:
     """The pages of three boards, by the end of their host, parsed and stored."""
-    raw = table(spark, sf_dir, "pages")
+    raw = pages.read_pages(spark, f"{sf_dir}/pages.parquet")
     host = urls.host_of(F.col("url"))
     raw = raw.select("page_id", "url", "html", F.substring_index(host, ".", -1).alias("target"), (F.col("page_id") % 20 + 1).alias("page_no"))
     layout = F.when(F.startswith(host, F.lit("blog.")), "blog").otherwise("list")

@@ -21,8 +21,8 @@ from gleaner.sources.postings import read_store, read_table
 log = logging.getLogger(__name__)
 
 
-#: Parts of the key table; a batch reads only those that its keys fall in.
-KEY_BUCKETS = 64
+#: Parts of the key table; a batch reads only those that its keys fall in. Fixed once a table is written.
+KEY_BUCKETS = 16
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def _staged(spark: SparkSession, batch_id: str | None) -> str:
     return f"{shared_root(spark).rstrip('/')}/staged/{batch_id or uuid.uuid4().hex}"
 
 
-def _label(scratch: Scratch, rows: DataFrame, tables: Tables, order_by: Sequence[str], path: str) -> tuple[DataFrame, DataFrame]:
+def _label(rows: DataFrame, tables: Tables, order_by: Sequence[str], path: str) -> tuple[DataFrame, DataFrame]:
     """The batch, parsed once, and a status for each of its rows; both are kept at ``path`` until the batch is done.
 
     A batch that is run again finds what its first run has settled, so that rows which that run
@@ -74,8 +74,7 @@ def _label(scratch: Scratch, rows: DataFrame, tables: Tables, order_by: Sequence
         batch = spark.read.parquet(batch_kind)
         others = [c for c in ("errors", "source_site", *order_by) if c in batch.columns and c != "job_url"]
         valid = F.size("errors") == 0 if "errors" in batch.columns else F.lit(True)
-        narrow = batch.filter(valid).select("_row", *dict.fromkeys(others), "job_url", "url_key")
-        keys = scratch.cut(narrow, "keys")
+        keys = batch.filter(valid).select("_row", *dict.fromkeys(others), "job_url", "url_key")
         labels = dedup.label_batch(keys, stored_keys(spark, tables, keys), order_by)
         labels.write.mode("overwrite").parquet(label_kind)
     return spark.read.parquet(batch_kind), spark.read.parquet(label_kind)
@@ -122,7 +121,7 @@ def ingest_batch(
     path, name = _staged(spark, batch_id), batch_id or uuid.uuid4().hex
     again = path_exists(spark, f"{path}/labels/_SUCCESS")
     with Scratch(spark) as scratch:
-        batch, labels = _label(scratch, prepared(rows, stamp), tables, order_by, path)
+        batch, labels = _label(prepared(rows, stamp), tables, order_by, path)
         _store(scratch, batch, labels, tables, stamp, name, again)
         counts = dedup.dedup_summary(labels).first()
         if batch_id is None:
@@ -198,7 +197,7 @@ def run_ingest(
         try:
             with Scratch(spark) as scratch:
                 scratch.paths.append(path)
-                batch, labels = _label(scratch, prepared(dedup.union_sources(*opened), stamp), tables, ["_target", *order_by], path)
+                batch, labels = _label(prepared(dedup.union_sources(*opened), stamp), tables, ["_target", *order_by], path)
                 _store(scratch, batch, labels, tables, stamp, uuid.uuid4().hex, False)
                 _log_counts(batch, labels, names, tables, started, clock(), page, yields, ids, set(failed))
         except Exception as e:  # noqa: BLE001
