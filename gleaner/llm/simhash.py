@@ -126,6 +126,18 @@ def links(prints: DataFrame, most: int = 4, segments: int = 5, dense: int = DENS
     return pairs.union(through)
 
 
+def _components(docs: DataFrame, most: int, carry: Sequence[str], dense: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with row and fingerprint, and for each fingerprint ``fp`` the ``head`` of its component."""
+    rows = with_row_id(fingerprints(docs, carry), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
+    nodes = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first")), "simhash-nodes")
+    reached = components(links(nodes.select("fp"), most, dense=dense))
+    joined = nodes.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    rooted = cut(joined.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    return rows, cut(rooted.join(heads, "root").select("fp", "head"), "simhash-heads")
+
+
 def near_duplicates(docs: DataFrame, most: int = 4, carry: Sequence[str] = ("doc_id",), dense: int = DENSE) -> DataFrame:
     """One row per document: the ``carry`` columns in ``doc``, fingerprint (signed), component_id, kept.
 
@@ -134,14 +146,7 @@ def near_duplicates(docs: DataFrame, most: int = 4, carry: Sequence[str] = ("doc
     one row of each component: that with the smallest doc_id (null last), and of rows that
     share it the first. Texts without words have fingerprint 0 and are linked like any other.
     """
-    rows = with_row_id(fingerprints(docs, carry), "simhash-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
-    nodes = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first")), "simhash-nodes")
-    reached = components(links(nodes.select("fp"), most, dense=dense))
-    joined = nodes.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = cut(joined.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    known = cut(rooted.join(heads, "root").select("fp", "head"), "simhash-heads")
+    rows, known = _components(docs, most, carry, dense)
     found = rows.join(known, rows["fingerprint"] == known["fp"])
     return found.select(
         "doc", "fingerprint", F.col("head.doc_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept")
@@ -152,6 +157,13 @@ def hex_digits(fp: str = "fingerprint"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns."""
-    return near_duplicates(docs, carry=docs.columns).filter("kept").select("doc.*")
+def drop_near_copies(docs: DataFrame, most: int = 4) -> DataFrame:
+    """One document of each group, with all its columns.
+
+    The rows to drop are found on row ids alone and taken out of the documents by them, so the
+    texts move only if those ids are too many to send to every task.
+    """
+    rows, known = _components(docs, most, docs.columns, DENSE)
+    matched = rows.select("row", "fingerprint").join(known, F.col("fingerprint") == F.col("fp"))
+    dropped = cut(matched.filter(F.col("head.row") != F.col("row")).select("row"), "simhash-dropped")
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
