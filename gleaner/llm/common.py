@@ -42,6 +42,17 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def drawn(df: DataFrame, sample: int, *by: str) -> DataFrame:
+    """At most ``sample`` rows, drawn by a hash of the columns ``by``.
+
+    A count says which share of the hashes is wanted, so that the rows which are then put in
+    order are few more than the sample, however many tasks there are.
+    """
+    share = min(1.0, 1.2 * sample / max(df.count(), 1))
+    place = F.shiftrightunsigned(F.xxhash64(*by), 11) / float(1 << 53)
+    return df.filter(place < share).orderBy(F.xxhash64(*by), *by).limit(sample)
+
+
 def with_row_id(df: DataFrame, label: str) -> DataFrame:
     """Add a ``row`` that is unique and, being written, the same wherever it is read."""
     return cut(df.withColumn("row", F.monotonically_increasing_id()), label)

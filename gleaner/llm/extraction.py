@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.common import packed, pieces
+from gleaner.llm.common import drawn, packed, pieces
 
 #: Labelled pages the model is trained on, at most, and layouts that each is also shown in.
 SAMPLE, LAYOUTS = 160, 3
@@ -383,9 +383,9 @@ def training_trees(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 7)
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` pages of up to ``LONGEST`` letters that mark their article, drawn by a hash of the id."""
+    """A model from at most ``sample`` pages of up to ``LONGEST`` letters that mark their article, drawn by a hash."""
     marked = pages.filter((F.length("html") <= LONGEST) & F.col("html").rlike(_ARTICLE.pattern)).select("page_id", "html")
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
+    rows = drawn(marked, sample, "page_id", "html").collect()
     return fit(training_trees([r.html for r in rows]))
 
 
