@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.common import learnable, packed, pieces
+from gleaner.llm.common import drawn, learnable, packed, pieces
 from gleaner.session import cut
 
 #: Labelled rows the classifier is fitted on, at most.
@@ -161,9 +161,9 @@ def train(
     """
     spark = docs.sparkSession
     known = labels.filter(learnable() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    drawn = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample), "toxic-sample")
+    chosen = cut(drawn(known, sample, "doc_id", "toxic"), "toxic-sample")
     texts = cut(
-        docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")),
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")),
         "toxic-texts",
     )
 
