@@ -63,8 +63,11 @@ _ABOVE = _TEXT + 1  # a text run also sees the features of the element it is in
 _NUMBERS = _ABOVE + _TEXT
 WIDTH = _NUMBERS + 9
 
+#: A quote opens a value only after "=". One that nothing closes is read as a letter of a bare value; no quote of its kind
+#: follows it, so a page is searched in vain once for each kind, and the time stays linear at any length of a value.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+'|["'])*+)(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"""
+    r"""((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)""",
     re.S,
 )
 _NAMED = re.compile(r"""(?i)\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -99,17 +102,20 @@ _seen: dict[tuple[str, str], tuple[int, ...]] = {}
 def _static(tag: str, attributes: str) -> tuple[int, ...]:
     """Features of an element from its tag and the words of its class, id and role."""
     key = (tag, attributes)
-    if key not in _seen:
+    if key in _seen:
+        return _seen[key]
+    found = {_TAG_OF.get(tag, _OTHER)}
+    for value in _NAMED.findall(attributes):
+        words = _LETTERS.findall(_CAMEL.sub(" ", value).lower())
+        found.update(_WORD_OF[w] for w in words if w in _WORD_OF)
+    if _INVISIBLE.search(attributes):
+        found.add(_HIDDEN)
+    static = tuple(sorted(found))
+    if len(attributes) <= 1000:
         if len(_seen) > 100_000:
             _seen.clear()
-        found = {_TAG_OF.get(tag, _OTHER)}
-        for value in _NAMED.findall(attributes):
-            words = _LETTERS.findall(_CAMEL.sub(" ", value).lower())
-            found.update(_WORD_OF[w] for w in words if w in _WORD_OF)
-        if _INVISIBLE.search(attributes):
-            found.add(_HIDDEN)
-        _seen[key] = tuple(sorted(found))
-    return _seen[key]
+        _seen[key] = static
+    return static
 
 
 def parse(page: str) -> Tree:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -243,6 +244,30 @@ def test_markup():
     assert list(extraction.parse("<div>" * 5000 + "deep").texts.values()) == ["deep"]
 
 
+@pytest.mark.parametrize("size", [5_000, 1_000_000])
+def test_long_attributes_before_the_article(model, size):
+    for value in ("A" * size, "<p>a > b</p> it's " * (size // 18)):
+        page = f'<article><img src="{value}" alt="x"><p class="a">Hello world</p><p class="b">Second</p></article>'
+        assert list(extraction.parse(page).texts.values()) == ["Hello world", "Second"]
+    turned = "<article><div data-json='" + '{"a": ">"}' * (size // 10) + "'><h1>Head</h1><p>Text</p></div></article>"
+    assert list(extraction.parse(turned).texts.values()) == ["Head", "Text"]
+    long = "It stands in the article, and it is long enough to be told from a menu by its size and its end."
+    page = f'<body><article><img src="{"A" * size}" alt="x"><h1>A head</h1><p class="a">{long}</p><p class="b">{long}</p></article></body>'
+    assert extraction.extract([page], model) == [f"A head\n\n{long}\n\n{long}"]
+
+
+def test_quotes_that_open_no_value():
+    texts = lambda page: list(extraction.parse(page).texts.values())
+    assert texts("<p it's>one<p title=it's>two<p \"x\">three") == ["one", "two", "three"]
+    assert texts('<p class="a>one<p>two') == ["one", "two"]
+    assert texts("<p title = 'a > b' class=x/y>one<br/>two<p =>three") == ["one two", "three"]
+    size = 300_000
+    for page in ('<p a="' * size, "<p a='\"" * size, "<p '" * size, "<p " + 'a="b" ' * size, "<p" + " =" * size, "<p a" + " " * size + "b"):
+        start = time.process_time()
+        extraction.parse(page + "'>\">")
+        assert time.process_time() - start < 20
+
+
 def test_odd_pages(spark, model):
     schema = "page_id long, url string, html string, page string, text string"
     rows = [(1, "u", None, "p", "t"), (1, "u", "", "p", "t"), (None, None, "<script>x", "p", "t"), (2, "v", "plain words", "p", "t"),
