@@ -23,6 +23,7 @@ LONGEST = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template svg math iframe object noscript button select textarea option canvas audio video".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
     "html body article main section div nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 "
     "blockquote pre figure figcaption table thead tbody tfoot tr td th caption address details summary center hr".split()
@@ -147,8 +148,14 @@ def parse(page: str) -> Tree:
             unseen -= tag in UNSEEN
             links -= tag == "a"
 
+    def end_head() -> None:
+        if stack[-1][0] == "head":
+            leave(len(stack) - 1)
+
     def say(text: str) -> None:
         nonlocal in_links
+        if unseen and text.strip():
+            end_head()
         if text and not unseen:
             run.append(text)
             in_links += len(text) if links else 0
@@ -166,6 +173,8 @@ def parse(page: str) -> Tree:
                     leave(i)
                     break
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag == "br":
             say(" ")
         if tag in VOID:

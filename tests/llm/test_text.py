@@ -244,6 +244,15 @@ def test_markup():
     assert list(extraction.parse("<div>" * 5000 + "deep").texts.values()) == ["deep"]
 
 
+def test_head_that_nothing_closes():
+    texts = lambda page: list(extraction.parse(page).texts.values())
+    kept = "<meta charset=x><link href=y><style>no</style><script>no</script><noscript><p>no</p></noscript><template>no</template>"
+    assert texts("<html><head><title>T</title><p>Hello") == ["Hello"]
+    assert texts(f"<html><head>\n<title>T</title>{kept}\n<!-- no -->Hello<p>there") == ["Hello", "there"]
+    assert texts(f"<head>{kept}<br>Hello") == texts(f"<head>{kept}<img src=x>Hello") == texts(f"<head>{kept}</head>Hello") == ["Hello"]
+    assert texts(f"<head>{kept}</head><body><svg><title>no</title>no</svg><p>Hello") == ["Hello"]
+
+
 @pytest.mark.parametrize("size", [5_000, 1_000_000])
 def test_long_attributes_before_the_article(model, size):
     for value in ("A" * size, "<p>a > b</p> it's " * (size // 18)):
