@@ -323,7 +323,7 @@ def extract(pages: Sequence[str | None], model: Model) -> list[str]:
     ]
 
 
-# Labelled pages: those that mark their article, and the same blocks in other layouts.
+# Labelled pages: those that mark their article, and the same blocks in other layouts; if none does, layouts alone.
 
 _ARTICLE = re.compile(r"(?i)<article(?=[\s>])")
 
@@ -352,6 +352,14 @@ AROUND = {
             "<footer><p>{1}</p><p>{2}</p></footer>"],
 }
 
+#: Blocks of an article and other texts, for a table whose drawn pages have no text.
+STAND_INS = (
+    ["A walk along the river", "The path begins behind the old mill and follows the water for an hour, mostly in the shade of tall trees.",
+     "Where the valley widens there is a bench, and from there you see both churches, the bridge and the hills beyond.",
+     "Go back the same way, or take the bus that stops at the bridge every hour until the evening."],
+    ["Home", "Sign in", "All rights reserved.", "We use cookies to make this site work.", "Read more about the places nearby."],
+)
+
 
 def labelled(page: str) -> str:
     """A page with its article marked."""
@@ -390,18 +398,59 @@ def training_trees(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 7)
         if blocks:
             trees.append(tree)
             parts.append((blocks, [t for i, t in tree.texts.items() if not tree.label[i]]))
-    rng = random.Random(seed)
+    return trees + _laid_out(parts, layouts, seed)
+
+
+def _laid_out(parts: list[tuple[list[str], list[str]]], layouts: int, seed: int) -> list[Tree]:
+    """Trees of the blocks of articles, each in several layouts with its other texts and blocks of more articles around."""
+    trees, rng = [], random.Random(seed)
     for blocks, others in parts:
         foreign = [b for more in rng.sample(parts, min(3, len(parts))) for b in more[0][1:4]] + others
         trees += [parse(layout(blocks, foreign or blocks, rng)) for _ in range(layouts)]
     return trees
 
 
+def _densest(tree: Tree) -> tuple[list[str], list[str]]:
+    """The unlinked runs in the smallest element with more than one run that holds over half of a page's unlinked text, and all other runs."""
+    plain = {i for i in tree.texts if 2 * tree.linked[i] <= len(tree.texts[i])} or set(tree.texts)
+    size, runs = [0] * len(tree.parent), [0] * len(tree.parent)
+    for i in range(len(tree.parent) - 1, -1, -1):
+        if i in plain:
+            size[i], runs[i] = len(tree.texts[i]), 1
+        if i:
+            size[tree.parent[i]] += size[i]
+            runs[tree.parent[i]] += runs[i]
+    top = max((i for i in range(len(size)) if 2 * size[i] > size[0] and runs[i] > 1), default=0, key=lambda i: tree.depth[i])
+    inside = [False] * len(size)
+    for i, parent in enumerate(tree.parent):
+        inside[i] = i == top or parent >= 0 and inside[parent]
+    return [t for i, t in tree.texts.items() if inside[i] and i in plain], [t for i, t in tree.texts.items() if not (inside[i] and i in plain)]
+
+
+def unmarked_trees(pages: Sequence[str], layouts: int = LAYOUTS + 1, seed: int = 7) -> list[Tree]:
+    """Labelled trees from pages that mark no article: the texts of the element that holds most, in generated layouts.
+
+    The pages themselves are not among them, since nobody knows their labels. Without any text, ``STAND_INS`` are laid out.
+    """
+    parts = []
+    for page in pages:
+        blocks, others = _densest(parse(page))
+        if blocks:
+            parts.append((blocks if len(blocks) > 1 else [" ".join(blocks[0].split()[:8]), *blocks], others))
+    return _laid_out(parts or [STAND_INS], layouts, seed)
+
+
 def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` pages of up to ``LONGEST`` letters that mark their article, drawn by a hash."""
+    """A model from at most ``sample`` pages of up to ``LONGEST`` letters that mark their article, drawn by a hash.
+
+    If there are none, the text runs of any pages, of long ones those at the beginning, are learned from in generated layouts.
+    """
     marked = pages.filter((F.length("html") <= LONGEST) & F.col("html").rlike(_ARTICLE.pattern)).select("page_id", "html")
-    rows = drawn(marked, sample, "page_id", "html").collect()
-    return fit(training_trees([r.html for r in rows]))
+    trees = training_trees([r.html for r in drawn(marked, sample, "page_id", "html").collect()])
+    if not trees:
+        begun = pages.filter(F.length("html") > 0).select("page_id", F.substring("html", 1, LONGEST).alias("html"))
+        trees = unmarked_trees([r.html for r in drawn(begun, sample, "page_id", "html").collect()])
+    return fit(trees)
 
 
 def main_text(pages: DataFrame, model: Model, carry: Sequence[str] = ("page_id", "url")) -> DataFrame:

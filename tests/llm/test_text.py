@@ -233,6 +233,27 @@ def test_articles_of_the_table(spark, model):
     assert right >= 0.98 * len(rows)
 
 
+@pytest.mark.parametrize("tags", [("<main>", "</main>"), ('<div role="main">', "</div>"), ("<section>", "</section>")])
+def test_tables_that_mark_no_article(spark, model, tags):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    bare = [r.html.replace("<article>", tags[0]).replace("</article>", tags[1]) for r in rows]
+    table = spark.createDataFrame([(r.page_id, r.url, b) for r, b in zip(rows, bare, strict=True)], "page_id long, url string, html string")
+    got = extraction.extract(bare, extraction.train(table, 80))
+    want = extraction.extract([r.html for r in rows], model)
+    assert np.mean([g == w for g, w in zip(got, want, strict=True)]) > 0.9
+
+
+def test_long_or_textless_tables_train_a_model(spark):
+    text = "A long paragraph of an article that goes on for quite a while, and then ends. "
+    body = f"<nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{text}</p><p>{text * 3000}</p></article>"
+    schema = "page_id long, url string, html string"
+    long = extraction.train(spark.createDataFrame([(i, "u", body) for i in range(3)], schema))
+    none = extraction.train(spark.createDataFrame([(1, "u", "<p></p>"), (2, "v", None)], schema))
+    for model in (long, none):
+        assert extraction.extract([body], model)[0].endswith((text * 3000).strip())
+
+
 def test_markup():
     tree = extraction.parse(
         "<!DOCTYPE html><head><title>no</title></head><body>one &amp; <b>two</b>&nbsp;  x<p>par<br>t<p>next<script>var a='</p>';</script>"
