@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.common import drawn, learnable, packed, pieces
+from gleaner.llm.common import drawn, learnable, packed, pieces, with_row_id
 from gleaner.session import cut
 
 #: Labelled rows the classifier is fitted on, at most.
@@ -154,18 +154,20 @@ def train(
 ) -> Model:
     """A model from the texts of at most ``sample`` labelled documents, drawn by a hash of the id.
 
-    Ids that are held out and rows without a label are left out. Spark counts in how many
+    Ids that are held out and rows without a label are left out. Repeated rows of either table
+    count once; if ids stand for several texts, at most ``sample`` rows are drawn of those too. Spark counts in how many
     sample rows and toxic ones each feature occurs; the features that tell most, and all
     identity terms, are kept. The driver gets the columns of the sample's rows, which the
     parameters bound, and fits the weights with the penalty on swapped identity terms.
     """
     spark = docs.sparkSession
-    known = labels.filter(learnable() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = labels.filter(learnable() & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
     chosen = cut(drawn(known, sample, "doc_id", "toxic"), "toxic-sample")
-    texts = cut(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")),
-        "toxic-texts",
-    )
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    joined = with_row_id(named.withColumn("hash", F.xxhash64("text")), "toxic-texts")
+    single = joined.groupBy("doc_id", "toxic", "hash").agg(F.min("row").alias("row"))
+    kept = cut(drawn(single, sample, "doc_id", "toxic", "hash").select("row"), "toxic-rows")
+    texts = joined.join(F.broadcast(kept), "row").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 22):

@@ -135,6 +135,21 @@ def test_held_out_labels_are_not_learned(spark):
     assert a.index == b.index and np.allclose(a.weights, b.weights)
 
 
+def test_repeated_rows_stay_within_the_sample(spark, monkeypatch):
+    rows, labels = labelled(300, 5)
+    rows, labels = [r for r in rows if r[0] != 10], [r for r in labels if r[0] != 10]
+    hot, hot_label = (10, "word1 idiot word2", "en", "s"), (10, 1, 1)
+    once = model_of(spark, [*rows, hot], [*labels, hot_label])
+    often = model_of(spark, [*rows, *[hot] * 3000], [*labels, *[hot_label] * 50])
+    assert once.index == often.index and np.allclose(once.weights, often.weights) and np.isclose(once.bias, often.bias)
+    fit, sizes = toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *more: sizes.append(len(rows)) or fit(rows, *more))
+    many = [(10, f"word{i} idiot", "en", "s") for i in range(3000)]
+    model_of(spark, [*rows, *many], [*labels, hot_label], sample=1000)
+    model_of(spark, [*rows, hot], [*labels, *[hot_label] * 3000], sample=1000)
+    assert sizes[0] == 1000 and 150 < sizes[1] < 301
+
+
 # -- decontamination
 
 
