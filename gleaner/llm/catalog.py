@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import archives, decontaminate, exact_dedup, extraction, language, mixing, simhash, tokens, toxicity, url_rules
+from gleaner.llm import (
+    alignment, archives, decontaminate, exact_dedup, extraction, language, mixing, periodic, quality, simhash, tokens, toxicity, url_rules,
+)
 from gleaner.llm.common import held_out, table
 from gleaner.session import work_path
 
@@ -160,3 +162,35 @@ select page_id, host, path, rule, coalesce(f.verdict, case
   else 'allow' end) as verdict
 from m left join f using (page_id)
 """
+
+
+@query
+def op11_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality.train(docs, table(spark, sf_dir, "labels"), F.coalesce(fifth != 0, F.lit(False)))
+    found = quality.score(docs, model).select("doc.doc_id", "score")
+    accepted = (F.col("score") >= quality.ACCEPT).cast("int")
+    return found.select("doc_id", F.coalesce(fifth == 0, F.lit(False)).alias("held_out"), "score", accepted.alias("predicted"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.when(hashed % 10 == 0, periodic.folded(F.col("text"), F.floor(hashed / 10))).otherwise(F.col("text"))
+    found = periodic.periodic_runs(docs.select("doc_id", text.alias("text")))
+    best = F.col("strongest")
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc.doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf_dir, "documents"), *files)
+    return found.select("doc.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
