@@ -31,17 +31,21 @@ OVERLAP_TAXONOMY = Taxonomy.of({
     "single": ["in", "que"],
 })
 
-def large_taxonomy() -> Taxonomy:
+def large_phrases() -> dict[str, list[str]]:
     """Hundreds of phrases out of the syllables the tables' texts are made of."""
     syllables = "an ar at en er es ha he in is it nd nt on or ou re st th ti".split()
     words = [a + b for a in syllables for b in syllables]
-    return Taxonomy.of({
+    return {
         "words": words[::2],
         "pairs": [f"{w} {v}" for w, v in zip(["the", "of", "in", "and", "to"] * 12, [*words[:30], "the", "of", "in", "and", "to"] * 2, strict=False)],
         "dotted": [f"{w}. {v}" for w, v in zip(words[:40], ["the", "of", "and", "in"] * 10, strict=True)],
         "marked": ["the%%%", "of***", "of,", "the |", "and!!", "is ***", "to###"],
         "chains": ["of the", "in the", "the of", "and the", "the and", "and of the", "is of"],
-    }, edge="token")
+    }
+
+
+def large_taxonomy() -> Taxonomy:
+    return Taxonomy.of(large_phrases(), edge="token")
 
 
 #: Keys that are looked up in the store; not all are there.

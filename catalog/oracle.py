@@ -128,6 +128,39 @@ span{k} as (
     return "with " + ",".join(ctes) + f" select id as {key}, skill, category, category_ord from ({found})"
 
 
+# Phrases as a table (skill, category, ord): every place where one stands between token edges; places that overlap
+# form an island, in which the longest phrase and then the first listed takes its span, and a place that starts
+# inside a taken span is out.
+def mentions_of(base: str, key: str, body: str, phrases: str, most_tokens: int = 9) -> str:
+    word = r"[\p{L}\p{N}_]"
+    return f"""
+with ph as (
+  select skill, arg_min(category, ord) as category, length(skill) as n, row_number() over (order by length(skill) desc, min(ord)) as prio
+  from ({phrases}) group by skill),
+tok as (
+  select id, t, i, string_agg(t, '') over (partition by id order by i rows between current row and {most_tokens} following) as tail,
+         sum(length(t)) over (partition by id order by i) - length(t) as s, lag(t) over (partition by id order by i) as before
+  from (select id, unnest(ts) as t, generate_subscripts(ts, 1) as i
+        from (select {key} as id, regexp_extract_all(lower({body}), '{word}+|[^\\p{{L}}\\p{{N}}_]') as ts from ({base})))),
+hit as (
+  select id, s, s + n as e, prio, skill, category from tok join ph on left(tail, 2) = left(skill, 2) and starts_with(tail, skill)
+  where (before is null or not regexp_matches(right(before, 1), '{word}')) and not regexp_matches(substr(tail, n + 1, 1), '{word}')),
+isl as (
+  select *, sum(case when s < reach then 0 else 1 end) over (partition by id order by s, e rows unbounded preceding) as island
+  from (select *, max(e) over (partition by id order by s, e rows between unbounded preceding and 1 preceding) as reach from hit)),
+folded as (
+  select id, list_reduce(list_transform(list({{'p': prio, 's': s, 'e': e, 'skill': skill, 'category': category}} order by prio, s), lambda x: [x]),
+    lambda acc, x: case when len(list_filter(acc, lambda y: x[1].s >= y.s and x[1].s < y.e)) > 0 then acc else list_concat(acc, x) end) as taken
+  from isl group by id, island)
+select distinct id as {key}, m.skill as skill, m.category as category from (select id, unnest(taken) as m from folded)
+"""
+
+
+def listed(categories: dict[str, list[str]]) -> str:
+    rows = [(p, c) for c, phrases in categories.items() for p in phrases]
+    return "select * from (values " + ", ".join(f"('{p}', '{c}', {i})" for i, (p, c) in enumerate(rows)) + ") as v(skill, category, ord)"
+
+
 DOC_MENTIONS = mentions("select doc_id, text from documents", "doc_id", "text", FIXTURE_PHRASES)
 ACTIVE_DOCS = f"select * from ({DOC_POSTINGS}) where is_active = 1"
 POST_MENTIONS = mentions(DOC_POSTINGS, "doc_id", "title || ' ' || company || ' ' || raw_html", FIXTURE_PHRASES)
@@ -469,6 +502,7 @@ from ({RUNS}) order by started_at desc, run_id desc limit 10""",
 select status, count(*) filter (where started_at >= timestamp '2024-01-22') as kept,
        count(*) filter (where started_at < timestamp '2024-01-22') as removed from ({RUNS}) group by status""",
     "q_skill_mentions": f"select doc_id, skill, category from ({DOC_MENTIONS})",
+    "q_skill_mentions_large": mentions_of("select doc_id, text from documents", "doc_id", "text", listed(inputs.large_phrases())),
     "q_skill_mentions_overlap": f"""
 select doc_id, skill, category from ({mentions('select doc_id, text from documents', 'doc_id', 'text', OVERLAP_PHRASES)})""",
     "q_skill_freq": f"select skill, n from ({FREQ})",

@@ -45,7 +45,8 @@ def compare(spark, con, name, run, sql, sf_dir):
     ours = normal(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     if sql is None:
-        return True, f"{len(ours[1])} rows, no check SQL", t1 - t0, 0.0
+        # only operators of the optional subpackage may be beyond SQL; their own tests hold them to other measures
+        return not name.startswith("q_"), f"{len(ours[1])} rows, no check SQL", t1 - t0, 0.0
     cur = con.execute(sql)
     theirs = normal([d[0] for d in cur.description], cur.fetchall())
     t2 = time.time()
