@@ -12,7 +12,7 @@ from gleaner.functions.phrases import Taxonomy
 from gleaner.operators.dedup import first_page_only
 from gleaner.operators.pagination import fetched_pages
 from gleaner.plans.analysis import Analysis, analyze
-from gleaner.plans.ingest import Tables, run_ingest
+from gleaner.plans.ingest import Tables, run_tagged
 from gleaner.session import cut
 from gleaner.sources.pages import LAYOUTS, ListingRules, page_listings
 from gleaner.sources.postings import read_store
@@ -40,11 +40,14 @@ def run_board(
     spark: SparkSession, pages: DataFrame, targets: Sequence[str], layout: Column, as_of: Column, tables: Tables,
     clock: Callable[[], datetime], first_run_id: int = 1, layouts: Mapping[str, ListingRules] = LAYOUTS,
 ) -> DataFrame:
-    """Parse, check and store the pages of all targets; the state of their runs."""
+    """Parse, check and store the pages of all targets; the state of their runs.
+
+    If ``pages`` has a column ``failure``, a target with a message in it fails as a whole.
+    """
     rows, yields = board_rows(pages, layout, as_of, layouts)
-    sources = {t: (lambda t=t: rows.filter(F.col("target") == t)) for t in targets}
     fetched = yields.withColumnRenamed("target", "source_site")
-    return run_ingest(spark, sources, tables, clock, first_run_id, ["page_id", "pos"], yields=fetched)
+    failures = pages.select(F.col("target").alias("source_site"), "failure") if "failure" in pages.columns else None
+    return run_tagged(spark, rows, targets, tables, clock, first_run_id, ["page_id", "pos"], yields=fetched, failures=failures)
 
 
 def weekly_analysis(spark: SparkSession, tables: Tables, taxonomy: Taxonomy, as_of: Column, week_key: str) -> Analysis:

@@ -18,7 +18,8 @@ POSTING = _struct(
     source_site=_S, raw_html=_S, scraped_at=T.TimestampType(), is_active=T.BooleanType(), week_key=_S,
 )
 
-KEY = _struct(url_key=_S, bucket=T.IntegerType(), batch_id=_S)
+#: A key of the store and its hash, by which the key table is ordered.
+KEY = _struct(h=T.LongType(), url_key=_S)
 
 DEDUP_AUDIT = _struct(job_url=_S, reason=_S, checked_at=T.TimestampType())
 

@@ -77,6 +77,38 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, wherever the path's file system is."""
+    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place and rename it, so that it is there as a whole or not at all."""
+    jvm = spark._jvm
+    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    system.delete(where, False)
+    if not system.rename(beside, where):
+        raise OSError(f"cannot write {path}")
+
+
 class Scratch:
     """Tables of one run in the shared folder, dropped when the run ends."""
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gleaner.functions.dates import week_label
-from gleaner.plans.ingest import Tables, finish_batch, ingest_batch
+from gleaner.plans.ingest import Tables, ingest_batch
 from gleaner.session import Scratch
 from gleaner.sources.postings import read_table
 
@@ -35,14 +35,13 @@ def ingest_stream(
     """Parse and ingest every micro-batch with the code of the batch path, then stop when all is read.
 
     Deduplication is against the stored table, so there is no state that grows. What a
-    micro-batch has settled is staged under its number until the next one begins, so one that
-    is run again after a failure ends as if it had run once.
+    micro-batch has settled is staged under its number until all of it is written, and the last
+    one that was is known by its number, so one that is run again ends as if it had run once.
     """
     stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, number: int) -> None:
         ingest_batch(parse(batch), tables, clock(), order_by, f"{stream}-{number}")
-        finish_batch(batch.sparkSession, f"{stream}-{number - 1}")
 
     return (
         landed.writeStream.foreachBatch(step)

@@ -12,7 +12,7 @@ from gleaner.functions.phrases import Taxonomy
 from gleaner.operators import mining, runs
 from gleaner.plans import analysis, ingest, report
 from gleaner.session import drop_path, path_exists, shared_root, work_path
-from gleaner.sources import postings
+from gleaner.sources import merging, postings
 from gleaner.streaming import incremental
 
 TS = datetime.datetime(2026, 6, 28, 12, 0)
@@ -45,7 +45,7 @@ def test_second_ingest_adds_nothing(spark):
     assert sorted(r.url_key for r in store.collect()) == [f"http://a.com/{i}" for i in range(1, 5)]
     row = store.filter("url_key = 'http://a.com/2'").first()
     assert (row.job_url, row.company, row.week_key, row.is_active) == ("http://a.com/2?utm_source=x", "Acme", "2026-W25", True)
-    audit = spark.read.schema(schema.DEDUP_AUDIT).parquet(t.audit)
+    audit = ingest.audit_table(t).read(spark)
     assert {(r.reason, r["count"]) for r in audit.groupBy("reason").count().collect()} == {("duplicate_batch", 2), ("duplicate_store", 4)}
     assert postings.url_stored(store, "http://a.com/4").first().stored
     assert not postings.url_stored(store, "http://a.com/5").first().stored
@@ -99,28 +99,28 @@ def test_a_batch_that_failed_between_writes_ends_as_one_clean_run(spark, monkeyp
         ingest.ingest_batch(rows(spark, "http://a.com/2", "http://a.com/9"), t, TS, ["pos"])
     ingest.ingest_batch(batch, clean, TS, ["pos"], "b-1")
     ingest.finish_batch(spark, "b-1")
-    replace = ingest._replace
+    append = merging.MergingTable.append
     for stop_at in (1, 2):
         calls = []
 
-        def stop(rows, path, *by):
-            calls.append(path)
+        def stop(self, *args):
+            calls.append(self.path)
             if len(calls) == stop_at:
                 raise OSError("executor lost")
-            replace(rows, path, *by)
+            append(self, *args)
 
-        monkeypatch.setattr(ingest, "_replace", stop)
+        monkeypatch.setattr(merging.MergingTable, "append", stop)
         with pytest.raises(OSError):
             ingest.ingest_batch(batch, broken, TS, ["pos"], "b-2")
-    monkeypatch.setattr(ingest, "_replace", replace)
-    result = ingest.ingest_batch(batch, broken, TS, ["pos"], "b-2")
-    ingest.finish_batch(spark, "b-2")
-    assert (result.inserted, result.skipped, result.blank) == (1, 2, 1)
+    monkeypatch.setattr(merging.MergingTable, "append", append)
+    for _ in range(2):  # run again after all was written, it answers the same and writes nothing
+        result = ingest.ingest_batch(batch, broken, TS, ["pos"], "b-2")
+        assert (result.inserted, result.skipped, result.blank) == (1, 2, 1)
 
     def state(t):
         stored = sorted(r.url_key for r in postings.read_store(spark, t.postings).collect())
-        audit = sorted((r.job_url, r.reason) for r in spark.read.schema(schema.DEDUP_AUDIT).parquet(t.audit).collect())
-        keys = sorted(r.url_key for r in spark.read.parquet(t.keys).collect())
+        audit = sorted((r.job_url, r.reason) for r in ingest.audit_table(t).read(spark).collect())
+        keys = sorted(r.url_key for r in ingest.key_table(t).read(spark).collect())
         return stored, audit, keys
 
     assert state(clean) == state(broken)
@@ -128,6 +128,33 @@ def test_a_batch_that_failed_between_writes_ends_as_one_clean_run(spark, monkeyp
     assert not [f for f in os.listdir(staged) if f.startswith("b-")]
 
 
+def test_scans_do_not_depend_on_the_number_of_targets(spark):
+    listed = spark.createDataFrame([(i, f"t{i % 30}", f"http://a.com/{i}") for i in range(60)], "pos long, target string, job_url string")
+    path = work_path(spark, "listed")
+    listed.write.parquet(path)
+
+    def scans(n):
+        frame = ingest.tagged(spark.read.parquet(path).withColumn("errors", F.array().cast("array<string>")), [f"t{i}" for i in range(n)])
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Scan parquet"), plan.count("Union"), frame.select("_target").distinct().count()
+
+    assert scans(3) == (1, 0, 3) and scans(30) == (1, 0, 30)
+
+
+def test_tagged_targets_fail_alone(spark):
+    t = tables(spark)
+    batch = rows(spark, *[f"http://a.com/{i}" for i in range(6)], "http://a.com/0").withColumn("target", F.concat(F.lit("t"), F.col("pos") % 3))
+    failures = spark.createDataFrame([("t1", "no answer"), ("t1", "timed out"), ("t2", None), ("other", "x")], "source_site string, failure string")
+    yields = spark.createDataFrame([("t0", p, 1) for p in (1, 2, 3)], "source_site string, page_no long, n_jobs long")
+    out = ingest.run_tagged(spark, batch, ["t2", "t1", "t0", "none"], t, lambda: TS, 7, ["pos"], yields=yields, failures=failures)
+    got = {r.source_site: (r.run_id, r.status, r.error_message, r.pages_scraped, r.jobs_found, r.jobs_inserted, r.jobs_deduplicated) for r in out.collect()}
+    assert got == {
+        "t2": (7, "completed", None, 0, 2, 2, 0), "t1": (8, "failed", "no answer", 0, 0, 0, 0),
+        "t0": (9, "completed", None, 3, 3, 2, 1), "none": (10, "completed", None, 0, 0, 0, 0),
+    }
+    assert sorted(r.url_key[-1] for r in postings.read_store(spark, t.postings).collect()) == ["0", "2", "3", "5"]
+
+
 def test_an_ingest_leaves_no_work_tables(spark):
     root = shared_root(spark).removeprefix("file:")
 
