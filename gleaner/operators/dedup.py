@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions.text import percent, strip
@@ -26,8 +28,13 @@ def with_url_key(rows: DataFrame, url: str = "job_url") -> DataFrame:
     trimmed = rows.select(*others, strip(F.col(url)).alias("_url"))
     opened = trimmed.select("*", F.substring_index("_url", "#", 1).alias("_open"))
     headed = opened.select("*", F.substring_index("_open", "?", 1).alias("_head"))
-    key = key_of_trimmed(F.col("_url"), opened=F.col("_open"), head=F.col("_head"))
-    return headed.select(*others, F.explode(F.array(key)).alias("url_key"))
+    return headed.select(*others, F.explode(F.array(_key(SparkContext._gateway))).alias("url_key"))
+
+
+@lru_cache(maxsize=1)
+def _key(_gateway) -> Column:
+    """The key of the columns above. Putting it together takes longer than a small batch, so it is kept while the JVM lives."""
+    return key_of_trimmed(F.col("_url"), opened=F.col("_open"), head=F.col("_head"))
 
 
 def existing_keys(batch: DataFrame, store: DataFrame) -> DataFrame:
