@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 BLOCK_WORDS = 1_000_000
 #: Bytes of training text that one suffix array covers.
 SHARD_BYTES = 8 << 20
-#: Places in texts times places in items that are looked at together.
+#: Places of windows in items that are looked at together.
 PAIRS = 1 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
@@ -150,10 +151,11 @@ def _scan(texts: list[str | None], block: Block, before: list[list[dict]]) -> tu
         at = array.positions[_ragged(low, counts)]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + block.lengths[window], -1)
-        for doc, item, size, here, there in _longest(block, window, at, offsets):
-            items[doc].append(block.items[item])
-            if longest[doc] is None or size > longest[doc]["words"]:
-                longest[doc] = {"item_id": block.items[item], "words": size, "doc_word": here, "item_word": there}
+        doc = np.searchsorted(offsets, at, "right") - 1
+        for d, found in _items(block, window, doc):
+            items[d] += [block.items[i] for i in found]
+        for d, item, size, here, there in _longest(block, window, at, doc):
+            longest[d] = {"item_id": block.items[item], "words": size, "doc_word": here - int(offsets[d]), "item_word": there}
     for doc, old in enumerate(before):
         for s in old or ():
             edge[offsets[doc] + s["start"]] += 1
@@ -166,61 +168,148 @@ def _scan(texts: list[str | None], block: Block, before: list[list[dict]]) -> tu
     return sizes, spans, items, longest
 
 
-def _longest(block: Block, window: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """Per text and item the longest verbatim match: text, item, words, its place in the text and in the item.
-
-    Windows that follow each other in the item and in the text are one longer match. Texts are
-    taken together up to ``PAIRS`` pairs of a place in a text and a place in an item, since many
-    items may share a window.
-    """
-    order = np.argsort(at, kind="stable")
-    window, at = window[order], at[order]
+def _items(block: Block, window: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """The distinct items of each text's distinct windows, ``PAIRS`` places of windows at a time."""
+    both = np.unique(doc * len(block.windows) + window)
+    doc, window = both // len(block.windows), both % len(block.windows)
     counts = block.starts[window + 1] - block.starts[window]
-    doc = np.searchsorted(offsets, at, "right") - 1
-    borders = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
-    pairs = np.concatenate(([0], np.cumsum(counts)))[borders]
-    start = 0
-    while start < len(borders) - 1:
-        stop = max(start + 1, int(np.searchsorted(pairs, pairs[start] + PAIRS, "right")) - 1)
-        part = slice(borders[start], borders[stop])
-        yield from _longest_of(block, window[part], at[part], counts[part], offsets)
+    ends, start, last, held = np.cumsum(counts), 0, -1, np.zeros(0, np.int64)
+    while start < len(both):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        places = _ragged(block.starts[window[start:stop]], counts[start:stop])
+        pair = np.unique(np.repeat(doc[start:stop], counts[start:stop]) * len(block.items) + block.places[places, 1])
+        docs, borders = np.unique(pair // len(block.items), return_index=True)
+        for d, found in zip(docs.tolist(), np.split(pair % len(block.items), borders[1:]), strict=True):
+            if d != last:
+                if len(held):
+                    yield last, held.tolist()
+                last, held = d, held[:0]
+            held = np.union1d(held, found)
         start = stop
+    if len(held):
+        yield last, held.tolist()
+
 
+def _chains(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places, of which ``follows`` says whether the next goes on: how many places are left of a chain at each."""
+    ends = np.append(np.flatnonzero(~follows), len(follows))
+    return ends[np.searchsorted(ends, np.arange(len(follows) + 1))] - np.arange(len(follows) + 1) + 1, ends
 
-def _longest_of(block: Block, window: np.ndarray, at: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, ...]]:
-    place = _ragged(block.starts[window], counts)
+
+def _longest(block: Block, window: np.ndarray, at: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """The longest verbatim match of each text: text, item, words, its place in the shard and in the item.
+
+    A match is a chain of windows that follow each other both in the text and in an item. The
+    places of the windows that were hit form a suffix array of their own; each place of a text
+    is looked up in it by binary lifting, so chains are found without pairing all places of a
+    window in texts with all of its places in items. Of equal matches the first in the text counts,
+    and of its places the first in the block.
+    """
+    full = block.lengths[window] == block.windows.shape[1]
+    best = [_short(block, window[~full], at[~full], doc[~full])]
+    if full.any():
+        order = np.argsort(at[full])
+        best.append(_lifted(block, window[full][order], at[full][order], doc[full][order]))
+    rows = np.concatenate(best)
+    rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
+    for d, words, here, place in rows[np.flatnonzero(np.diff(rows[:, 0], prepend=-1))].tolist():
+        yield d, int(block.places[place, 1]), words, here, int(block.places[place, 2])
+
+
+def _short(block: Block, window: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whole short items as matches: (text, words, place in the shard, place in the block)."""
+    return np.stack([doc, block.lengths[window], at, block.starts[window]], axis=1)
+
+
+def _lifted(block: Block, window: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The longest chain from each text: (text, words, place in the shard, place in the block)."""
+    hit = np.unique(window)
+    counts = block.starts[hit + 1] - block.starts[hit]
+    place = _ragged(block.starts[hit], counts)
     item, there = block.places[place, 1], block.places[place, 2]
-    here, size = np.repeat(at, counts), np.repeat(block.lengths[window], counts)
-    order = np.lexsort((there, here - there, item))
-    item, there, here, size = item[order], there[order], here[order], size[order]
-    follows = (np.diff(item) == 0) & (np.diff(here) == 1) & (np.diff(there) == 1)
-    heads = np.flatnonzero(np.concatenate(([True], ~follows)))
-    ends = np.append(heads[1:], len(item)) - 1
-    words = there[ends] - there[heads] + size[ends]
-    doc = np.searchsorted(offsets, here[heads], "right") - 1
-    order = np.lexsort((there[heads], here[heads], -words, item[heads], doc))
-    doc, head, words = doc[order], heads[order], words[order]
-    new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item[head]) != 0)))
-    for d, h, w in zip(doc[new].tolist(), head[new].tolist(), words[new].tolist(), strict=True):
-        yield d, int(item[h]), w, int(here[h] - offsets[d]), int(there[h])
+    order = np.lexsort((there, item))
+    place, item, there = place[order], item[order], there[order]
+    left_b = _chains((np.diff(item) == 0) & (np.diff(there) == 1))[0]
+    left_d = _chains((np.diff(at) == 1) & (np.diff(doc) == 0))[0]
+    # ranks of stretches of 1, 2, 4, … windows, of places in items and then in texts; a stretch that a chain is too short for is shorter
+    n_b = len(place)
+    first = np.concatenate((np.searchsorted(hit, np.repeat(hit, counts)[order]), np.searchsorted(hit, window))) + 1
+    left = np.concatenate((left_b, left_d))
+    ranks, step = [first], 1
+    while step < left_d.max():
+        beyond = np.where(left > step, ranks[-1][np.minimum(np.arange(len(left)) + step, len(left) - 1)], 0)
+        ranks.append(np.unique(ranks[-1] * (len(left) + 1) + beyond, return_inverse=True)[1] + 1)
+        step *= 2
+    suffixes = np.argsort(ranks[-1][:n_b], kind="stable")
+    low, high, size = np.zeros(len(at), np.int64), np.full(len(at), n_b), np.zeros(len(at), np.int64)
+    own = np.arange(len(at))
+    for k in range(len(ranks) - 1, -1, -1):
+        try_at = np.flatnonzero(left_d - size >= 1 << k)
+        wanted = ranks[k][n_b + own[try_at] + size[try_at]]
+
+        def key(x: np.ndarray, of: np.ndarray, k=k, try_at=try_at) -> np.ndarray:
+            """Rank of the next stretch of a suffix, below all others if its chain has ended."""
+            begin, passed = suffixes[x], size[try_at[of]]
+            return np.where(left_b[begin] > passed, ranks[k][np.minimum(begin + passed, n_b - 1)], 0)
+
+        new_low = _bisect_by(key, wanted, low[try_at], high[try_at], False)
+        new_high = _bisect_by(key, wanted, new_low, high[try_at], True)
+        found = new_low < new_high
+        longer = try_at[found]
+        low[longer], high[longer] = new_low[found], new_high[found]
+        size[longer] += 1 << k
+    order = np.lexsort((at, -size, doc))
+    top = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+    where = [int(suffixes[a:b].min()) for a, b in zip(low[top].tolist(), high[top].tolist(), strict=True)]
+    return np.stack([doc[top], size[top] - 1 + block.windows.shape[1], at[top], place[where]], axis=1)
+
+
+def _bisect_by(key, wanted: np.ndarray, low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+    """As :func:`_bisect`, for keys that are computed from a place and the number of the value looked up."""
+    low, high = low.copy(), high.copy()
+    active = np.flatnonzero(low < high)
+    while len(active):
+        middle = (low[active] + high[active]) >> 1
+        found = key(middle, active)
+        right = found <= wanted[active] if after else found < wanted[active]
+        low[active[right]] = middle[right] + 1
+        high[active[~right]] = middle[~right]
+        active = active[low[active] < high[active]]
+    return low
 
 
-def _benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size; a longer item is cut into overlapping parts."""
+def _form_blocks(rows: Iterator[tuple[str, str | None]], window: int, block_words: int) -> Iterator[Block]:
+    """Items in blocks of bounded size; a longer item is cut into overlapping parts."""
     texts, held = [], 0
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    for row in named.toLocalIterator():
+    for item, text in rows:
         words, first = [], 0
-        for more in words_of(row.text):
+        for more in words_of(text):
             words += more
             while held + len(words) >= block_words + window:
                 room = max(block_words - held, window)
-                yield Block.of([*texts, (row.item_id, first, words[:room])], window)
+                yield Block.of([*texts, (item, first, words[:room])], window)
                 texts, held = [], 0
                 words, first = words[room - window + 1 :], first + room - window + 1
         if len(words) >= (window if first else 1):  # a rest of the overlap alone holds no window
-            texts, held = [*texts, (row.item_id, first, words)], held + len(words)
-    yield Block.of(texts, window)
+            texts, held = [*texts, (item, first, words)], held + len(words)
+    if texts:
+        yield Block.of(texts, window)
+
+
+def _benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+    """The blocks of the benchmark, formed by Spark and written; the driver gets one at a time to send it on."""
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = named.repartition(max(1, -(-size // (8 * block_words))), "item_id", "text")
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, t) for b in batches for part in pieces([b], "text") for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        for block in _form_blocks(rows, window, block_words):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    formed = cut(parts.mapInArrow(form, "block binary"), "benchmark")
+    for row in formed.toLocalIterator():
+        yield pickle.loads(row.block)
 
 
 def matches(
@@ -231,8 +320,8 @@ def matches(
     Each task numbers the words of its documents, shard by shard, builds the shard's suffix
     array and binary-searches all windows of the benchmark in it, so texts are not shuffled
     and a passage that many documents share costs each task its own documents only. The
-    benchmark comes in blocks of at most ``block_words`` words; if it has several, each is
-    matched in a pass of its own over the result of the last one.
+    benchmark is numbered and parted by Spark into blocks of at most ``block_words`` words; if it
+    has several, each is matched in a pass of its own over the result of the last one.
 
     A window is ``window`` words of an item, or the whole of a shorter item. ``spans`` are the
     stretches of words inside any occurrence, ``items`` the distinct ids (as strings, a null
@@ -276,7 +365,7 @@ def matches(
         return state.mapInArrow(run, schema)
 
     parts = _benchmark_blocks(benchmark, window, block_words)
-    block = next(parts)
+    block = next(parts, None) or Block.of([], window)
     for after in parts:
         state, block = cut(apply(state, block, found), "decontaminate"), after
     return apply(state, block, final)
