@@ -6,15 +6,17 @@ import base64
 import gzip
 import hashlib
 import io
+import ipaddress
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from gleaner.llm.common import pieces
+from gleaner.llm.common import pieces, with_row_id
+from gleaner.operators.skew import annotate_by_key
 from gleaner.session import cut
 
 #: The field names in the second line of an ARC file's own record, by version.
@@ -26,13 +28,16 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
-SEGMENT_BYTES = 4 << 20
-RECORDS_PER_FILE = 20_000
+#: Bytes of an ARC segment that :func:`pack` makes, and of a WARC file before it is compressed; a longer record stands alone.
+SEGMENT_BYTES, FILE_BYTES = 4 << 20, 64 << 20
 
-_HEADER = re.compile(rb"^(\S.*) (\d{1,3}(?:\.\d{1,3}){3}) (\d{8,14}) (\S+) (?:(?:\S+ ){5})?(\d+)$")
+_DATE = re.compile(r"\d{8,17}")
 _ID = re.compile(rb"(?im)^X-Page-Id: (-?\d+)\r?$")
+#: What marks an entry that could not be read, in column ``kind``.
+UNREAD = "unread"
 
 RECORDS = pa.schema([
+    ("segment", pa.int64()), ("number", pa.int64()),
     ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("kind", pa.string()),
     ("head", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("record_id", pa.string()),
     ("truncated", pa.bool_()),
@@ -71,25 +76,83 @@ def arc_segment(rows: list[tuple[int | None, str | None, str | None]], version:
     return bytes(out)
 
 
-def arc_records(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file of either version, as the fields of WARC records.
+def _is_address(token: str) -> bool:
+    if token == "-":
+        return True
+    try:
+        ipaddress.ip_address(token.partition("%")[0].strip("[]"))
+    except ValueError:
+        return False
+    return True
 
-    A header line says how many bytes follow it, and its number of fields follows the version.
-    Lines that are no header are skipped up to the next that is; content that ends before its
+
+def _declared(line: bytes, fields: Sequence[str]) -> int | None:
+    """The length a header line declares: its last field, if it has as many fields as its version asks for."""
+    tokens = line.split(b" ")
+    return int(tokens[-1]) if len(tokens) >= len(fields) and tokens[-1].isdigit() else None
+
+
+def arc_header(line: bytes, fields: Sequence[str]) -> tuple[str, str, str] | None:
+    """URL, date and type of a header line; none if it does not follow the field list.
+
+    Fields are read from the right: those behind the type are single words. A URL and a type may hold blanks, so the
+    date is the last word of digits that an address stands before and a type behind.
+    """
+    names = [f.lower() for f in fields]
+    kind = names.index("content-type")
+    tokens = line.decode("utf-8", "replace").split(" ")
+    inner = tokens[: len(tokens) - (len(names) - kind - 1)]
+    for i in range(len(inner) - 2, 1, -1):
+        if _DATE.fullmatch(inner[i]) and _is_address(inner[i - 1]):
+            return " ".join(inner[: i - 1]), inner[i], " ".join(inner[i + 1 :])
+    return None
+
+
+def arc_records(data: bytes, segment: int = 0) -> Iterator[dict]:
+    """The records of an ARC file, as the fields of WARC records (``RECORDS``).
+
+    The file's own record names the version and the fields of a header line; without one, version 1 holds. A header line
+    says how many bytes follow it, and these are never searched for headers. One that does not follow the fields, but
+    declares a length, is passed over with its content; after one without a length nothing is certain, so all up to the
+    next file record is passed over. Both give an entry of kind ``unread`` with the line. Content that ends before its
     declared length is kept and marked as truncated.
     """
-    stream = io.BytesIO(data)
+    stream, fields, number = io.BytesIO(data), ARC_FIELDS["1"].split(), 0
+    lost = False
+
+    def entry(record: dict) -> dict:
+        nonlocal number
+        number += 1
+        name = f"{segment}/{number} {record['url']} {record['date']} {record['payload_digest']}"
+        return {**record, "segment": segment, "number": number, "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"}
+
     while line := stream.readline():
-        header = _HEADER.match(line.rstrip(b"\r\n"))
-        if not header:
+        line = line.rstrip(b"\r\n")
+        if line.startswith(b"filedesc://"):
+            length = line.rpartition(b" ")[2]
+            body = stream.read(int(length)) if length.isdigit() else b""
+            about = body.decode("utf-8", "replace").splitlines()
+            named = ARC_FIELDS.get(about[0].split(" ")[0]) if about else None
+            if len(about) > 1 and "content-type" in about[1].lower().split():
+                named = about[1]
+            fields, lost = (named or ARC_FIELDS["1"]).split(), False
+            url, date = line.split(b" ")[0].decode("utf-8", "replace"), next((t for t in line.decode("utf-8", "replace").split(" ")[1:] if _DATE.fullmatch(t)), "")
+            yield entry(warc_fields(url, date, "text/plain", body, not length.isdigit() or len(body) < int(length)))
             continue
-        url, _, date, mime, length = header.groups()
-        body = stream.read(int(length))
-        yield warc_fields(url.decode("utf-8", "replace"), date.decode(), mime.decode("utf-8", "replace"), body, len(body) < int(length))
+        if lost or not line:
+            continue
+        length = _declared(line, fields)
+        lost = length is None
+        body = b"" if lost else stream.read(length)
+        header = None if lost else arc_header(line, fields)
+        if header:
+            yield entry(warc_fields(*header, body, len(body) < length))
+        else:
+            yield entry({**warc_fields("", "", "", b"", False), "kind": UNREAD, "head": line})
 
 
 def warc_fields(url: str, date: str, mime: str, body: bytes, truncated: bool) -> dict:
-    """Identifier, timestamp, type and digest of the WARC record that stands for an ARC record."""
+    """Timestamp, type and digest of the WARC record that stands for an ARC record."""
     head, payload, kind = b"", body, "resource"
     if url.startswith("filedesc://"):
         kind = "warcinfo"
@@ -98,12 +161,11 @@ def warc_fields(url: str, date: str, mime: str, body: bytes, truncated: bool) ->
         split = len(body) if end < 0 else end + 4
         head, payload, kind = body[:split], body[split:], "response"
     key = _ID.search(head)
-    d, found = date.ljust(14, "0"), digest(payload)
-    name = f"{url} {d} {found} {key.group(1).decode() if key else ''}"
+    d = date.ljust(14, "0")
     return {
         "page_id": int(key.group(1)) if key else None, "url": url, "kind": kind,
         "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "mime": mime, "head": head, "payload": payload,
-        "payload_digest": found, "record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "truncated": truncated,
+        "payload_digest": digest(payload), "truncated": truncated,
     }
 
 
@@ -119,14 +181,19 @@ def pack(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
 
 
 def convert(archives: DataFrame) -> DataFrame:
-    """The ARC files of column ``arc`` as WARC fields, one row per record (``RECORDS``)."""
+    """The ARC files of column ``arc`` as WARC fields, one row per record (``RECORDS``).
+
+    Record ids are made of the file's ``row`` and the record's number in it; files without a
+    ``row`` are written with one first, so that the ids are the same whenever they are read.
+    """
+    numbered = archives if "row" in archives.columns else with_row_id(archives.select("arc"), "arc")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for segment in batch.column("arc"):
-                rows = list(arc_records(segment.as_py() or b""))
-                yield pa.RecordBatch.from_pylist(rows, schema=RECORDS)
+            for row, segment in zip(batch.column("row").to_pylist(), batch.column("arc"), strict=True):
+                yield pa.RecordBatch.from_pylist(list(arc_records(segment.as_py() or b"", row)), schema=RECORDS)
 
-    return archives.mapInArrow(run, from_arrow_schema(RECORDS))
+    return numbered.select("row", "arc").mapInArrow(run, from_arrow_schema(RECORDS))
 
 
 def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -134,21 +201,16 @@ def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Payloads under ``least_bytes`` are never revisits. The first is the record with the smallest
     page_id; records that share it are all first, and a null id is first only if all are null.
-    The minimum is taken before the shuffle and on digests alone, so a payload that fills a
-    third of the archive is one row per task.
+    Verdicts are settled on digests alone, with the minimum taken before the shuffle, and go
+    back to the records by segment and number, so no join meets a hot key.
     """
     eligible = (F.col("kind") == "response") & (F.octet_length("payload") >= least_bytes)
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id"))
-    firsts = cut(
-        records.filter(eligible).groupBy("payload_digest").agg(F.count("*").alias("n"), first.alias("first"))
-        .filter("n > 1").select(F.col("payload_digest").alias("d"), "first"),
-        "warc-firsts",
-    )
-    refers = eligible & F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return records.join(firsts, records["payload_digest"] == firsts["d"], "left").select(
-        *[records[c] for c in records.columns], F.when(refers, F.col("first.page_id")).alias("refers_to"),
-        F.when(refers, F.col("first.record_id")).alias("refers_to_id"),
-    )
+    narrow = cut(records.filter(eligible).select("segment", "number", "payload_digest", "page_id", "record_id"), "warc-digests")
+    verdict = annotate_by_key(narrow, ["payload_digest"], ["segment", "number"], first=(F.min, F.struct(
+        F.col("page_id").isNull().alias("none"), "page_id", "record_id")))
+    later = verdict.filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    found = later.select("segment", "number", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_to_id"))
+    return records.join(cut(found, "warc-revisits"), ["segment", "number"], "left")
 
 
 def warc_record(refers: str = "refers_to_id") -> Column:
@@ -172,11 +234,32 @@ def warc_record(refers: str = "refers_to_id") -> Column:
     return F.concat(F.encode(header, "UTF-8"), F.lit(END.encode()), block)
 
 
-def write_warc(marked: DataFrame, path: str, compression: str = "gzip", per_file: int = RECORDS_PER_FILE) -> None:
-    """WARC files below ``path``. The text sink writes the bytes as they are, and the blank lines after each record."""
+def write_warc(marked: DataFrame, path: str, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
+    """WARC files below ``path``, each of at most ``file_bytes`` before compression or one record.
+
+    With gzip every record is a member of its own, so that it can be read from its offset alone.
+    Entries that could not be read are left out. The text sink writes the bytes of a file as they are; the
+    byte it adds at the end is one that readers of gzip pass over, or the blank lines after a record.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for cell in batch.column("record"):
+                record = cell.as_py()
+                if held and size + len(record) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], ["file"])
+                    held, size = [], 0
+                held.append(gzip.compress(record + END.encode(), 6, mtime=0) if packs else record)
+                size += len(record)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], ["file"])
+
+    packs = compression == "gzip"
+    between = b"" if packs else END.encode()
+    files = marked.filter(F.col("kind") != UNREAD).select(warc_record().alias("record")).mapInArrow(run, "file binary")
     (
-        marked.select(warc_record().cast("string").alias("value")).write.option("lineSep", END)
-        .option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+        files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\x00" if packs else END)
+        .option("maxRecordsPerFile", 1).text(path)
     )
 
 
@@ -218,7 +301,8 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     """Pages through ARC segments into WARC files at ``path``, and those read back.
 
     One record per row. A null html is an empty payload, a null page_id stays null, a null or
-    empty url is ``-``; repeated rows are records of their own. An empty table gives no rows.
+    empty url is ``-``; repeated rows are records of their own, with ids of their own. An empty
+    table gives no rows.
     """
     write_warc(mark_revisits(convert(pack(pages)), least_bytes), path)
     return read_warc(pages.sparkSession, path)
