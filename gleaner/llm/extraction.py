@@ -16,8 +16,10 @@ from gleaner.llm.common import drawn, packed, pieces
 
 #: Labelled pages the model is trained on, at most, and layouts that each is also shown in.
 SAMPLE, LAYOUTS = 160, 3
-#: Pages longer than this are not drawn for training.
-LONGEST = 200_000
+#: Letters of the longest page that training draws; with the sample, this bounds what the driver gets.
+LONGEST = 1 << 20
+#: Elements nested deeper than this become siblings, as in browsers.
+DEEPEST = 512
 
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -124,6 +126,8 @@ def parse(page: str) -> Tree:
     tree = Tree()
     root = tree.add(-1, (_TAG_OF["html"],), 0)
     stack: list[tuple[str, int, int]] = [("", root, 0)]  # tag, block node, label
+    places: dict[str, list[int]] = {}  # where in the stack each tag stands
+    scopes = [0]  # and those that end the search for what an opening tag closes
     unseen = links = at = 0
     run: list[str] = []
     in_links = 0
@@ -145,6 +149,9 @@ def parse(page: str) -> Tree:
             if tag in BLOCK:
                 flush()
             stack.pop()
+            places[tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
             unseen -= tag in UNSEEN
             links -= tag == "a"
 
@@ -168,10 +175,8 @@ def parse(page: str) -> Tree:
             continue
         tag = name.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    leave(i)
-                    break
+            if places.get(tag):
+                leave(places[tag][-1])
             continue
         if tag not in IN_HEAD:
             end_head()
@@ -181,13 +186,9 @@ def parse(page: str) -> Tree:
             if tag == "hr" and not unseen:
                 flush()
             continue
-        ends = CLOSES.get(tag)
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    leave(i)
-                elif stack[i][0] in SCOPE:
-                    break
+        ends = CLOSES.get(tag, ())
+        while (i := max((places[e][-1] for e in ends if places.get(e)), default=0)) and i >= scopes[-1]:
+            leave(i)
         if tag in RAW:
             end = re.compile(rf"(?i)</{tag}\b[^>]*>?").search(page, at)
             stop = end.start() if end else len(page)
@@ -203,9 +204,13 @@ def parse(page: str) -> Tree:
         if tag in BLOCK:
             if not unseen:
                 flush()
-                node = tree.add(node, _static(tag, attributes), label)
+                above = node if tree.depth[node] < DEEPEST else tree.parent[node]
+                node = tree.add(above, _static(tag, attributes), label)
         unseen += tag in UNSEEN
         links += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
         stack.append((tag, node, label))
     rest = page[at:]
     say(rest if not re.match(r"</?[a-zA-Z]|<[!?]", rest) else "")
@@ -231,7 +236,8 @@ class Forest:
         of = np.repeat(np.arange(len(trees)), np.diff(starts))
         parent = np.concatenate([np.array(t.parent, np.int64) for t in trees]) + starts[of]
         depth = np.concatenate([np.array(t.depth, np.int64) for t in trees])
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1)))
         parent[levels[0]] = -1
         x = np.zeros((len(parent), WIDTH), np.float32)
         static = [s for t in trees for s in t.static]
@@ -326,6 +332,9 @@ def extract(pages: Sequence[str | None], model: Model) -> list[str]:
 # Labelled pages: those that mark their article, and the same blocks in other layouts; if none does, layouts alone.
 
 _ARTICLE = re.compile(r"(?i)<article(?=[\s>])")
+#: Features of what is no part of an article, wherever it stands.
+_FOREIGN = frozenset(_TAG_OF[t] for t in ("nav", "footer", "aside", "form")) | frozenset(
+    _WORD_OF[w] for w in ("nav", "footer", "sidebar", "notice", "ad", "form", "comment"))
 
 #: Wrappers of the article, and of what stands around it.
 WRAPS = [
@@ -347,7 +356,11 @@ AROUND = {
              '<div class="newsletter"><p>{1}</p><form><label>{0}</label><input></form></div>'],
     "comments": ['<section class="comments"><h3>{0}</h3><div class="comment"><p>{1}</p></div><div class="comment"><p>{2}</p></div></section>',
                  '<div id="comments"><ul><li><p>{1}</p></li><li><p>{2}</p></li></ul></div>',
-                 '<div class="reader-replies"><article class="reply"><p>{1}</p></article><article class="reply"><p>{2}</p></article></div>'],
+                 '<div class="reader-replies"><article class="reply"><p>{1}</p></article><article class="reply"><p>{2}</p></article></div>',
+                 '<section id="discussion"><article><p>{1}</p></article><article><p>{2}</p></article></section>',
+                 '<section class="comments"><article><h4>{0}</h4><p>{1}</p></article><article><h4>{0}</h4><p>{2}</p></article></section>'],
+    "cards": ['<section class="related"><article><h3><a href="/a">{0}</a></h3><p>{1}</p></article><article><h3>{0}</h3><p>{2}</p></article></section>',
+              '<div class="more-stories"><article><a href="/b">{1}</a></article><article><a href="/c">{2}</a></article></div>'],
     "end": ['<footer>&copy; {0} {1}</footer>', '<div class="footer"><p>{1}</p><ul>{links}</ul></div>', '<div id="legal">{2}</div>',
             "<footer><p>{1}</p><p>{2}</p></footer>"],
 }
@@ -361,9 +374,36 @@ STAND_INS = (
 )
 
 
-def labelled(page: str) -> str:
-    """A page with its article marked."""
-    return _ARTICLE.sub('<article data-label="1"', page)
+def mark_article(tree: Tree) -> bool:
+    """Label the text runs of a page's article; false if the page marks none.
+
+    That is the outermost article element that holds most text, outside of comments, asides and the like,
+    if it holds as much as all others together: several alike are a list of cards. What is foreign to an
+    article, and articles within it, are none of its text.
+    """
+    article, n = _TAG_OF["article"], len(tree.parent)
+    inner, foreign, size = [-1] * n, [False] * n, [0] * n  # outermost article a node is in, whether it is foreign or in a nested one
+    nested = [False] * n
+    for i in range(n):
+        above = tree.parent[i]
+        if above >= 0:
+            inner[i], foreign[i], nested[i] = inner[above], foreign[above], nested[above]
+        if i in tree.texts:
+            if inner[i] >= 0 and not foreign[i] and not nested[i]:
+                size[inner[i]] += len(tree.texts[i]) - tree.linked[i]
+            continue
+        foreign[i] = foreign[i] or not _FOREIGN.isdisjoint(tree.static[i])
+        if article in tree.static[i]:
+            if inner[i] >= 0:
+                nested[i] = True
+            elif not foreign[i]:
+                inner[i] = i
+    best = max(range(n), key=lambda i: size[i])
+    if not size[best] or 2 * size[best] < sum(size):
+        return False
+    for i in tree.texts:
+        tree.label[i] = int(inner[i] == best and not foreign[i] and not nested[i])
+    return True
 
 
 def layout(blocks: list[str], others: list[str], rng: random.Random) -> str:
@@ -385,7 +425,7 @@ def layout(blocks: list[str], others: list[str], rng: random.Random) -> str:
     inner = wrap.format(' data-label="1"') + "".join(body) + "".join(f"</{t}>" for t in re.findall(r"<(\w+)", wrap)[::-1])
     return (
         "<html><body>" + some("notice", "top", "menu", "advert") + rng.choice(["", "<div>", '<div class="page">'])
-        + some("side", "form") + inner + some("comments", "side", "advert", "form") + some("end", "notice") + "</body></html>"
+        + some("side", "form") + inner + some("comments", "cards", "side", "advert", "form") + some("end", "notice") + "</body></html>"
     )
 
 
@@ -393,11 +433,10 @@ def training_trees(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 7)
     """Labelled trees of pages that mark their article, as they are and in other layouts."""
     trees, parts = [], []
     for page in pages:
-        tree = parse(labelled(page))
-        blocks = [t for i, t in tree.texts.items() if tree.label[i]]
-        if blocks:
+        tree = parse(page)
+        if mark_article(tree):
             trees.append(tree)
-            parts.append((blocks, [t for i, t in tree.texts.items() if not tree.label[i]]))
+            parts.append(([t for i, t in tree.texts.items() if tree.label[i]], [t for i, t in tree.texts.items() if not tree.label[i]]))
     return trees + _laid_out(parts, layouts, seed)
 
 
@@ -440,23 +479,25 @@ def unmarked_trees(pages: Sequence[str], layouts: int = LAYOUTS + 1, seed: int =
     return _laid_out(parts or [STAND_INS], layouts, seed)
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` pages of up to ``LONGEST`` letters that mark their article, drawn by a hash.
+def train(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """A model from at most ``sample`` pages of up to ``longest`` letters that mark their article, drawn by a hash.
 
-    If there are none, the text runs of any pages, of long ones those at the beginning, are learned from in generated layouts.
+    If there are none, the text runs of any pages of that length are learned from in generated layouts, and if there
+    are no such pages either, ``STAND_INS``. Repeated pages may be drawn repeatedly.
     """
-    marked = pages.filter((F.length("html") <= LONGEST) & F.col("html").rlike(_ARTICLE.pattern)).select("page_id", "html")
-    trees = training_trees([r.html for r in drawn(marked, sample, "page_id", "html").collect()])
+    short = pages.filter(F.length("html").between(1, longest)).select("page_id", "html")
+    marked = drawn(short.filter(F.col("html").rlike(_ARTICLE.pattern)), sample, "page_id", "html")
+    trees = training_trees([r.html for r in marked.collect()])
     if not trees:
-        begun = pages.filter(F.length("html") > 0).select("page_id", F.substring("html", 1, LONGEST).alias("html"))
-        trees = unmarked_trees([r.html for r in drawn(begun, sample, "page_id", "html").collect()])
+        trees = unmarked_trees([r.html for r in drawn(short, sample, "page_id", "html").collect()])
     return fit(trees)
 
 
 def main_text(pages: DataFrame, model: Model, carry: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """One row per page: the ``carry`` columns in ``page``, and text, in one pass without a shuffle.
 
-    A null or empty html, and one without any text that the model takes for content, gives an empty text.
+    A null or empty html, and one without any text that the model takes for content, gives an empty text. Pages of any
+    length are read whole, an empty table gives no rows, and repeated rows equal texts; a node as likely content as not is none.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(packed(carry).alias("page"), "html")
