@@ -48,6 +48,18 @@ def large_taxonomy() -> Taxonomy:
     return Taxonomy.of(large_phrases(), edge="token")
 
 
+# A taxonomy out of the documents: the first word, two words and three words of each.
+OPENINGS = """
+select skill, category, ord from (
+  select lower(split_part(text, ' ', 1)) as skill, source as category, doc_id * 3 as ord from {documents}
+  union all
+  select lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))) as skill, source as category, doc_id * 3 + 1 as ord from {documents}
+  union all
+  select lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))) as skill, source as category,
+         doc_id * 3 + 2 as ord from {documents})
+where length(skill) between 2 and 60 and skill not like '% ' and skill not like '%\n%'
+"""
+
 #: Keys that are looked up in the store; not all are there.
 KEYS = [
     "http://therha.example.com/en/676", "https://therha.example.com/en/676", "https://m.tionsh.example.net/en/98",

@@ -503,6 +503,7 @@ select status, count(*) filter (where started_at >= timestamp '2024-01-22') as k
        count(*) filter (where started_at < timestamp '2024-01-22') as removed from ({RUNS}) group by status""",
     "q_skill_mentions": f"select doc_id, skill, category from ({DOC_MENTIONS})",
     "q_skill_mentions_large": mentions_of("select doc_id, text from documents", "doc_id", "text", listed(inputs.large_phrases())),
+    "q_skill_mentions_table": mentions_of("select doc_id, text from documents", "doc_id", "text", text(inputs.OPENINGS), 24),
     "q_skill_mentions_overlap": f"""
 select doc_id, skill, category from ({mentions('select doc_id, text from documents', 'doc_id', 'text', OVERLAP_PHRASES)})""",
     "q_skill_freq": f"select skill, n from ({FREQ})",

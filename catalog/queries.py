@@ -12,7 +12,7 @@ from catalog.inputs import AS_OF, FIXTURE_TAXONOMY, OVERLAP_TAXONOMY, WEEK, fram
 from gleaner import schema
 from gleaner.functions import dates, quality, urls
 from gleaner.functions.text import mining_text, strip
-from gleaner.operators import dedup, mining, pagination, runs, stats
+from gleaner.operators import dedup, mining, pagination, phrase_join, runs, stats
 from gleaner.plans import analysis, board, ingest, report
 from gleaner.session import work_path
 from gleaner.sources import feeds, pages, postings, targets
@@ -533,6 +533,13 @@ def q_skill_mentions_large(spark, sf_dir):
     return mining.skill_mentions(_documents(spark, sf_dir), F.col("text"), inputs.large_taxonomy(), "doc_id")
 
 
+@query
+def q_skill_mentions_table(spark, sf_dir):
+    """A taxonomy that grows with the data: the first words of all documents, under their sources."""
+    docs = _documents(spark, sf_dir)
+    return phrase_join.skill_mentions(docs, F.col("text"), frame(spark, sf_dir, inputs.OPENINGS), "doc_id", edge="token")
+
+
 @query
 def q_skill_freq(spark, sf_dir):
     return _doc_frequency(spark, sf_dir).select("skill", "n")

@@ -4,11 +4,13 @@ import datetime
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from catalog import inputs
 from gleaner.functions.dates import next_week
 from gleaner.functions.phrases import Taxonomy
-from gleaner.operators import dedup, mining, pagination, runs, stats
+from gleaner.operators import dedup, mining, pagination, phrase_join, runs, stats
 from gleaner.operators.skew import annotate_by_key
 
 TS = datetime.datetime(2026, 6, 28, 12, 0)
@@ -234,3 +236,36 @@ def test_run_counters_with_errors(spark):
     errors = spark.createDataFrame([("a", 2), ("a", 1), ("c", 4)], "source_site string, n long")
     got = {r.source_site: tuple(r)[1:] for r in runs.run_counters(labelled, "source_site", page="page_no", errors=errors).collect()}
     assert got == {"a": (2, 3, 1, 2, 3), "b": (1, 1, 0, 0, 0), "c": (0, 0, 0, 0, 4)}
+
+
+# -- taxonomy as a table
+
+
+def as_table(spark, taxonomy):
+    rows = [(skill, category, i) for i, (skill, category) in enumerate(taxonomy.entries)]
+    return spark.createDataFrame(rows, "skill string, category string, ord long")
+
+
+@pytest.mark.parametrize("kind", ["fixture", "overlap", "large", "boundary"])
+@pytest.mark.parametrize("most_sent", [0, 1000])
+def test_phrase_join_equals_the_pattern(spark, kind, most_sent):
+    taxonomy = {
+        "fixture": inputs.FIXTURE_TAXONOMY, "overlap": inputs.OVERLAP_TAXONOMY, "large": inputs.large_taxonomy(),
+        "boundary": Taxonomy.of({"a": ["c++", "c", "c#", "rest", "rest api", "api gateway", "go", "node.js", "core data"], "b": ["data science", "c", "swift"]}),
+    }[kind]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("length(text) < 4000")
+    odd = [(-1, "rest api gateway"), (-2, "core data science"), (-3, "C++ dev"), (-4, "c++x c#"), (-5, "Node.jsx node.js"), (-6, "goö go"),
+           (-7, ""), (-8, None), (-9, "swift swift, c c++y c"), (-9, "rest rest api rest api gateway core data science")]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    want = mining.skill_mentions(docs, F.col("text"), taxonomy, "doc_id").collect()
+    got = phrase_join.skill_mentions(docs, F.col("text"), as_table(spark, taxonomy), "doc_id", edge=taxonomy.edge, most_sent=most_sent).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_phrase_join_takes_a_hundred_thousand_phrases(spark):
+    phrases = spark.range(100_000).select(
+        F.concat(F.lit("k"), F.col("id") % 317, F.lit(" v"), F.col("id")).alias("skill"), F.lit("c").alias("category"), F.col("id").alias("ord"))
+    texts = spark.range(200).select("id", F.concat(F.lit("a k"), F.col("id") * 400 % 317, F.lit(" v"), F.col("id") * 400, F.lit(", k1 v3 k5")).alias("text"))
+    found = phrase_join.skill_mentions(texts, F.col("text"), phrases, "id", edge="token")
+    assert {(r.id, r.skill) for r in found.collect()} == {(i, f"k{i * 400 % 317} v{i * 400}") for i in range(200)}
+    assert phrase_join.skill_mentions(texts, F.col("text"), phrases.limit(0), "id").collect() == []
