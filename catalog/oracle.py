@@ -572,3 +572,17 @@ select skill, any_value(category) as category, any_value(category_ord) as catego
        (select count(*) from ({BOARD}) where is_first) as jobs
 from ({mentions(f"select * from ({BOARD}) where is_first", 'id', "title || ' ' || '' || ' ' || li", FIXTURE_PHRASES)}) group by skill""", 10),
 }
+
+# The same answers from statistics kept by week, from partitions read newest first, and from events that come late.
+for _name, _same in {
+    "q_rollup_stats": "q_store_stats", "q_rollup_by_source": "q_by_source", "q_rollup_location_dist": "q_location_dist",
+    "q_rollup_company_dist": "q_company_dist_all", "q_rollup_period": "q_period", "q_posting_scan_newest": "q_posting_scan_latest",
+    "q_stream_weekly_late": "q_stream_weekly",
+}.items():
+    ORACLE[_name] = ORACLE[_same]
+ORACLE["q_posting_scan_newest_source"] = f"""
+select posting_id, company, location, week_key from ({POSTINGS}) where is_active = 1 and source_site = '1-URGENT'
+order by scraped_at desc, posting_id limit 50"""
+ORACLE["q_run_purge"] = f"""
+select status, count(*) as kept, (select count(*) from ({RUNS}) where started_at < timestamp '2024-01-22') as removed
+from ({RUNS}) where started_at >= timestamp '2024-01-22' group by status"""

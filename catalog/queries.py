@@ -6,14 +6,15 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField
 
 from catalog import inputs
 from catalog.inputs import AS_OF, FIXTURE_TAXONOMY, OVERLAP_TAXONOMY, WEEK, frame, table
 from gleaner import schema
 from gleaner.functions import dates, quality, urls
 from gleaner.functions.text import mining_text, strip
-from gleaner.operators import dedup, mining, pagination, phrase_join, runs, stats
-from gleaner.plans import analysis, board, ingest, report
+from gleaner.operators import dedup, mining, pagination, phrase_join, rollup, runs, stats
+from gleaner.plans import analysis, board, ingest, report, upkeep
 from gleaner.session import work_path
 from gleaner.sources import feeds, pages, postings, targets
 from gleaner.streaming import incremental
@@ -354,6 +355,57 @@ def q_period(spark, sf_dir):
     return stats.period(_postings(spark, sf_dir), _now())
 
 
+# -- statistics kept by week ---------------------------------------------------------
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of all stored weeks, and of one of them once more; kept for all queries of a session."""
+    key = (spark.sparkContext.applicationId, f"rollup {sf_dir}")
+    if key not in _STORED:
+        path, stored = work_path(spark, "rollup"), _stored_postings(spark, sf_dir)
+        rollup.refresh(stored, path)
+        rollup.refresh(stored, path, [WEEK])
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+@query
+def q_rollup_stats(spark, sf_dir):
+    return rollup.store_stats(_rollup(spark, sf_dir), WEEK)
+
+
+@query
+def q_rollup_by_source(spark, sf_dir):
+    return rollup.rows_by_source(_rollup(spark, sf_dir))
+
+
+@query
+def q_rollup_location_dist(spark, sf_dir):
+    return rollup.distribution(_rollup(spark, sf_dir), "location", WEEK)
+
+
+@query
+def q_rollup_company_dist(spark, sf_dir):
+    return rollup.distribution(_rollup(spark, sf_dir), "company", limit=20)
+
+
+@query
+def q_rollup_period(spark, sf_dir):
+    return rollup.period(_rollup(spark, sf_dir), _now())
+
+
+@query
+def q_posting_scan_newest(spark, sf_dir):
+    rows = rollup.newest(_stored_postings(spark, sf_dir), _rollup(spark, sf_dir), 50, tie="posting_id")
+    return rows.select("posting_id", "company", "location", "week_key")
+
+
+@query
+def q_posting_scan_newest_source(spark, sf_dir):
+    rows = rollup.newest(_stored_postings(spark, sf_dir), _rollup(spark, sf_dir), 50, "1-URGENT", "posting_id")
+    return rows.select("posting_id", "company", "location", "week_key")
+
+
 # -- deduplication and ingest ------------------------------------------------------
 
 
@@ -514,6 +566,16 @@ def q_run_retention(spark, sf_dir):
     return both.groupBy("status").agg(F.count_if("stays").alias("kept"), F.count_if(~F.col("stays")).alias("removed"))
 
 
+@query
+def q_run_purge(spark, sf_dir):
+    """The run log as it is stored, after its expired runs were dropped; how many those were is in every row."""
+    tables = ingest.Tables.below(work_path(spark, "purge"))
+    ingest.log_runs(frame(spark, sf_dir, inputs.RUNS), tables)
+    removed = upkeep.drop_expired(spark, tables.runs, datetime(2024, 2, 1), 10)
+    left = runs.read_events(spark, tables.runs)
+    return left.groupBy("status").agg(F.count("*").alias("kept"), F.lit(removed).cast("long").alias("removed"))
+
+
 # -- mining ---------------------------------------------------------------------
 
 
@@ -651,3 +713,17 @@ def q_stream_weekly(spark, sf_dir):
     incremental.write_weeks(counted, f"{root}/out", f"{root}/checkpoint", "event_type").awaitTermination()
     done = spark.read.schema("week_start date, week_key string, event_type string, n long").parquet(f"{root}/out")
     return done.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "week_key", "event_type", "n")
+
+
+@query
+def q_stream_weekly_late(spark, sf_dir):
+    """Events that land newest first, so that most are weeks late: each is counted."""
+    root = work_path(spark, "late")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    by_part = StructField("event_type", StringType())
+    weeks = incremental.week_table(f"{root}/out", by_part)
+    for part in (2, 1, 0):
+        events.filter((F.dayofmonth("ts") - 1) / 11 < part + 1).filter((F.dayofmonth("ts") - 1) / 11 >= part).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        stream = incremental.stream_files(spark, f"{root}/landing", events.schema)
+        incremental.count_weeks(stream, "ts", weeks, f"{root}/checkpoint").awaitTermination()
+    return incremental.counted_weeks(spark, weeks).select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "week_key", "event_type", "n")

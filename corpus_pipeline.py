@@ -1,4 +1,9 @@
-"""A corpus from raw documents: toxic ones out, copies out, near copies out, benchmark passages out, sources mixed."""
+"""A corpus from raw documents: toxic ones out, copies out, near copies out, benchmark passages out, sources mixed.
+
+Every stage takes null and empty texts as texts without words, which it keeps or counts like others: one of several
+equal ones stays. Null ids, repeated rows and columns of any name pass through; of equal candidates the smallest id and
+then any one row is kept. An empty table gives an empty result of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
 from gleaner.llm.common import table
-from gleaner.session import cut
+from gleaner.session import WorkScope, drop_path, work_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix of all documents. Of the tables in between, the last stays for the result to read.
+
+    A stage's own work tables go when its result is written, and that one when the next stage is done.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = work_path(spark, name.replace(" ", "-"))
+        with WorkScope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.schema(docs.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gleaner.functions.dates import next_week
 from gleaner.functions.phrases import Taxonomy, extract_skills
 from gleaner.functions.text import average, percent
+from gleaner.session import cut
 
 
 def skill_mentions(postings: DataFrame, text: Column, taxonomy: Taxonomy, *ids: str) -> DataFrame:
@@ -82,8 +83,10 @@ def skill_trend(weekly: DataFrame, week: str = "week_key") -> DataFrame:
     A skill has a row in every week in which it, or the week before, has mentions, up to the
     last week with postings. ``delta`` counts a week without mentions as 0; it is NULL in the
     first week of all and for postings without a week, which have rows of their own. The
-    frames hold a row per week and skill, whatever the number of postings.
+    frames hold a row per week and skill, whatever the number of postings; the counts are
+    written once, since all sides read them and text is not to be mined again for each.
     """
+    weekly = cut(weekly, "weekly-counts")
     spans = weekly.agg(F.min(week).alias("first"), F.max(week).alias("last"))
     counted = weekly.filter(F.col("skill").isNotNull()).select(F.col(week).alias("week"), "skill", "n")
     dated = counted.filter(F.col("week").isNotNull())

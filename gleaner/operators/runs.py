@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from gleaner import schema
 from gleaner.operators.dedup import KEPT
@@ -10,6 +11,14 @@ from gleaner.operators.dedup import KEPT
 COUNTERS = ["pages_scraped", "jobs_found", "jobs_inserted", "jobs_deduplicated", "errors_encountered"]
 # The states of a run.
 RUNNING, COMPLETED, FAILED = "running", "completed", "failed"
+#: The day a run started, by which its events are stored.
+DAY = "start_day"
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The stored events with their :data:`DAY`."""
+    stored = StructType([*schema.RUN_EVENT, StructField(DAY, DateType())])
+    return spark.read.schema(stored).parquet(path)
 
 
 def run_counters(labelled: DataFrame, *by: str, page: str | None = None, errors: DataFrame | None = None) -> DataFrame:

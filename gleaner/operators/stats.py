@@ -45,8 +45,12 @@ def company_distribution(postings: DataFrame, week_key: str | None = None, limit
 def period(postings: DataFrame, as_of: Column) -> DataFrame:
     """One row: first and last posting day and the week of the last; the week before ``as_of`` without any."""
     day = posted_day(F.col("date_posted"))
+    return period_of(postings.agg(F.min(day).alias("_first"), F.max(day).alias("_last")), as_of)
+
+
+def period_of(bounds: DataFrame, as_of: Column) -> DataFrame:
+    """The period of one row of bounds ``(_first, _last)``."""
     today = F.to_date(as_of)
-    bounds = postings.agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
     last = F.coalesce("_last", today)
     return bounds.select(
         week_label(last).alias("week_key"),

@@ -46,7 +46,7 @@ class IngestResult:
 
 def key_table(tables: Tables) -> MergingTable:
     """The keys of the store, ordered by their hash."""
-    return MergingTable(tables.keys, schema.KEY, sort="h", unique=True)
+    return MergingTable(tables.keys, schema.KEY, sort="h", fold=DataFrame.dropDuplicates)
 
 
 def audit_table(tables: Tables) -> MergingTable:
@@ -164,8 +164,9 @@ def write_postings(fresh: DataFrame, path: str) -> None:
 
 
 def log_runs(events: DataFrame, tables: Tables) -> None:
-    """Append run events, one file for a call."""
-    runs.as_events(events).coalesce(1).write.mode("append").parquet(tables.runs)
+    """Append run events by the day their run started, one file for a day and call."""
+    by_day = runs.as_events(events).withColumn(runs.DAY, F.to_date("started_at"))
+    by_day.coalesce(1).write.mode("append").partitionBy(runs.DAY).parquet(tables.runs)
 
 
 def run_ingest(
@@ -269,7 +270,7 @@ def _run_all(spark, names, opened, tables, clock, first_run_id, order_by, page,
     if failed:
         done = clock()
         log_runs(frame([event(n, runs.FAILED, completed_at=done, error_message=e) for n, e in failed.items()]), tables)
-    events = spark.read.schema(schema.RUN_EVENT).parquet(tables.runs)
+    events = runs.read_events(spark, tables.runs).drop(runs.DAY)
     return runs.latest_runs(events.filter(F.col("run_id").between(first_run_id, first_run_id + len(names) - 1)))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.functions.text import label_case, title_case
 from gleaner.plans.analysis import Analysis
+from gleaner.session import write_text
 
 TITLE = "Weekly Skills Report"
 TOP_LINES = 15
@@ -158,3 +160,28 @@ def write_markdown(lines: DataFrame, path: str) -> None:
 def write_json(lines: DataFrame, path: str) -> None:
     """JSON lines, one folder per section."""
     lines.write.mode("overwrite").partitionBy("section").text(path)
+
+
+# How published reports are named.
+REPORT_NAME, LATEST_NAME = "skills_report_{week}_{stamp:%Y%m%d_%H%M%S}", "LATEST_SKILLS_REPORT.md"
+
+
+def publish(lines: DataFrame, folder: str, week_key: str, stamp: datetime) -> str:
+    """Write a Markdown report under its week and time and as the latest one; the path of the former.
+
+    A report has some tens of lines, which the driver gets. Each file is written beside its
+    place and renamed, so a reader finds the report before or this one, and never a part.
+    """
+    spark = lines.sparkSession
+    text = "".join(f"{r.line}\n" for r in lines.orderBy("section", "ord").select("line").collect())
+    path = f"{folder}/{REPORT_NAME.format(week=week_key, stamp=stamp)}.md"
+    write_text(spark, path, text)
+    write_text(spark, f"{folder}/{LATEST_NAME}", text)
+    return path
+
+
+def publish_json(lines: DataFrame, folder: str, week_key: str, stamp: datetime) -> str:
+    """Write a JSON report into a folder named by its week and time; the path of that."""
+    path = f"{folder}/{REPORT_NAME.format(week=week_key, stamp=stamp)}"
+    write_json(lines, path)
+    return path

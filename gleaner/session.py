@@ -59,9 +59,12 @@ def drop_work(spark: SparkSession) -> None:
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write the frame to a table in the shared folder and go on from there.
 
-    The table outlives executors, is read by column, and no step before it runs again.
+    The table outlives executors, is read by column, and no step before it runs again. It stays
+    until :func:`drop_work`, or to the end of the :class:`WorkScope` that it is cut in.
     """
     path = work_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -109,6 +112,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+#: The paths that the open scopes have to drop, the innermost last.
+_scopes: list[list[str]] = []
+
+
+class WorkScope:
+    """Drops, when it ends, all tables that were cut in it; what is to be kept is written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> WorkScope:
+        _scopes.append(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self.paths)
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+
 class Scratch:
     """Tables of one run in the shared folder, dropped when the run ends."""
 

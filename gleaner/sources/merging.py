@@ -19,7 +19,7 @@ import json
 import math
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -70,12 +70,12 @@ def due(runs: Iterable[Run]) -> list[Run]:
 
 @dataclass(frozen=True)
 class MergingTable:
-    """A table at ``path``; ``unique`` ones drop repeated rows when they merge."""
+    """A table at ``path``; ``fold`` is applied to the rows of runs that merge, and must not change what the table says."""
 
     path: str
     columns: StructType
     sort: str | None = None
-    unique: bool = False
+    fold: Callable[[DataFrame], DataFrame] | None = None
 
     # -- reading ----------------------------------------------------------
 
@@ -118,14 +118,14 @@ class MergingTable:
     # -- writing ----------------------------------------------------------
 
     def append(self, rows: DataFrame, batch: str, n: int, note: list[int] | None = None) -> None:
-        """Add the ``n`` rows of a batch, in the place of those that the same batch has added last."""
+        """Add the rows of a batch, ``n`` or about so many, in the place of those that the same batch has added last."""
         spark, last = rows.sparkSession, self.manifest(rows.sparkSession)
         again = [r for r in last.runs if r.batch == batch] if last.batch == batch else []
         runs = [r for r in last.runs if r not in again]
         merged: list[Run] = []
         while group := due(runs):
             whole = self._of(spark, [self._folder(r.name) for r in group])
-            run = self._write(whole.dropDuplicates() if self.unique else whole, "", sum(r.rows for r in group))
+            run = self._write(self.fold(whole) if self.fold else whole, "", sum(r.rows for r in group))
             merged += group
             runs = [*(r for r in runs if r not in group), run]
         if n:

@@ -8,11 +8,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from gleaner.functions.dates import week_label
 from gleaner.plans.ingest import Tables, ingest_batch
 from gleaner.session import Scratch
+from gleaner.sources.merging import MergingTable
 from gleaner.sources.postings import read_table
 
 
@@ -85,3 +86,37 @@ def write_weeks(counts: DataFrame, path: str, checkpoint: str, *by: str) -> Stre
         counts.writeStream.outputMode("update").foreachBatch(step)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def week_table(path: str, *by: StructField) -> MergingTable:
+    """Partial counts of micro-batches by week and ``by``, which add up."""
+    columns = StructType([StructField("week_start", DateType()), StructField("week_key", StringType()), *by, StructField("n", LongType())])
+    keys = columns.names[:-1]
+    return MergingTable(path, columns, fold=lambda rows: rows.groupBy(*keys).agg(F.sum("n").alias("n")))
+
+
+def count_weeks(events: DataFrame, ts: str, table: MergingTable, checkpoint: str) -> StreamingQuery:
+    """Count every event in its week, however late it comes, then stop when all is read.
+
+    A micro-batch adds its own counts, a row per week and value at most, and no state is kept
+    between them; :func:`counted_weeks` adds them up. One that is run again takes the place of
+    its first run. Use :func:`weekly_event_counts` where late rows are to be left out instead.
+    """
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
+    keys = table.columns.names[:-1]
+
+    def step(batch: DataFrame, number: int) -> None:
+        start = F.to_date(F.date_trunc("week", ts))
+        dated = batch.filter(F.col(ts).isNotNull()).withColumns({"week_start": start, "week_key": week_label(start)})
+        with Scratch(batch.sparkSession) as scratch:
+            counted = scratch.cut(dated.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "weeks")
+            table.append(counted, f"{stream}-{number}", counted.count())
+
+    return (
+        events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def counted_weeks(spark: SparkSession, table: MergingTable) -> DataFrame:
+    """The counts of all micro-batches."""
+    return table.fold(table.read(spark))

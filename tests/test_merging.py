@@ -4,7 +4,7 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gleaner.session import work_path
 from gleaner.sources import merging
@@ -40,7 +40,7 @@ def test_a_thousand_batches_leave_few_runs():
 
 def test_batches_merge_and_repeats_replace_their_own_run(spark, monkeypatch):
     monkeypatch.setattr(merging, "FAN", 3)
-    table = MergingTable(work_path(spark, "merging"), KEYS, sort="h", unique=True)
+    table = MergingTable(work_path(spark, "merging"), KEYS, sort="h", fold=DataFrame.dropDuplicates)
     assert table.read(spark).count() == 0 and table.among(spark, [1]).count() == 0
     want = set()
     for i in range(10):
@@ -71,7 +71,7 @@ def test_a_reader_of_the_manifest_before_still_finds_its_files(spark, monkeypatc
 def test_a_lookup_reads_few_pages(spark, monkeypatch, files):
     n = 400_000
     monkeypatch.setattr(merging, "FILE_ROWS", -(-n // files))
-    table = MergingTable(work_path(spark, "merging"), KEYS, sort="h", unique=True)
+    table = MergingTable(work_path(spark, "merging"), KEYS, sort="h", fold=DataFrame.dropDuplicates)
     rows = spark.range(n).select(F.concat(F.lit("http://host.example.com/item/"), F.col("id")).alias("url_key")).select(F.xxhash64("url_key").alias("h"), "url_key")
     table.append(rows, "b", n)
     assert len(table.manifest(spark).runs[0].files) == files

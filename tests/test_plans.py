@@ -3,15 +3,16 @@
 import datetime
 import json
 import os
+import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from gleaner import schema
 from gleaner.functions.phrases import Taxonomy
-from gleaner.operators import mining, runs
-from gleaner.plans import analysis, ingest, report
-from gleaner.session import drop_path, path_exists, shared_root, work_path
+from gleaner.operators import mining, rollup, runs, stats
+from gleaner.plans import analysis, ingest, report, upkeep
+from gleaner.session import drop_path, path_exists, read_text, shared_root, work_path
 from gleaner.sources import merging, postings
 from gleaner.streaming import incremental
 
@@ -266,3 +267,114 @@ def test_stream_equals_batch(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_report_is_published_under_its_week_and_as_the_latest(spark):
+    a = analysis.analyze(posting_frame(spark), TAX, F.lit(AS_OF).cast("timestamp"), "2026-W25")
+    folder = work_path(spark, "reports")
+    first = report.publish(report.markdown_lines(a, AS_OF, 2), folder, "2026-W25", TS)
+    second = report.publish(report.markdown_lines(a, AS_OF, 2, title="Another"), folder, "2026-W26", datetime.datetime(2026, 7, 5, 1, 2, 3))
+    assert [os.path.basename(p) for p in (first, second)] == ["skills_report_2026-W25_20260628_120000.md", "skills_report_2026-W26_20260705_010203.md"]
+    latest, before = read_text(spark, f"{folder}/LATEST_SKILLS_REPORT.md"), read_text(spark, first)
+    assert latest == read_text(spark, second) != before and before.startswith("# ") and "| 1 | **Go** | 1 | 50.0% | Lang |" in before
+    assert sorted(n for n in os.listdir(folder.removeprefix("file:")) if not n.startswith(".")) == sorted(
+        ["LATEST_SKILLS_REPORT.md", os.path.basename(first), os.path.basename(second)])
+    path = report.publish_json(report.json_lines(a, AS_OF), folder, "2026-W25", TS)
+    assert spark.read.text(path).filter("section = 'summary'").count() == 1
+
+
+def test_expired_runs_leave_the_disk(spark):
+    t = tables(spark)
+    day = datetime.datetime(2026, 6, 1, 6)
+    started = [day + datetime.timedelta(days=d, hours=h) for d in range(12) for h in (0, 12)]
+    log = spark.createDataFrame([(i, s, "completed") for i, s in enumerate(started)], "run_id long, started_at timestamp, status string")
+    ingest.log_runs(log.withColumn("status", F.lit("running")), t)
+    ingest.log_runs(log, t)
+    ingest.log_runs(spark.createDataFrame([(99, None, "failed")], log.schema), t)
+    border = datetime.datetime(2026, 6, 5, 12)
+    want = sum(s < border for s in started)
+    assert upkeep.drop_expired(spark, t.runs, border + datetime.timedelta(days=30)) == want
+    left = runs.latest_runs(runs.read_events(spark, t.runs)).collect()
+    assert {r.run_id for r in left} == {i for i, s in enumerate(started) if s >= border} | {99}
+    assert all(r.status in ("completed", "failed") for r in left)
+    kept = [n for n in os.listdir(t.runs.removeprefix("file:")) if n.startswith("start_day=2")]
+    assert min(kept) == "start_day=2026-06-05" and len(kept) == 8
+    assert upkeep.drop_expired(spark, t.runs, border + datetime.timedelta(days=30)) == 0
+    assert upkeep.drop_expired(spark, t.runs, datetime.datetime(2027, 1, 1)) == len(started) - want
+    assert [r.run_id for r in runs.read_events(spark, t.runs).collect()] == [99]
+
+
+def rollup_rows(spark):
+    data = [(f"k{i}", ["a", "b", None][i % 3], ["Acme", "", None, "Beta"][i % 4], f"L{i % 5}", f"2026-06-{1 + i % 28:02d}",
+             TS - datetime.timedelta(days=28 - i % 28, minutes=i), i % 7 > 0, [None, "2026-W21", "2026-W22", "2026-W23"][i % 28 // 7]) for i in range(300)]
+    return spark.createDataFrame(data, "url_key string, source_site string, company string, location string, date_posted string, "
+                                       "scraped_at timestamp, is_active boolean, week_key string")
+
+
+def test_rollup_equals_full_scans_and_a_week_rewrites_its_partition(spark):
+    store, path = rollup_rows(spark), work_path(spark, "rollup")
+    rollup.refresh(store, path)
+
+    def files():
+        top = path.removeprefix("file:")
+        return {d: set(os.listdir(os.path.join(top, d))) for d in os.listdir(top) if d.startswith("week_key")}
+
+    def same():
+        kept, now = spark.read.parquet(path), F.lit(AS_OF).cast("timestamp")
+        for one, two in (
+            (rollup.store_stats(kept, "2026-W22"), stats.store_stats(store, "2026-W22")), (rollup.rows_by_source(kept), stats.rows_by_source(store)),
+            (rollup.distribution(kept, "location"), stats.distribution(store, "location")), (rollup.period(kept, now), stats.period(store, now)),
+            (rollup.distribution(kept, "company", "2026-W23", 3), stats.distribution(store, "company", "2026-W23", 3)),
+        ):
+            assert one.columns == two.columns and sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+
+    same()
+    before = files()
+    more = [("new", "a", "Gamma", "L9", "2026-06-27", TS, True, "2026-W23"), ("new2", "c", "Gamma", "L9", "2026-06-28", TS, True, "2026-W25")]
+    store = store.union(spark.createDataFrame(more, store.schema))
+    rollup.refresh(store, path, ["2026-W23", "2026-W25"])
+    after = files()
+    assert {d for d in after if after[d] != before.get(d)} == {"week_key=2026-W23", "week_key=2026-W25"}
+    same()
+    rollup.refresh(store.limit(0), work_path(spark, "rollup"))
+    empty = rollup.weekly_rollup(store.limit(0))
+    assert tuple(rollup.store_stats(empty, "w").first()) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("limit", [1, 9, 100, 1000])
+@pytest.mark.parametrize("source", [None, "b"])
+def test_newest_postings_come_from_few_partitions(spark, limit, source):
+    path = work_path(spark, "postings")
+    rollup_rows(spark).write.partitionBy("week_key").parquet(path)
+    store = spark.read.parquet(path)
+    kept = rollup.weekly_rollup(store)
+    got = rollup.newest(store, kept, limit, source)
+    want = [r.url_key for r in postings.posting_scan(rollup_rows(spark), source, limit=limit).collect()]
+    assert [r.url_key for r in got.collect()] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    if limit == 1:
+        assert set(re.findall("2026-W..", re.search(r"PartitionFilters: \[(.*?)\], Pushed", plan).group(1))) == {"2026-W23"}
+
+
+def test_late_events_are_counted_and_repeated_batches_are_not(spark):
+    root = work_path(spark, "late")
+    weeks = incremental.week_table(f"{root}/out", T.StructField("kind", T.StringType()))
+    landing, now = f"{root}/landing", datetime.datetime(2026, 6, 24, 10)
+    batches = [[(now, "a"), (now, "b")], [(now + datetime.timedelta(days=7), "a")], [(now - datetime.timedelta(days=60), "a"), (now, "a"), (None, "a")]]
+
+    def run(checkpoint):
+        stream = incremental.stream_files(spark, landing, T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("kind", T.StringType())]))
+        incremental.count_weeks(stream, "ts", weeks, checkpoint).awaitTermination()
+
+    def counted():
+        return {(str(r.week_start), r.week_key, r.kind): r.n for r in incremental.counted_weeks(spark, weeks).collect()}
+
+    for rows_of in batches:
+        spark.createDataFrame(rows_of, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(landing)
+        run(f"{root}/checkpoint")
+    want = {("2026-06-22", "2026-W25", "a"): 2, ("2026-06-22", "2026-W25", "b"): 1, ("2026-06-29", "2026-W26", "a"): 1, ("2026-04-20", "2026-W16", "a"): 1}
+    assert counted() == want
+    last = weeks.manifest(spark)
+    again = spark.createDataFrame([(datetime.date(2026, 4, 20), "2026-W16", "a", 1), (datetime.date(2026, 6, 22), "2026-W25", "a", 1)], weeks.columns)
+    weeks.append(again, last.batch, 2)
+    assert counted() == want
