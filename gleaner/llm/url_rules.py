@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleaner.llm.common import packed, with_row_id
 from gleaner.session import cut
 
+#: Up to so many rules are looked up in a table that is part of the plan, row by row.
+FEW_RULES = 500
 #: More rules than this are joined by shuffle instead of being sent to every task.
 BROADCAST_RULES = 50_000
 
@@ -78,23 +80,43 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(has, lowered).otherwise(""), F.when(has, path).otherwise("")
 
 
-def _index(tokens: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``(token, name, verdict, regex, listed)``: each rule under the one of its tokens that the fewest URLs hold.
+def _filed(tokens: DataFrame, rules: Sequence[Rule]) -> list[tuple]:
+    """``(token, name, verdict, regex, listed, length)``: each rule under the one of its tokens that the fewest URLs hold.
 
     Only tokens of rules are counted. A rule without a token is filed under the empty token, which every URL has.
     """
-    spark = tokens.sparkSession
     wanted = sorted({t for r in rules for t in r.tokens})
-    held = spark.createDataFrame([(t,) for t in wanted], "token string")
+    held = tokens.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
     counts = dict(
         tuple(r) for r in tokens.join(_small(held, len(wanted)), "token", "left_semi").groupBy("token").count().collect()
     )
-    rows = [
+    return [
         (min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), r.name, r.verdict, r.regex, r.listed, len(r.name))
         for r in rules
     ]
-    schema = "token string, name string, verdict string, regex string, listed boolean, length int"
-    return spark.createDataFrame(rows, schema)
+
+
+def _order(rule: Callable[[str], Column]) -> Column:
+    """What makes a rule win: host rules first, then the longest, then those that block, then the name."""
+    return F.struct(
+        rule("listed").alias("listed"), rule("length").alias("length"), (rule("verdict") == "block").alias("blocks"),
+        rule("name").alias("name"), rule("verdict").alias("verdict"),
+    )
+
+
+def _won(address: Column, tokens: Column, filed: list[tuple]) -> Column:
+    """The winner among the rules that a row's tokens fetch and that fit; null if none does."""
+    by_token: dict[str, list[tuple]] = {}
+    for token, *rule in filed:
+        by_token.setdefault(token, []).append(rule)
+    names = ("name", "verdict", "regex", "listed", "length")
+    entries = [
+        F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in found]) for found in by_token.values()
+    ]
+    table = F.map_from_arrays(F.array(*map(F.lit, by_token)), F.array(*entries))
+    known = F.filter(tokens, lambda t: t.isin(*by_token))
+    fits = F.filter(F.flatten(F.transform(known, lambda t: table[t])), lambda r: F.rlike(address, r["regex"]))
+    return F.array_max(F.transform(fits, lambda r: _order(lambda n: r[n])))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -108,17 +130,25 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", carry
     expression. Host rules (``listed``) go before patterns, then the longest rule wins, then
     block before allow, then the name. ``rule`` names a host rule, ``pattern`` a pattern.
     Without any fitting rule, as for a null URL or one without ``://``, the verdict is ``default``.
+    Few rules are looked up within a row, and only their tokens are counted by a shuffle; more are joined.
+    An empty table gives an empty result, and repeated rows are rows of their own.
     """
     host, path = host_and_path(F.col("url"))
-    narrow = with_row_id(pages.select(packed(carry).alias("page"), host.alias("host"), path.alias("path")), "urls")
+    rows = pages.select(packed(carry).alias("page"), host.alias("host"), path.alias("path"))
     address = F.concat(F.lit("//"), "host", "path")
-    own = F.array_distinct(F.regexp_extract_all(address, F.lit(_TOKEN), F.lit(0)))
-    tokens = narrow.select("row", address.alias("address"), F.explode(F.array_append(own, F.lit(""))).alias("token"))
-    index = _index(tokens, rules)
-    fits = tokens.join(_small(index, len(rules)), "token").filter(F.expr("address rlike regex"))
-    order = F.struct("listed", "length", (F.col("verdict") == "block").alias("blocks"), "name", "verdict")
-    winners = cut(fits.groupBy("row").agg(F.max(order).alias("won")), "url-verdicts")
-    return narrow.join(winners, "row", "left").select(
+    own = F.array_append(F.array_distinct(F.regexp_extract_all(address, F.lit(_TOKEN), F.lit(0))), F.lit(""))
+    if len(rules) <= FEW_RULES:
+        filed = _filed(rows.select(F.explode(own).alias("token")), rules)
+        won = _won(address, own, filed) if filed else F.lit(None).cast("struct<listed:boolean,length:int,blocks:boolean,name:string,verdict:string>")
+        judged = rows.withColumn("won", won)
+    else:
+        narrow = with_row_id(rows, "urls")
+        tokens = narrow.select("row", address.alias("address"), F.explode(own).alias("token"))
+        schema = "token string, name string, verdict string, regex string, listed boolean, length int"
+        index = pages.sparkSession.createDataFrame(_filed(tokens, rules), schema)
+        fits = tokens.join(_small(index, len(rules)), "token").filter(F.expr("address rlike regex"))
+        judged = narrow.join(cut(fits.groupBy("row").agg(F.max(_order(F.col)).alias("won")), "url-verdicts"), "row", "left")
+    return judged.select(
         "page", "host", "path", F.when(F.col("won.listed"), F.col("won.name")).alias("rule"),
         F.when(~F.col("won.listed"), F.col("won.name")).alias("pattern"),
         F.coalesce("won.verdict", F.lit(default)).alias("verdict"),

@@ -37,7 +37,10 @@ def slow_rule(host, path):
     return max(fits, key=lambda f: len(f[0]), default=(None, None))
 
 
-def test_urls_equal_brute_force(spark):
+@pytest.mark.parametrize("few, sent", [(500, 50_000), (0, 50_000), (0, 0)])
+def test_urls_equal_brute_force(spark, monkeypatch, few, sent):
+    monkeypatch.setattr(url_rules, "FEW_RULES", few)
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", sent)
     rng = random.Random(6)
     hosts = ["example.org", "EXAMPLE.org", "a.example.org", "notexample.org", "org", "com", "b.com:80", "x.spam-farm.net", "spam-farm.net", "u@c.com", ""]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/148", "/en/2", "/fr/x", "/de/", "/ES/", "/docs/login", "/login", "/a/login/b", "/mylogin", "/tag/x/page"]
@@ -59,6 +62,8 @@ def test_urls_equal_brute_force(spark):
             assert (r.pattern, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
     assert url_rules.judge(pages.limit(0), rules).collect() == []
     assert {r.verdict for r in url_rules.judge(pages, []).collect()} == {"allow"}
+    plan = url_rules.judge(pages, rules)._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (few == 0)
 
 
 def test_only_whole_tokens_index_a_rule():
@@ -195,7 +200,7 @@ def test_query_beside_its_sql(spark, con, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_stages_keep_columns_on_odd_rows(spark, tmp_path):
