@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ SPLIT = regex.compile(
 )
 #: Pre-tokens whose count a task keeps in mind, and the longest of them.
 _REMEMBERED, _LONGEST = 1 << 19, 256
-#: Bytes of pre-tokens that are merged at once.
-_BATCH = 1 << 22
+#: Bytes of pre-tokens that are merged at once, and the least bytes of one that is merged by a work list.
+_BATCH, _LONG = 1 << 22, 4096
 
 
 def _byte_letters() -> list[str]:
@@ -64,8 +65,14 @@ class Merges:
 
         All words lie one after the other in one array. In each round every word has its
         lowest-ranked pair merged wherever it stands, all words at the same time; words in
-        which no pair can be merged leave the array.
+        which no pair can be merged leave the array. Long words, which would keep many rounds
+        going for a few merges each, have a list of their own.
         """
+        if any(len(w) >= _LONG for w in words):
+            out = np.array([self._long(w) if len(w) >= _LONG else 0 for w in words], np.int64)
+            short = [i for i, w in enumerate(words) if len(w) < _LONG]
+            out[short] = self.symbols([words[i] for i in short])
+            return out
         sizes = np.array([len(w) for w in words], np.int64)
         out = np.zeros(len(words), np.int64)
         word = np.repeat(np.arange(len(words)), sizes)
@@ -93,6 +100,57 @@ class Merges:
             rank[fresh], become[fresh] = self._look_up(symbol, word, fresh)
         return out
 
+    def _long(self, data: bytes) -> int:
+        """How many symbols are left of a long word.
+
+        Places of pairs wait in lists by rank. The lowest rank's list is merged at once, and the
+        pairs that come out of that join the lists of their ranks, so a round touches what it
+        merges and its neighbours only.
+        """
+        n, none = len(data), len(self.pairs)
+        symbol = np.append(self.first[np.frombuffer(data, np.uint8)], 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # the place n stands for the end
+        rank, become = np.full(n + 1, none), np.zeros(n + 1, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            pair = symbol[at] << 32 | symbol[after[at]]
+            found = np.minimum(np.searchsorted(self.pairs, pair), none - 1)
+            fits = (self.pairs[found] == pair) & (after[at] < n)
+            rank[at], become[at] = np.where(fits, self.ranks[found], none), self.become[found]
+            at = at[fits]
+            at = at[np.argsort(rank[at], kind="stable")]
+            borders = np.flatnonzero(np.diff(rank[at])) + 1
+            for places in np.split(at, borders) if len(at) else ():
+                r = int(rank[places[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(places)
+
+        file(np.arange(n))
+        left = n
+        while ranks:
+            r = heappop(ranks)
+            merge = np.unique(np.concatenate(waiting.pop(r)))
+            merge = merge[rank[merge] == r]
+            if not len(merge):
+                continue
+            # in a run such as "aaa" a symbol joins one pair only, the first
+            head = np.concatenate(([True], after[merge[:-1]] != merge[1:]))
+            place = np.arange(len(merge))
+            merge = merge[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0]
+            gone = after[merge]
+            symbol[merge] = become[merge]
+            rank[gone] = none
+            after[merge] = after[gone]
+            before[after[merge]] = merge
+            left -= len(merge)
+            fresh = np.concatenate((merge, before[merge]))
+            file(np.unique(fresh[fresh >= 0]))
+        return left
+
     def _look_up(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and outcome of the pairs that begin at these places; the rank is past the list where none can be merged."""
         after = np.minimum(at + 1, len(symbol) - 1)
@@ -168,7 +226,8 @@ def token_counts(docs: DataFrame, vocabulary: str, carry: Sequence[str] = ("doc_
     library; the driver reads it and the tasks get the merge list, whose size the file fixes.
     The work is one pass without a shuffle. A task merges each distinct pre-token once, as
     long as it is in its bounded memory. No tokens are added, cut or padded; special strings in
-    a text count as one token, as the library does by default. Null texts count as empty.
+    a text count as one token, as the library does by default. Null texts count as empty, an
+    empty table gives an empty result, and repeated rows are rows of their own.
     """
     merges = docs.sparkSession.sparkContext.broadcast(Merges.read(vocabulary))
     rows = docs.select(packed(carry).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))

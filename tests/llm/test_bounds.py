@@ -5,11 +5,15 @@ import resource
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from gleaner.llm import decontaminate, extraction
+from gleaner.llm import decontaminate, extraction, tokens
 from tests.llm import helpers
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def matches_by_hand(words, items, window):
     best, found = 0, set()
@@ -138,3 +142,22 @@ def test_training_takes_no_page_beyond_its_bound(spark):
     assert np.array_equal(extraction.train(pages, longest=10).weights, extraction.fit(extraction.unmarked_trees([])).weights)
     assert np.array_equal(extraction.train(pages, longest=1000).weights, extraction.fit(extraction.unmarked_trees([rows[1][2]])).weights)
     assert np.array_equal(extraction.train(pages).weights, extraction.fit(extraction.training_trees([rows[0][2]])).weights)
+
+
+# -- token counts
+
+
+def test_long_words_merge_as_short_ones_do():
+    merges, rng = tokens.Merges.read(VOCABULARY), random.Random(7)
+    parts = ["a", "b", "the", "ing", "é", "漢", "lllll", "xyz", "0"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))).encode() for _ in range(500)] + [b"a" * k for k in range(1, 40)]
+    assert [merges._long(w) for w in words] == merges.symbols(words).tolist()
+
+
+def test_a_gapless_text_takes_seconds():
+    library, rng = Tokenizer.from_file(VOCABULARY), random.Random(1)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2_000_000))
+    start = time.process_time()
+    counted = tokens.Merges.read(VOCABULARY).count([text, "a word " + text[:5000]])
+    assert time.process_time() - start < 20
+    assert counted == [len(library.encode(t, add_special_tokens=False).ids) for t in (text, "a word " + text[:5000])]
