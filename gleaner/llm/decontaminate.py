@@ -300,7 +300,8 @@ def _benchmark_blocks(benchmark: DataFrame, window: int, block_words: int) -> It
     """The blocks of the benchmark, formed by Spark and written; the driver gets one at a time to send it on."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = named.repartition(max(1, -(-size // (8 * block_words))), "item_id", "text")
+    # each block is a pass over all documents, so small parts are put together; five bytes and more make a word
+    parts = named.coalesce(max(1, -(-size // (5 * block_words))))
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i, t) for b in batches for part in pieces([b], "text") for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True))
