@@ -158,9 +158,10 @@ select cast(floor(event_id / 10) as bigint) as run_id, min(ts) as started_at, ma
 from {events} group by cast(floor(event_id / 10) as bigint)
 """
 
-# Customers as postings on one page per nation, in the markup of a board.
+# Customers as postings in the markup of a board: a page holds those of a nation among 2,500 in turn, so that pages
+# grow in number and not in length.
 CARDS = """
-select c_nationkey as page_id, c_custkey as k, c_name as name, c_mktsegment as segment, c_custkey % 3 as kind,
+select cast(c_nationkey + 25 * floor(c_custkey / 2500) as bigint) as page_id, c_custkey as k, c_name as name, c_mktsegment as segment, c_custkey % 3 as kind,
        cast(c_custkey % 9 as string) as days
 from {customer}
 """

@@ -189,7 +189,7 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _card_rows(spark: SparkSession, sf_dir: str, host: str, markup: str) -> DataFrame:
-    """Cards of a nation laid out on one page of a board, through the built-in layout of that board."""
+    """Cards laid out on pages of a board, 2,500 on one at most, through the built-in layout of that board."""
     cards = _cards(spark, sf_dir).withColumn("card", F.expr(markup))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "\n")
     raw = cards.groupBy("page_id").agg(body.alias("html"))

@@ -136,43 +136,71 @@ def _by_layout(layouts: Mapping[str, ListingRules], layout: Column, build) -> Co
     return out
 
 
+#: Pieces whose lengths are summed up one by one; sums of whole blocks are kept.
+_BLOCK = 128
+
+
+def _offsets(pieces: Column) -> Column:
+    """Where each piece begins in what they make up together, with a bounded number of additions for each."""
+
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+    def running(sizes: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")),
+            lambda b: total(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))),
+        )
+
+        def before(sums: Column) -> Column:
+            def one(_: Column, i: Column) -> Column:
+                block = F.floor(i / _BLOCK).cast("int")
+                return total(F.slice(sums, F.lit(1), block)) + total(F.slice(sizes, block * _BLOCK + 1, i % _BLOCK))
+
+            return F.transform(sizes, one)
+
+        return let(blocks, before)
+
+    return let(F.transform(pieces, F.length), running)
+
+
+def _to_end_tag(part: Column, tag: Column) -> Column:
+    """Markup from a start tag to its end tag, or all of it if that does not come."""
+    tags = F.split(part, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>/])")))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        closed = (depth == 0) & (state["end"] < 0)
+        end = state["pos"] + F.length(F.regexp_extract(piece, r"^</[^>]*>", 0))
+        return F.struct(
+            depth.alias("depth"), (state["pos"] + F.length(piece)).alias("pos"), F.when(closed, end).otherwise(state["end"]).alias("end")
+        )
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(-1).alias("end"))
+    end = F.aggregate(tags, begin, step, lambda state: state["end"])
+    return let(end, lambda e: F.when(e < 0, part).otherwise(F.substring(part, F.lit(1), e)))
+
+
 def _outer(html: Column, start: str) -> Column:
-    """Place and markup ``(begin, text)`` of every container."""
+    """Place and markup ``(begin, text)`` of every container.
+
+    The page is cut before each container, and each cut is read once on its own, with the depth of its
+    tags as a running number, so that the time grows with the length of the page.
+    """
+    pattern = start.removeprefix("(?is)")
     found = F.regexp_extract_all(html, F.lit(start), F.lit(0))
     tags = F.array_distinct(F.transform(found, lambda t: F.lower(F.regexp_extract(t, r"^<(\w+)", 1))))
-    at_start = "(?is)^(?:" + start.removeprefix("(?is)") + ")"
+    at_start = F.lit(f"(?is)^(?:{pattern})")
 
     def of_tag(tag: Column) -> Column:
-        pieces = F.split(html, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>/])")))
-
-        def step(state: Column, piece: Column) -> Column:
-            depth, text, done = state["depth"], state["text"], state["done"]
-            begins = F.rlike(piece, F.lit(at_start))
-            closes = F.startswith(piece, F.lit("</"))
-            after = depth + F.when(closes, -1).otherwise(1)
-            ended = (depth > 0) & (begins | (after == 0))
-            end_tag = F.regexp_extract(piece, r"^</[^>]*>", 0)
-            whole = F.when(begins, text).otherwise(F.concat(text, end_tag))
-            one = F.struct(state["begin"].alias("begin"), whole.alias("text"))
-            return F.struct(
-                F.when(begins, 1).when(depth == 0, 0).otherwise(after).alias("depth"),
-                F.when(begins, state["pos"]).otherwise(state["begin"]).alias("begin"),
-                F.when(begins, piece).when((depth == 0) | ended, "").otherwise(F.concat(text, piece)).alias("text"),
-                F.when(ended, F.array_append(done, one)).otherwise(done).alias("done"),
-                (state["pos"] + F.length(piece)).alias("pos"),
-            )
-
-        start_state = F.struct(
-            F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit("").alias("text"),
-            F.array().cast("array<struct<begin:int,text:string>>").alias("done"), F.lit(0).alias("pos"),
-        )
-        last = lambda end: F.struct(end["begin"].alias("begin"), end["text"].alias("text"))
-        return F.aggregate(
-            pieces,
-            start_state,
-            step,
-            lambda end: F.when(end["depth"] > 0, F.array_append(end["done"], last(end))).otherwise(end["done"]),
-        )
+        here = F.concat(F.lit("(?i)^<"), tag, F.lit(r"[\s>/]"))
+        cuts = F.split(html, F.concat(F.lit("(?is)(?=<"), tag, F.lit(rf"[\s>/])(?={pattern})")))
+
+        def placed(pieces: Column) -> Column:
+            return F.zip_with(pieces, _offsets(pieces), lambda p, b: F.struct(b.alias("begin"), p.alias("text")))
+
+        starts = F.filter(let(cuts, placed), lambda x: F.rlike(x["text"], at_start) & F.rlike(x["text"], here))
+        return F.transform(starts, lambda x: F.struct(x["begin"].alias("begin"), _to_end_tag(x["text"], tag).alias("text")))
 
     return F.flatten(F.transform(tags, of_tag))
 

@@ -1,6 +1,9 @@
 """Feeds, listing pages, targets, validity."""
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +132,47 @@ def test_unclosed_containers(spark):
     assert (one.title, one.job_url, two.title, two.job_url) == ("J1", "https://y.org/1", "J2", "https://y.org/2")
 
 
+def slow_containers(html):
+    """Containers <div class="job"> and <p class="job"> by walking the tags: to the end tag or to the next one of its name."""
+    found = []
+    for name in ("div", "p"):
+        tags = list(re.finditer(rf"(?i)<(/?){name}(?=[\s>/])[^>]*>", html))
+        starts = [i for i, t in enumerate(tags) if not t[1] and "job" in t[0]]
+        for k, i in enumerate(starts):
+            end = tags[starts[k + 1]].start() if k + 1 < len(starts) else len(html)
+            depth = 0
+            for t in tags[i:]:
+                depth += -1 if t[1] else 1
+                if t.start() >= end or depth == 0:
+                    end = min(end, t.end())
+                    break
+            found.append((tags[i].start(), html[tags[i].start():end]))
+    return [text for _, text in sorted(found)]
+
+
+def test_containers_of_tag_soup(spark):
+    draw = random.Random(5)
+    parts = ["<div>", "</div>", "</DIV >", '<div class="job">', '<p class="job x">', "<p>", "</p>", "\u00e9t\u00e9 ", "<b>x</b>", "<divx>", "</px>", "\n"]
+    soups = ["".join(draw.choices(parts, k=draw.randrange(60))) for _ in range(300)] + ["".join(draw.choices(parts, k=5000)), "", "<div", '<p class="job">']
+    rules = {"x": pages.ListingRules(container=pages.start_tag("div|p", "job"), title=pages.element("b"))}
+    df = spark.createDataFrame(list(enumerate(soups)), "n int, html string").withColumn("url", F.lit("http://a.com/"))
+    rows = pages.page_listings(df, F.lit("x"), F.lit(AS_OF).cast("timestamp"), rules).orderBy("n", "pos").collect()
+    for n, soup in enumerate(soups):
+        assert [r.raw_html for r in rows if r.n == n] == slow_containers(soup)
+
+
+def test_long_pages_take_time_by_their_length(spark):
+    card = '<div class="job"><div><h3>Post</h3></div><div></div><span class="company">A</span><a href="/j">go</a></div>\n'
+    took = []
+    for n in (5_000, 5_000, 40_000):  # 0.5 MB, again when warm, and 4 MB
+        df = spark.createDataFrame([("https://cards.example.org/l", card * n)], "url string, html string")
+        begin = time.perf_counter()
+        rows = pages.page_listings(df, F.lit("generic"), F.lit(AS_OF).cast("timestamp"))
+        assert rows.agg(F.count("*"), F.max("pos"), F.count_if(F.col("title") == "Post")).first()[:] == (n, n - 1, n)
+        took.append(time.perf_counter() - begin)
+    assert took[2] < 8 * 2.5 * max(took[1], 0.5)
+
+
 def test_rules_from_config(spark):
     rules = pages.rules_from_config({"x": {"container": pages.start_tag("li"), "title": pages.element("b")}})
     df = spark.createDataFrame([("http://a.com/", "<li><b>one</b></li><li><b>two</b></li>")], "url string, html string")
