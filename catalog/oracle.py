@@ -368,6 +368,13 @@ ORACLE: dict[str, str] = {
 select part_key, cast(pos as bigint) as pos, tag1 || ', ' || tag2 as tags, part_key % 5 = 0 as late,
        case when part_key % 5 = 0 then repeat('filler ', 900) || description || ' late' else description end as description
 from ({FEED_ROWS})""",
+    "q_feed_unknown": f"""
+select field, kind, count(*) as n, count(distinct value) as values, max(value) as last from (
+  select 'pay_from' as field, 'BIGINT' as kind, cast(part_key as varchar) as value from ({FEED})
+  union all select 'verified', 'BOOLEAN', case when part_key % 2 = 0 then 'true' else 'false' end from ({FEED})
+  union all select 'staff', 'OBJECT<lead: STRING, team: ARRAY<STRING>>', company from ({FEED})
+  union all select 'logo', 'STRING', tag2 from ({FEED}) where part_key % 3 = 0)
+group by field, kind""",
     "q_feed_broken": f"""
 select case part_key % 4 when 0 then 'whole' when 1 then 'cut' when 2 then 'markup' else 'object' end as kind,
        cast(sum(case when part_key % 4 = 0 and kind <> 'ECONOMY' then 2 else 1 end) as bigint) as n, count(*) filter (where part_key % 4 <> 0) as unparsed

@@ -115,6 +115,21 @@ def q_feed_postings(spark, sf_dir):
     )
 
 
+@query
+def q_feed_unknown(spark, sf_dir):
+    """Fields that postings have no column for, by name and type: numbers, flags, objects and texts."""
+    more = [
+        F.col("part_key").alias("pay_from"), (F.col("part_key") % 2 == 0).alias("verified"),
+        F.struct(F.col("tag1").alias("lead"), F.array("tag2", "company").alias("team")).alias("staff"),
+        F.when(F.col("part_key") % 3 == 0, F.col("tag2")).alias("logo"),
+    ]
+    one = F.to_json(F.struct("position", "company", "description", *more))
+    bodies = frame(spark, sf_dir, inputs.FEED).select("part_key", F.concat(F.lit("["), one, F.lit("]")).alias("body"))
+    found = feeds.unknown_fields(feeds.feed_entries(bodies))
+    value = F.coalesce(F.try_variant_get("value", "$.team[1]", "string"), F.try_variant_get("value", "$", "string"))
+    return found.groupBy("field", "kind").agg(F.count("*").alias("n"), F.countDistinct(value).alias("values"), F.max(value).alias("last"))
+
+
 @query
 def q_feed_raw(spark, sf_dir):
     raw = F.col("raw_html")

@@ -15,6 +15,7 @@ def build_session(app: str = "gleaner", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)

@@ -82,23 +82,44 @@ def pack_raw(entry: Column, tags: Column) -> Column:
     return F.concat(whole, F.when(F.size(tags) > 0, listed).otherwise(""))
 
 
+def _read_entries(entries: DataFrame, entry: str) -> DataFrame:
+    """The rows with the entry as a tree ``_fields``, null if it is none. The generator lets it be read only once."""
+    return entries.select(*entries.columns, F.explode(F.array(F.try_parse_json(F.col(entry)))).alias("_fields"))
+
+
+def unknown_fields(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """A row for each field of an entry that posting rows have no column for: ``field``, its type ``kind``, and ``value``.
+
+    The type is that of the value, ``VOID`` for a null; ``value`` keeps it as a VARIANT. Entries that are no
+    record have no rows.
+    """
+    others = [c for c in entries.columns if c not in (entry, "broken")]
+    records = _read_entries(entries.select(*others, entry).filter(F.startswith(entry, F.lit("{"))), entry).drop(entry)
+    each = records.sparkSession.tvf.variant_explode(F.col("_fields").outer()).select(F.col("key").alias("field"), "value")
+    unknown = records.lateralJoin(each).filter(~F.col("field").isin(schema.FEED_ENTRY.names))
+    return unknown.select(*others, "field", F.schema_of_variant("value").alias("kind"), "value")
+
+
 def feed_postings(
     entries: DataFrame, entry: str = "entry", base: str = DETAIL_URL, source_site: str = FEED_SOURCE
 ) -> DataFrame:
-    """Feed entries as posting rows; ``unparsed`` marks broken bodies and entries without a usable record."""
+    """Feed entries as posting rows; ``unparsed`` marks broken bodies and entries without a usable record.
+
+    An entry is read as a typed tree. One that names a field twice has no usable record, unless the session sets
+    ``spark.sql.variant.allowDuplicateKeys``, as :func:`gleaner.session.build_session` does: then the last one counts.
+    """
     others = [c for c in entries.columns if c not in (entry, "broken")]
     broken = F.col("broken") if "broken" in entries.columns else F.lit(False)
-    # inline: the entry is parsed once, whatever is asked of its fields later.
-    fields = F.inline(F.array(F.from_json(F.col(entry), schema.FEED_ENTRY)))
-    names = {f.name: f"_{f.name}" for f in schema.FEED_ENTRY}
-    parsed = entries.select(*others, entry, broken.alias("_broken"), fields.alias(*names.values()))
-    e = {name: F.col(column) for name, column in names.items()}
+    parsed = _read_entries(entries.select(*others, entry, broken.alias("_broken")), entry)
+    e = {f.name: F.try_variant_get("_fields", f"$.{f.name}", f.dataType.simpleString()) for f in schema.FEED_ENTRY}
 
     # A name given as an explicit null breaks the record; an absent one is blank.
-    nulled = F.rlike(entry, F.lit(r'"(position|company|description)"\s*:\s*null\b'))
-    missing = e["position"].isNull() | e["company"].isNull() | e["description"].isNull()
-    no_tags = e["tags"].isNull() & (blank_if_null(e["location"]) == "") & F.rlike(entry, F.lit(r'"tags"\s*:\s*null\b'))
-    unparsed = F.col("_broken") | ~F.startswith(entry, F.lit("{")) | (missing & nulled) | no_tags
+    def null_given(name: str) -> Column:
+        return F.coalesce(F.is_variant_null(F.try_variant_get("_fields", f"$.{name}", "variant")), F.lit(False))
+
+    nulled = null_given("position") | null_given("company") | null_given("description")
+    no_tags = null_given("tags") & (blank_if_null(e["location"]) == "")
+    unparsed = F.col("_broken") | F.col("_fields").isNull() | ~F.startswith(entry, F.lit("{")) | nulled | no_tags
     return parsed.select(
         *others,
         strip(e["position"]).alias("title"),

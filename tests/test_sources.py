@@ -42,6 +42,26 @@ def test_feed_fields(spark):
     assert not row.unparsed
 
 
+def test_feed_tells_nulls_from_absences(spark):
+    whole = {"position": "Dev", "company": "A", "slug": "s"}
+    inside = {**whole, "meta": {"company": None, "tags": None}, "description": 'says "company": null'}
+    entries = [whole, inside, {**whole, "company": None}, {**whole, "tags": None}, {**whole, "tags": None, "location": "X"}, {**whole, "description": None}]
+    assert [r.unparsed for r in feed(spark, *entries).orderBy("pos").collect()] == [False, False, True, True, False, True]
+    twice = spark.createDataFrame([('[{}, {"position": "One", "position": "Two", "company": "A", "id": 7}, "text", [1], 5, null]',)], "body string")
+    rows = feeds.feed_postings(feeds.feed_entries(twice)).orderBy("pos").collect()
+    assert [(r.title, r.unparsed) for r in rows] == [("Two", False), ("", True), ("", True), ("", True), ("", True)]
+
+
+def test_unknown_fields_keep_their_type(spark):
+    body = '[{"legal": "x"}, {"position": "Dev", "n": 5, "x": 1.5, "on": true, "o": {"a": [1]}, "z": null}, {"id": 1}, "text"]'
+    found = feeds.unknown_fields(feeds.feed_entries(spark.createDataFrame([(1, body), (2, "no json"), (3, None)], "k int, body string")))
+    kinds = {r.field: (r.k, r.pos, r.kind) for r in found.select("k", "pos", "field", "kind").collect()}
+    assert kinds == {
+        "n": (1, 1, "BIGINT"), "x": (1, 1, "DECIMAL(2,1)"), "on": (1, 1, "BOOLEAN"), "o": (1, 1, "OBJECT<a: ARRAY<BIGINT>>"), "z": (1, 1, "VOID"),
+    }
+    assert found.filter("field = 'o'").select(F.try_variant_get("value", "$.a[0]", "int")).first()[0] == 1
+
+
 def test_feed_keeps_the_whole_entry(spark):
     row = feed(spark, {"position": "Dev", "company": "A", "tags": ["go"], "description": "x" * 9000 + " kubernetes", "slug": "s"}).first()
     assert "kubernetes" in row.raw_html and row.raw_html.endswith("\n<!-- TAGS: go -->")
