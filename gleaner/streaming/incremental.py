@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from gleaner.functions.dates import week_label
+from gleaner.operators import dedup
 from gleaner.plans.ingest import Tables, ingest_batch
 from gleaner.session import Scratch
 from gleaner.sources.merging import MergingTable
@@ -25,6 +26,18 @@ def stream_files(spark: SparkSession, path: str, columns: StructType, bytes_per_
     return reader.parquet(path)
 
 
+def without_repeats(rows: DataFrame, seen: str, horizon: str, place: Sequence[str]) -> DataFrame:
+    """Streamed posting rows, less those whose URL key has come within ``horizon`` of event time ``seen`` before.
+
+    The state holds the keys of the horizon and no more; older ones are known from the stored table only. Rows
+    without a key are told apart by ``place``. Which of several copies in one micro-batch stays is open. Every row
+    is shuffled by its key, so this pays where most rows are repeats; it does not replace the check of the stored table.
+    """
+    keyed = dedup.with_url_key(rows).withWatermark(seen, horizon)
+    alone = F.when(F.col("url_key") == "", F.struct(*place))
+    return keyed.withColumn("_alone", alone).dropDuplicatesWithinWatermark(["url_key", "_alone"]).drop("_alone", "url_key")
+
+
 def ingest_stream(
     landed: DataFrame,
     parse: Callable[[DataFrame], DataFrame],
@@ -32,20 +45,26 @@ def ingest_stream(
     checkpoint: str,
     clock: Callable[[], datetime],
     order_by: Sequence[str],
+    seen: str | None = None,
+    horizon: str = "1 day",
 ) -> StreamingQuery:
     """Parse and ingest every micro-batch with the code of the batch path, then stop when all is read.
 
     Deduplication is against the stored table, so there is no state that grows. What a
     micro-batch has settled is staged under its number until all of it is written, and the last
     one that was is known by its number, so one that is run again ends as if it had run once.
+
+    With ``seen``, a column of event times that ``parse`` keeps, repeats within ``horizon`` are dropped before
+    they reach a micro-batch (:func:`without_repeats`): they are not staged, looked up or audited.
     """
+    rows = without_repeats(parse(landed), seen, horizon, order_by) if seen else landed
     stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, number: int) -> None:
-        ingest_batch(parse(batch), tables, clock(), order_by, f"{stream}-{number}")
+        ingest_batch(batch if seen else parse(batch), tables, clock(), order_by, f"{stream}-{number}")
 
     return (
-        landed.writeStream.foreachBatch(step)
+        rows.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -265,6 +265,37 @@ def test_stream_equals_batch(spark):
     assert postings.read_store(spark, t.postings).count() == 8
 
 
+def test_repeats_within_the_horizon_do_not_reach_a_micro_batch(spark):
+    landing, checkpoint, t, batch = work_path(spark, "landing"), work_path(spark, "cp"), tables(spark), tables(spark)
+    kind = "pos long, url string, seen timestamp"
+
+    def parse(df):
+        return df.select(
+            "pos", F.lit("a title").alias("title"), *[F.lit("").alias(c) for c in ("company", "location", "salary_range", "date_posted", "raw_html")],
+            F.col("url").alias("job_url"), F.lit("s").alias("source_site"), "seen",
+        )
+
+    reached, states, position = [], [], 0
+    for day in range(6):  # each day ten new addresses, those of the day before, and one of the first day, each spelt twice; blank ones all stay
+        urls = [f"http://a.com/{d}/{i}" for d in {day, max(day - 1, 0)} for i in range(10)] + ["http://a.com/0/0"]
+        urls = urls + [u + "#x" for u in urls] + ["", ""]
+        rows = [(position + i, u, datetime.datetime(2026, 6, 1 + day, 12)) for i, u in enumerate(urls)]
+        position += len(rows)
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(kind).parquet(landing)
+        query = incremental.ingest_stream(stream, parse, t, checkpoint, lambda: TS, ["pos"], seen="seen", horizon="36 hours")
+        query.awaitTermination()
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        states.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress))
+        assert sum(p["numInputRows"] for p in progress) == len(rows)
+        audit = ingest.audit_table(t).manifest(spark).note
+        reached.append(sum(audit))
+    ingest.ingest_batch(parse(spark.read.parquet(landing)), batch, TS, ["pos"])
+    stored = [sorted(r.url_key for r in postings.read_store(spark, x.postings).collect()) for x in (t, batch)]
+    assert stored[0] == stored[1] == sorted(f"http://a.com/{d}/{i}" for d in range(6) for i in range(10))
+    assert max(reached) <= 10 + 1 + 2 and max(states) <= 3 * 13 + 10  # the address of the first day comes once more when its time has passed
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
