@@ -19,8 +19,12 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 64
-#: A bucket with more fingerprints than this is linked through midpoints instead of pairs.
+#: A bucket with more fingerprints than this is divided by a third segment.
 DENSE = 512
+#: One that then has more entries than this many times as many is linked through midpoints instead of pairs.
+LONGER = 8
+#: A fingerprint that more than one row in so many shares is looked up without a shuffle.
+HOT = 1000
 
 
 def _bit_counts(words: list[bytes], n: int) -> tuple[np.ndarray, int]:
@@ -84,9 +88,10 @@ def links(prints: DataFrame, most: int = 4, segments: int = 5, dense: int = DENS
     itself up and once more for each set bit it may have alone. The longer chains are checked
     on the pairs that meet, and the last chain is the full Hamming distance.
 
-    A lookup meets at most ``dense`` fingerprints. In fuller buckets, all that are filed or
-    look up there are linked by the points within ``most`` / 2 bits of each: two fingerprints
-    have a common one exactly if they differ in at most ``most`` bits, so one link to the
+    A lookup meets at most ``dense`` fingerprints. In fuller buckets, the chain grows to three segments, which
+    may differ in two bits: both sides clear the bits they may have alone in the third segment too, and meet under
+    what they have in common (:func:`_third`). What is still too full is linked by the points within ``most`` / 2 bits of
+    each fingerprint: two have a common one exactly if they differ in at most ``most`` bits, so one link to the
     smallest at each point keeps all connections.
     """
     if not most < segments <= 2 * most or most % 2:
@@ -101,7 +106,7 @@ def links(prints: DataFrame, most: int = 4, segments: int = 5, dense: int = DENS
         "fp", F.expr(f"explode(filter(array({', '.join(entries)}), e -> (fp & e.bit) = e.bit)) as e")
     ).selectExpr("fp", "e.start as start", "fp & e.chain & ~e.bit as key", "e.bit = 0 as own")
     filed = keyed.filter("own").select("start", "key", F.col("fp").alias("b"))
-    full = cut(filed.groupBy("start", "key").count().filter(F.col("count") > dense).select("start", "key"), "dense-buckets")
+    full = cut(_fuller(filed, dense), "dense-buckets")
     lookups = keyed.select("start", "key", F.col("fp").alias("a"), "own")
 
     chains = []
@@ -112,12 +117,22 @@ def links(prints: DataFrame, most: int = 4, segments: int = 5, dense: int = DENS
             if n > 1:
                 tests.append(f"bit_count((a ^ b) & {_signed(mask)}L) <= {(n + 1) * most // segments}")
         chains.append(f"(start = {i} and {' and '.join(tests)})")
+    near = F.expr(" or ".join(chains))
     thin = lookups.join(full, ["start", "key"], "left_anti").join(filed, ["start", "key"])
-    pairs = thin.filter(F.expr("(not own or a < b)")).filter(F.expr(" or ".join(chains))).select("a", "b")
+    pairs = thin.filter(F.expr("(not own or a < b)")).filter(near).select("a", "b")
 
     if full.isEmpty():
         return pairs
-    crowd = cut(lookups.join(full, ["start", "key"], "left_semi").select("a").distinct(), "dense-prints")
+    longer = cut(_third(lookups.join(full, ["start", "key"], "left_semi"), ring, 3 * most // segments), "longer-chains")
+    met = longer.filter("cleared < 2").select("start", "key", F.col("a").alias("b"), F.col("cleared").alias("other"))
+    still = cut(_fuller(met, LONGER * dense), "denser-buckets")
+    meeting = longer.join(still, ["start", "key"], "left_anti").join(met, ["start", "key"])
+    meeting = meeting.filter("cleared + other <= 2 and (cleared > other or (cleared = other and a < b))").filter(near)
+    pairs = pairs.union(meeting.select("a", "b"))
+
+    if still.isEmpty():
+        return pairs
+    crowd = cut(longer.join(still, ["start", "key"], "left_semi").select("a").distinct(), "dense-prints")
     flips = [0] + [sum(1 << b for b in bits) for k in range(1, most // 2 + 1) for bits in combinations(range(BITS), k)]
     around = F.array(*[F.lit(_signed(m)) for m in flips])
     points = crowd.select("a", F.explode(around).alias("m")).select("a", F.expr("a ^ m").alias("point"))
@@ -126,16 +141,59 @@ def links(prints: DataFrame, most: int = 4, segments: int = 5, dense: int = DENS
     return pairs.union(through)
 
 
+def _fuller(filed: DataFrame, dense: int) -> DataFrame:
+    return filed.groupBy("start", "key").count().filter(F.col("count") > dense).select("start", "key")
+
+
+def _third(lookups: DataFrame, ring: list[int], budget: int) -> DataFrame:
+    """Entries under three segments: start, key, ``a``, and how many bits of it were ``cleared``, up to ``budget``.
+
+    Of two fingerprints that differ in at most ``budget`` bits of the three segments, each has an entry with the bits
+    cleared that the other lacks, and both are under the bits they share.
+    """
+    places = [F.array(*[F.lit(_signed(1 << b)) for b in range(BITS) if ring[(i + 2) % len(ring)] >> b & 1]) for i in range(len(ring))]
+    masks = F.array(*[F.lit(_signed(ring[(i + 2) % len(ring)])) for i in range(len(ring))])
+    spent = F.when(F.col("own"), 0).otherwise(1)
+    own_bits = F.filter(F.array(*places)[F.col("start")], lambda b: F.col("a").bitwiseAND(b) != 0)
+    opened = lookups.select("start", "key", "a", spent.alias("spent"), masks[F.col("start")].alias("mask"), own_bits.alias("bits"))
+    entry = lambda n, bits: f"struct({n} as n, {bits} as bits)"
+    sets = [f"array({entry(0, '0L')})"]
+    if budget > 0:
+        sets.append(f"if(spent <= {budget - 1}, transform(bits, x -> {entry(1, 'x')}), array())")
+    if budget > 1:
+        two = f"transform(slice(bits, i + 2, size(bits)), y -> {entry(2, 'x | y')})"
+        sets.append(f"if(spent <= {budget - 2}, flatten(transform(bits, (x, i) -> {two})), array())")
+    return opened.select("start", "key", "a", "spent", "mask", F.expr(f"explode(concat({', '.join(sets)})) as e")).selectExpr(
+        "start", "key | (a & mask & ~e.bits) as key", "a", "spent + e.n as cleared"
+    )
+
+
 def _components(docs: DataFrame, most: int, carry: Sequence[str], dense: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with row and fingerprint, and for each fingerprint ``fp`` the ``head`` of its component."""
+    """The documents with row and fingerprint, and for each fingerprint ``fp`` its rows ``n`` and the ``head`` of its component."""
     rows = with_row_id(fingerprints(docs, carry), "simhash-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
-    nodes = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first")), "simhash-nodes")
+    nodes = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first"), F.count("*").alias("n")), "simhash-nodes")
     reached = components(links(nodes.select("fp"), most, dense=dense))
     joined = nodes.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = cut(joined.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
+    rooted = cut(joined.select("fp", F.coalesce("root", "fp").alias("root"), "first", "n"), "simhash-roots")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    return rows, cut(rooted.join(heads, "root").select("fp", "head"), "simhash-heads")
+    return rows, cut(rooted.join(heads, "root").select("fp", "head", "n", F.lit(0).alias("salt")), "simhash-heads")
+
+
+def _with_heads(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with the ``head`` of their component.
+
+    Fingerprints that more than one row in ``HOT`` shares are fewer than ``HOT`` and go to every task; their rows are
+    dealt out at random in the join of the others, where they find nothing.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = known.filter(F.col("n") * HOT > total).select(F.col("fp").alias("hot_fp"), F.col("head").alias("hot_head"))
+    marked = rows.join(F.broadcast(hot), F.col("fingerprint") == F.col("hot_fp"), "left")
+    dealt = F.when(F.col("hot_fp").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("row"), F.lit(HOT))).cast("int")
+    found = marked.withColumn("dealt", dealt).join(
+        known.select("fp", "head", "salt"), (F.col("fingerprint") == F.col("fp")) & (F.col("dealt") == F.col("salt")), "left"
+    )
+    return found.select(*rows.columns, F.coalesce("hot_head", "head").alias("head"))
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, carry: Sequence[str] = ("doc_id",), dense: int = DENSE) -> DataFrame:
@@ -147,8 +205,7 @@ def near_duplicates(docs: DataFrame, most: int = 4, carry: Sequence[str] = ("doc
     share it the first. Texts without words have fingerprint 0 and are linked like any other.
     """
     rows, known = _components(docs, most, carry, dense)
-    found = rows.join(known, rows["fingerprint"] == known["fp"])
-    return found.select(
+    return _with_heads(rows, known).select(
         "doc", "fingerprint", F.col("head.doc_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept")
     )
 
@@ -164,6 +221,6 @@ def drop_near_copies(docs: DataFrame, most: int = 4) -> DataFrame:
     texts move only if those ids are too many to send to every task.
     """
     rows, known = _components(docs, most, docs.columns, DENSE)
-    matched = rows.select("row", "fingerprint").join(known, F.col("fingerprint") == F.col("fp"))
+    matched = _with_heads(rows.select("row", "fingerprint"), known)
     dropped = cut(matched.filter(F.col("head.row") != F.col("row")).select("row"), "simhash-dropped")
     return rows.join(dropped, "row", "left_anti").select("doc.*")

@@ -63,8 +63,9 @@ def near_prints(seed, n):
     return sorted(f - 2**64 if f >> 63 else f for f in out)
 
 
-@pytest.mark.parametrize("dense", [512, 1])
-def test_links_connect_all_near_prints(spark, dense):
+@pytest.mark.parametrize(("dense", "longer"), [(512, 8), (1, 8), (1, 10**9), (0, 0)])
+def test_links_connect_all_near_prints(spark, monkeypatch, dense, longer):
+    monkeypatch.setattr(simhash, "LONGER", longer)
     prints = near_prints(3, 400)
     df = spark.createDataFrame([(f,) for f in prints], "fp long")
     links = [tuple(r) for r in simhash.links(df, dense=dense).collect()]
@@ -78,6 +79,23 @@ def test_links_connect_all_near_prints(spark, dense):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("low", [0, 30, 52])
+def test_prints_that_share_many_bits_are_linked_without_midpoints(spark, monkeypatch, low):
+    """24 forced bits fill the buckets of two segments; a third one takes them apart, and each near pair is found."""
+    monkeypatch.setattr(simhash, "LONGER", 10**9)
+    draw = np.random.default_rng(low)
+    forced = sum(1 << (b % 64) for b in range(low, low + 24))
+    random_prints = draw.integers(0, 2**64, 12_000, dtype=np.uint64) | np.uint64(forced)
+    flips = [sum(1 << int(b) for b in draw.choice(64, k, replace=False)) for k in [1, 2, 3, 4, 4, 4, 5, 6] * 250]
+    prints = np.unique(np.concatenate([random_prints, random_prints[: len(flips)] ^ np.array(flips, np.uint64)]))
+    want = {
+        (int(prints[i]), int(prints[i + 1 + j])) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 4)
+    }
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    got = {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.links(df, dense=64).collect()}
+    assert len(want) > 1_400 and got == want
+
+
 def test_links_refuse_other_budgets(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), most=3)
