@@ -614,7 +614,10 @@ def q_skill_mentions_large(spark, sf_dir):
 def q_skill_mentions_table(spark, sf_dir):
     """A taxonomy that grows with the data: the first words of all documents, under their sources."""
     docs = _documents(spark, sf_dir)
-    return phrase_join.skill_mentions(docs, F.col("text"), frame(spark, sf_dir, inputs.OPENINGS), "doc_id", edge="token")
+    # What precedes the third blank holds the first three words; each is then split off a short text and not off a whole one.
+    opened = table(spark, sf_dir, "documents").withColumn("text", F.substring_index("text", " ", 3))
+    openings = frame(spark, sf_dir, inputs.OPENINGS, documents=opened)
+    return phrase_join.skill_mentions(docs, F.col("text"), openings, "doc_id", edge="token")
 
 
 @query

@@ -57,7 +57,7 @@ def drop_work(spark: SparkSession) -> None:
     drop_path(spark, _own_root(spark))
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", compression: str | None = None) -> DataFrame:
     """Write the frame to a table in the shared folder and go on from there.
 
     The table outlives executors, is read by column, and no step before it runs again. It stays
@@ -66,7 +66,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = work_path(df.sparkSession, label)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -269,3 +270,29 @@ def test_phrase_join_takes_a_hundred_thousand_phrases(spark):
     found = phrase_join.skill_mentions(texts, F.col("text"), phrases, "id", edge="token")
     assert {(r.id, r.skill) for r in found.collect()} == {(i, f"k{i * 400 % 317} v{i * 400}") for i in range(200)}
     assert phrase_join.skill_mentions(texts, F.col("text"), phrases.limit(0), "id").collect() == []
+
+
+@pytest.mark.parametrize("most_sent", [0, 100_000])
+def test_phrase_join_does_not_meet_all_phrases_of_a_first_word(spark, most_sent):
+    """A million places of a word that 40,000 phrases begin with: 4 * 10^10 pairs, of which 2,000 are mentions."""
+    ids = spark.range(40_000)
+    phrases = ids.select(F.concat(F.lit("the k"), "id", F.lit(" v")).alias("skill"), F.lit("c").alias("category"), F.col("id").alias("ord"))
+    text = F.concat(F.repeat(F.lit("the x the k1 "), F.lit(500)), F.lit("the k"), "id", F.lit(" v, the k"), F.col("id") + 1, F.lit(" v"))
+    texts = spark.range(1000, numPartitions=8).select("id", text.alias("text"))
+    began = time.monotonic()
+    found = phrase_join.skill_mentions(texts, F.col("text"), phrases, "id", edge="token", most_sent=most_sent).collect()
+    assert time.monotonic() - began < 60
+    assert sorted((r.id, r.skill) for r in found) == sorted((i, f"the k{k} v") for i in range(1000) for k in (i, i + 1))
+
+
+@pytest.mark.parametrize("edge", ["token", "boundary"])
+@pytest.mark.parametrize("most_sent", [0, 1000])
+def test_phrase_join_equals_the_pattern_in_chains(spark, edge, most_sent):
+    rnd = random.Random(7)
+    parts = ["a", "b", "c", "dd", "é", "7", "_", " ", " ", ".", "+", "\n", "😀"]
+    draw = lambda n: "".join(rnd.choice(parts) for _ in range(n))
+    taxonomy = Taxonomy.of({c: [p for p in (draw(rnd.randint(1, 9)) for _ in range(40)) if p] for c in "uvw"}, edge=edge)
+    docs = spark.createDataFrame([(i % 150, draw(rnd.randint(0, 120))) for i in range(200)], "id long, text string")
+    want = mining.skill_mentions(docs, F.col("text"), taxonomy, "id").collect()
+    got = phrase_join.skill_mentions(docs, F.col("text"), as_table(spark, taxonomy), "id", edge=edge, most_sent=most_sent).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
