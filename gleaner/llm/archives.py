@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from gleaner.llm.common import pieces, with_row_id
 from gleaner.operators.skew import annotate_by_key
-from gleaner.session import cut
+from gleaner.session import LONG_ROWS, cut
 
 #: The field names in the second line of an ARC file's own record, by version.
 ARC_FIELDS = {
@@ -186,7 +186,7 @@ def convert(archives: DataFrame) -> DataFrame:
     Record ids are made of the file's ``row`` and the record's number in it; files without a
     ``row`` are written with one first, so that the ids are the same whenever they are read.
     """
-    numbered = archives if "row" in archives.columns else with_row_id(archives.select("arc"), "arc")
+    numbered = archives if "row" in archives.columns else with_row_id(archives.select("arc"), "arc", **LONG_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

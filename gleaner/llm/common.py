@@ -53,9 +53,9 @@ def drawn(df: DataFrame, sample: int, *by: str) -> DataFrame:
     return df.filter(place < share).orderBy(F.xxhash64(*by), *by).limit(sample)
 
 
-def with_row_id(df: DataFrame, label: str) -> DataFrame:
+def with_row_id(df: DataFrame, label: str, **options) -> DataFrame:
     """Add a ``row`` that is unique and, being written, the same wherever it is read."""
-    return cut(df.withColumn("row", F.monotonically_increasing_id()), label)
+    return cut(df.withColumn("row", F.monotonically_increasing_id()), label, **options)
 
 
 def null_safe(left: str, right: str, keys: list[str]) -> Column:

@@ -57,16 +57,22 @@ def drop_work(spark: SparkSession) -> None:
     drop_path(spark, _own_root(spark))
 
 
-def cut(df: DataFrame, label: str = "cut", compression: str | None = None) -> DataFrame:
+#: Options of :func:`cut` for rows of some MB each. Else Parquet looks at the size of its buffers after 100 rows only, and a
+#: reader holds the rows of a row group, up to 4,096, at once.
+LONG_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.block.row.count.limit": 1}
+
+
+def cut(df: DataFrame, label: str = "cut", compression: str | None = None, **options) -> DataFrame:
     """Write the frame to a table in the shared folder and go on from there.
 
     The table outlives executors, is read by column, and no step before it runs again. It stays
     until :func:`drop_work`, or to the end of the :class:`WorkScope` that it is cut in.
+    ``options`` are those of the Parquet writer.
     """
     path = work_path(df.sparkSession, label)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

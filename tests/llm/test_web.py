@@ -6,8 +6,11 @@ import hashlib
 import random
 import re
 import zlib
+from urllib.parse import urlparse
+from urllib.request import url2pathname
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +179,15 @@ def test_files_are_bounded_and_records_can_be_sought(spark):
     assert archives.read_warc(spark, plain).count() == archives.read_warc(spark, path).count() == 60
 
 
+def test_segments_are_read_one_at_a_time(spark):
+    pages = spark.range(12).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 1_000_000).alias("html"))
+    records = archives.convert(archives.pack(pages.coalesce(1)))
+    parts = [pq.ParquetFile(url2pathname(urlparse(f).path)).metadata for f in records.inputFiles()]
+    groups = [m.row_group(i) for m in parts for i in range(m.num_row_groups)]
+    assert len(groups) >= 3 and all(g.num_rows == 1 for g in groups)
+    assert records.filter("kind = 'response'").count() == 12
+
+
 def test_binary_payloads_survive(spark):
     payload = bytes(range(256)) * 50 + b"\r\n\r\n"
     body = b"HTTP/1.0 200 OK\r\nX-Page-Id: 6\r\n\r\n" + payload
