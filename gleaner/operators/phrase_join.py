@@ -7,19 +7,31 @@ Matches that overlap form islands, each resolved from left to right, as in :mod:
 a match does not count if it starts inside one that counts and is longer, or as long and listed before.
 Phrases of one word block no other, so their places do not matter: they are looked up among the distinct words
 of a text that no other phrase covers.
+
+Up to some millions of phrases are sent to the tasks as hashes, and each text is resolved within a task
+(:mod:`gleaner.operators.phrase_scan`); with more, places and phrases are joined and meet again by text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gleaner.functions.text import blank_if_null
+from gleaner.operators import phrase_scan
 from gleaner.session import cut
 
 #: Fixed value: a word or a single sign; the commonest characters are tried first.
 _PIECE = r"[a-z\p{L}\p{N}_]+|(?s:.)"
 _WORD = r"^[\p{L}\p{N}_]"
-#: Phrases of one kind that are sent to every task, at most; a larger table is shuffled.
+#: Phrases that a task holds as hashes, at most.
+MOST_HELD = 6_000_000
+#: Beyond that, phrases of one kind that are sent to every task, at most; a larger table is shuffled.
 MOST_SENT = 200_000
 #: Pieces that a phrase's beginning has, at most.
 BEGIN = 3
@@ -129,17 +141,58 @@ def _uncovered(pieces: Column, covers: Column) -> Column:
     return F.when(covers.isNull(), pieces).otherwise(between)
 
 
+def _letters(spark: SparkSession) -> np.ndarray:
+    """For every code point, does it stand in words?"""
+    points = spark.range(0x110000).filter("id < 55296 or id > 57343")
+    letter = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    out = np.zeros(0x110000, bool)
+    out[points.filter(_is_word(letter)).toArrow()["id"].to_numpy()] = True
+    return out
+
+
+def _held(phrases: DataFrame, edge: str) -> phrase_scan.Held:
+    """The phrases as hashes; salted anew if two of them cannot be told apart."""
+    letters = _letters(phrases.sparkSession)
+    # A lower-cased text is valid, so others stand in none.
+    rows = phrases.filter(F.is_valid_utf8("skill")).select("skill", "ord", "category", "one_word")
+    for attempt in count():
+        salt = attempt.to_bytes(4, "little")
+
+        def run(batches: Iterator[pa.RecordBatch], salt: bytes = salt) -> Iterator[pa.RecordBatch]:
+            return phrase_scan.hash_phrases(batches, letters, salt)
+
+        hashed = cut(rows.mapInArrow(run, "h1 long, h2 long, begin long, n int, ord long, category string, one_word boolean"), "phrase-hashes")
+        if held := phrase_scan.held(lambda *names, df=hashed: df.orderBy("h1").select(*names).toArrow(), letters, edge, salt):
+            return held
+
+
+def _scanned(postings: DataFrame, text: Column, phrases: DataFrame, ids: tuple[str, ...], edge: str) -> DataFrame:
+    """The mentions by a single pass over the texts."""
+    texts = postings.select(F.lower(blank_if_null(text)).alias("_low"), *ids)
+    sent = postings.sparkSession.sparkContext.broadcast(_held(phrases, edge))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return phrase_scan.scan(batches, sent.value)
+
+    found = [StructField("skill", StringType()), StructField("category", StringType())]
+    return texts.mapInArrow(run, StructType([*texts.schema.fields[1:], *found]))
+
+
 def skill_mentions(
-    postings: DataFrame, text: Column, taxonomy: DataFrame, *ids: str, edge: str = "boundary", most_sent: int = MOST_SENT
+    postings: DataFrame, text: Column, taxonomy: DataFrame, *ids: str, edge: str = "boundary", most_sent: int = MOST_SENT,
+    most_held: int = MOST_HELD,
 ) -> DataFrame:
     """One row per posting and skill it mentions, with the skill's category, for a taxonomy ``(skill, category, ord)``.
 
-    Phrases and lower-cased texts are written once, since several steps read them. Phrases of one word, and the others, are
+    Up to ``most_held`` phrases are held by every task, unless ``most_sent`` is 0: the texts are then read once and not shuffled.
+    With more, phrases and lower-cased texts are written once, since several steps read them. Phrases of one word, and the others, are
     counted and sent to the tasks if they are up to ``most_sent``; a larger table is shuffled, with the places whose hash is
     among those of the table, or with all that begin like a phrase if even the hashes are too many. Matches meet by row.
     Equal to :func:`gleaner.operators.mining.skill_mentions`, whose pattern is quicker for some hundreds of phrases.
     """
     phrases = cut(phrase_table(taxonomy), "phrases")
+    if most_sent and phrases.count() <= most_held:
+        return _scanned(postings, text, phrases, ids, edge)
     words, others = phrases.filter("one_word"), phrases.filter("not one_word")
     counts = phrases.agg(
         F.count_if("one_word").alias("words"), F.count_if(~F.col("one_word")).alias("others"),

@@ -5,13 +5,14 @@ import random
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import inputs
 from gleaner.functions.dates import next_week
 from gleaner.functions.phrases import Taxonomy
-from gleaner.operators import dedup, mining, pagination, phrase_join, runs, stats
+from gleaner.operators import dedup, mining, pagination, phrase_join, phrase_scan, runs, stats
 from gleaner.operators.skew import annotate_by_key
 
 TS = datetime.datetime(2026, 6, 28, 12, 0)
@@ -285,6 +286,44 @@ def test_phrase_join_does_not_meet_all_phrases_of_a_first_word(spark, most_sent)
     assert sorted((r.id, r.skill) for r in found) == sorted((i, f"the k{k} v") for i in range(1000) for k in (i, i + 1))
 
 
+def test_phrase_join_reads_texts_without_a_shuffle(spark):
+    phrases = spark.range(3000).select(F.concat(F.lit("the k"), "id").alias("skill"), F.lit("c").alias("category"), F.col("id").alias("ord"))
+    texts = spark.range(50).select("id", F.concat(F.lit("see the k"), F.col("id") * 100).alias("text"))
+    found = phrase_join.skill_mentions(texts, F.col("text"), phrases, "id", edge="token")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.skill) for r in found.collect()} == {(i, f"the k{i * 100}") for i in range(30)}
+
+
+def test_pieces_of_texts_equal_the_pattern(spark):
+    rnd = random.Random(3)
+    signs = "ab7_é\u0660ⅷ漢😀𐐷\U00020000 \n\r.\u0301\u200d\ufeff\u2028\u00a0½\u0378\U0001df00\U00031350"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [r.p for r in df.select(phrase_join._pieces("t").alias("p")).collect()]
+    for part in (pa.array(texts), pa.array(["x", *texts], pa.large_string()).slice(1)):
+        cut = phrase_scan.cut_up(part, phrase_join._letters(spark))
+        named = cut.unique.to_pylist()
+        assert [[named[c] for c in cut.codes[a:b]] for a, b in zip(cut.bounds, cut.bounds[1:])] == want
+
+
+@pytest.mark.parametrize("edge", ["token", "boundary"])
+def test_phrase_join_ways_agree_on_odd_taxonomies(spark, edge):
+    """Orders and categories that are null or repeat, null ids and null texts, bytes that are no characters."""
+    rnd = random.Random(11)
+    parts = ["a", "b", "c", "dd", "é", " ", " ", ".", "+"]
+    draw = lambda n: "".join(rnd.choice(parts) for _ in range(n))
+    rows = [(draw(rnd.randint(0, 8)), rnd.choice(["u", "v", None]), rnd.choice([None, 1, 2, 3])) for _ in range(150)] + [(None, "u", 1)]
+    taxonomy = spark.createDataFrame(rows, "skill string, category string, ord long").dropDuplicates(["skill"]).localCheckpoint()
+    docs = spark.createDataFrame([(rnd.choice([None, i]), "x", rnd.choice([None, draw(rnd.randint(0, 90))])) for i in range(120)], "id long, more string, text string")
+    broken = F.unhex(F.lit("61FF62208061206220")).cast("string")
+    taxonomy = taxonomy.union(spark.range(1).select(broken, F.lit("u"), F.lit(1).cast("long")))
+    docs = docs.union(spark.range(2).select("id", F.lit("y"), broken))
+    found = lambda **k: sorted(map(str, phrase_join.skill_mentions(docs, F.col("text"), taxonomy, "id", "more", edge=edge, **k).collect()))
+    joined = found(most_held=0, most_sent=1000)
+    assert found() == joined and len(joined) > 200
+    assert len(list(phrase_scan.parts(pa.array(["a" * phrase_scan.BYTES, "", "b", "c" * phrase_scan.BYTES])))) == 3
+
+
 @pytest.mark.parametrize("edge", ["token", "boundary"])
 @pytest.mark.parametrize("most_sent", [0, 1000])
 def test_phrase_join_equals_the_pattern_in_chains(spark, edge, most_sent):
